@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _by(df: DataFrame, by):
@@ -26,3 +27,33 @@ def label_rate(df: DataFrame, label: str = "target_future_risk", by=None) -> Dat
     y = F.col(label).cast("long")
     return _by(df, by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(y).alias("n_positive"),
                            F.avg(y.cast("double")).alias("positive_share"))
+
+
+def profile(df: DataFrame, entity: str, ts: str) -> DataFrame:
+    """One row: rows, distinct entities, first and last timestamp."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entity).alias("n_entities"),
+                  F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def entity_ids(df: DataFrame, entity: str) -> DataFrame:
+    """The sorted distinct entity ids, as a DataFrame (never a collected list)."""
+    return df.select(entity).distinct().orderBy(entity)
+
+
+def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NULL (and NaN) cells per column, long format ``column_name, n_null``:
+    one aggregate pass, then an unpivot of the single result row."""
+    columns = list(columns or df.columns)
+    aggs = []
+    for c in columns:
+        miss = F.col(c).isNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            miss = miss | F.isnan(c)
+        aggs.append(F.count_if(miss).alias(c))
+    wide = df.agg(*aggs)
+    return wide.unpivot([], columns, "column_name", "n_null")
+
+
+def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
+    """Rows per distinct value, most frequent first (partial counts map-side)."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias(out)).orderBy(F.desc(out), col)

@@ -42,19 +42,25 @@ def _ts_at(t0, k, step_us: int):
 
 
 def on_grid(df: DataFrame, entity: str, ts: str, step: str | int) -> DataFrame:
-    """Keep rows that sit on the entity's grid and add ``_k`` (grid index) and
-    ``_t0`` (grid anchor = first timestamp of the entity). Off-grid rows are
-    dropped, as a reindex drops them."""
+    """Keep rows that sit on the entity's grid and add ``_k`` (grid index),
+    ``_t0`` (grid anchor = first timestamp of the entity) and ``_kend`` (index
+    of the last grid point not after the entity's last timestamp). Off-grid
+    rows are dropped, as a reindex drops them. The bounds table has one row per
+    entity and is pre-aggregated map-side, so a hot entity costs one row."""
     us = step_micros(step)
-    bounds = df.groupBy(entity).agg(F.min(ts).alias("_t0"))
+    bounds = df.groupBy(entity).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
     d = df.join(bounds, entity, "inner")
     off = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_t0"))
-    return d.filter(off % us == 0).withColumn(K, (off / us).cast("long"))
+    kend = F.floor((F.unix_micros(F.col("_t1")) - F.unix_micros(F.col("_t0"))) / us).cast("long")
+    return (d.filter(off % us == 0).withColumn(K, (off / us).cast("long"))
+             .withColumn("_kend", kend).drop("_t1"))
 
 
 def _with_next(d: DataFrame, entity: str, chunk_points: int, on_duplicate: str) -> DataFrame:
     d = d.withColumn("_ck", F.floor(F.col(K) / chunk_points).cast("long")).withColumn("_kx", F.col(K))
     d = carry_last(d, entity, "_ck", [K], ["_kx"], suffix="_next", reverse=True, inclusive=False)
+    # after the last on-grid row the grid still runs to ``_kend`` (last row off-grid)
+    d = d.withColumn("_kx_next", F.coalesce(F.col("_kx_next"), F.col("_kend") + 1))
     if on_duplicate == "error":
         d = d.withColumn("_kx_next", F.when(F.col("_kx_next") == F.col(K), F.raise_error(
             F.concat(F.lit("duplicate timestamp on the grid of entity "), F.col(entity).cast("string"))))
@@ -138,9 +144,14 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
     if mode not in ("prefix", "small_only"):
         raise ValueError("mode must be 'prefix' or 'small_only'")
     us = step_micros(step)
-    bounds = grid.groupBy(entity).agg(F.min(ts).alias("_g0"))
-    d = grid.join(bounds, entity, "inner")
-    d = d.withColumn(K, ((F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_g0"))) / us).cast("long"))
+    own_k = K not in grid.columns
+    if own_k:
+        bounds = grid.groupBy(entity).agg(F.min(ts).alias("_g0"))
+        d = grid.join(bounds, entity, "inner")
+        d = d.withColumn(K, ((F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_g0"))) / us).cast("long"))
+        d = d.drop("_g0")
+    else:
+        d = grid
     d = d.withColumn("_ck", F.floor(F.col(K) / chunk_points).cast("long"))
     carried = []
     for s in signals:
@@ -155,8 +166,8 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
         ok = ok & ((k - kp) <= limit if mode == "prefix" else (kn - kp - 1) <= limit)
         fill = (vn - vp) / (kn - kp).cast("double") * (k - kp).cast("double") + vp
         d = d.withColumn(s, F.when(ok, fill).otherwise(F.col(s)))
-    drop = [c for c in d.columns if c.startswith("_p_") or c.endswith(("_bf", "_af"))] + [K, "_ck", "_g0"]
-    return d.drop(*drop)
+    drop = [c for c in d.columns if c.startswith("_p_") or c.endswith(("_bf", "_af"))] + ["_ck"]
+    return d.drop(*drop, *([K] if own_k else []))
 
 
 def clean_panel(df: DataFrame, entity: str, ts: str, signals: Sequence[str], step: str | int = "1 minute",
@@ -165,7 +176,9 @@ def clean_panel(df: DataFrame, entity: str, ts: str, signals: Sequence[str], ste
     """Reindex to the grid, interpolate, flag: adds ``was_missing`` (first signal
     NULL before filling, also for a present row with a NULL reading) and
     ``device_not_worn`` (first signal still NULL after filling)."""
-    g = reindex_to_grid(df.select(entity, ts, *signals), entity, ts, step, on_duplicate, order, chunk_points)
+    keep = [entity, ts, *signals, *[o for o in (order or []) if o not in (entity, ts, *signals)]]
+    g = reindex_to_grid(df.select(*keep), entity, ts, step, on_duplicate, order, chunk_points,
+                        keep_index=True)
     g = flag_missing(g, signals[0], before=True)
     g = interpolate_limited(g, entity, ts, signals, limit, mode, step, chunk_points)
     g = flag_missing(g, signals[0], before=False)

@@ -161,3 +161,7 @@ e AS (SELECT user_id, ts, sum(new_ep) OVER (PARTITION BY user_id ORDER BY ts ROW
 SELECT user_id, min(ts) AS episode_start, max(ts) AS episode_end, count(*) AS n_rows FROM e GROUP BY user_id, ep""")
 def q_flag_episodes(spark, d):
     return S.flag_episodes(flagged_raw(spark, d, 1.0), E, T, "risk_event_now", max_gap="12 hours")
+
+
+# further query groups register themselves on import
+from vitalgrid.plans import q_clean  # noqa: E402,F401
