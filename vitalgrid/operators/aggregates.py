@@ -57,3 +57,26 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     """Rows per distinct value, most frequent first (partial counts map-side)."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(out)).orderBy(F.desc(out), col)
+
+
+def exact_median(df: DataFrame, col: str):
+    """Exact median (mean of the two middle values for an even count) as a
+    scalar-subquery Column. Works on one row per distinct value with bucketed
+    running counts, so no task ever buffers all values (Spark's exact
+    ``percentile`` keeps every distinct value in one final buffer)."""
+    from vitalgrid.operators.ranking import running_totals
+    x = df.filter(F.col(col).isNotNull())
+    counts = x.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    rt = running_totals(counts, col, ["_c"])
+    n = x.select(F.count(F.lit(1))).scalar()
+    r1 = F.floor((n + 1) / 2)
+    r2 = F.ceil((n + 1) / 2)
+
+    def at(r):
+        return F.max(F.when((F.col("cum__c") - F.col("_c") < r) & (r <= F.col("cum__c")), F.col(col)))
+    return rt.select(((at(r1).cast("double") + at(r2).cast("double")) / 2).alias("median")).scalar()
+
+
+def median_split(df: DataFrame, score: str, out: str = "target") -> DataFrame:
+    """``out`` = 1 when ``score`` is above the exact median of ``score``, else 0."""
+    return df.withColumn(out, (F.col(score) > exact_median(df, score)).cast("int"))

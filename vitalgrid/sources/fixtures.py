@@ -80,11 +80,12 @@ p_type AS (
 
 
 # ---------------------------------------------------------------- P-serve
-def p_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p_serve(spark: SparkSession, sf_dir: str, with_type: bool = False) -> DataFrame:
     """P-raw shaped like a serving table: ``risk_score`` and ``uncertainty`` in [0, 1)
-    derived from the two signals."""
+    derived from the two signals (``with_type``: keep ``event_type`` as a text column)."""
     r = p_raw(spark, sf_dir)
-    return r.select("user_id", F.col("ts").alias("received_date"), "event_id", "value", "k",
+    return r.select("user_id", F.col("ts").alias("received_date"), *(["event_type"] if with_type else []),
+                    "event_id", "value", "k",
                     (F.col("value") / (F.col("value") + F.lit(50.0))).alias("risk_score"),
                     (F.col("k") / (F.col("k") + F.lit(100.0))).alias("uncertainty"))
 
