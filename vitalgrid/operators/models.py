@@ -1,14 +1,39 @@
 """Models on Spark ML: rule baseline, logistic regression, forests, boosting,
-scores, tree spread, importances, ablation, seed runs and random search."""
+scores, per-tree spread, importances, ablation, seed runs and random search.
+
+Training runs as Spark ML jobs on executors (tree aggregation, L-BFGS); only
+the model itself (coefficients, tree nodes: bounded by the parameters) lives
+on the driver. Per-tree uncertainty uses the forest's ``leafCol`` (leaf index
+per tree, computed JVM-side) and a broadcast table of leaf probabilities read
+from the model's own saved node data; an Arrow ``pandas_udf`` turns the leaf
+indices into the mean and mean square of the tree probabilities.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalgrid.operators.baselines import any_exceeds, zscore
+from vitalgrid.operators.features import fill_features
+from vitalgrid.operators.metrics import auroc, average_precision
+from vitalgrid.functions.scalar import stable_uniform
+from vitalgrid.session import checkpoint_dir
+
+FEATURES = "features"
+WEIGHT = "weight"
 
 
 def threshold_rule(df: DataFrame, entity: str, signals: Sequence[str], threshold: float = 2.0,
@@ -17,3 +42,256 @@ def threshold_rule(df: DataFrame, entity: str, signals: Sequence[str], threshold
     z = zscore(df, entity, signals)
     z = any_exceeds(z, [f"{s}_zscore" for s in signals], threshold, out="_flag")
     return z.withColumn(out, F.col("_flag").cast("int")).drop("_flag")
+
+
+def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFrame:
+    """Missing cells -> 0, then one ``VectorAssembler`` column."""
+    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(fill_features(df, cols))
+
+
+def balanced_weights(df: DataFrame, label: str, out: str = WEIGHT) -> DataFrame:
+    """``n / (2 * n_y)`` per row (sklearn's ``class_weight='balanced'``, two classes)."""
+    from vitalgrid.operators.splits import class_weights
+    return class_weights(df, label, out)
+
+
+def fit_logistic(train: DataFrame, cols: Sequence[str], label: str, balanced: bool = True,
+                 max_iter: int = 1000, c: float = 1.0):
+    """L2 logistic regression with sklearn's objective: ``0.5|w|^2 + C sum w_i loss_i``
+    is ``regParam = 1 / (C * sum w)`` in Spark's mean-loss form, no standardisation."""
+    d = assemble(train, cols)
+    if balanced:
+        d = balanced_weights(d, label)
+    else:
+        d = d.withColumn(WEIGHT, F.lit(1.0))
+    total_w = d.agg(F.sum(WEIGHT)).first()[0]
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, maxIter=max_iter,
+                            regParam=1.0 / (c * total_w), elasticNetParam=0.0, standardization=False)
+    return lr.fit(d)
+
+
+def forest(num_trees: int = 100, max_depth: int = 14, seed: int = 42, label: str = "label",
+           min_instances: int = 1, feature_subset: str = "sqrt", max_bins: int = 64) -> RandomForestClassifier:
+    """A forest configured like the reference (bootstrap, sqrt features)."""
+    return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, numTrees=num_trees,
+                                  maxDepth=min(max_depth, 30), seed=seed, minInstancesPerNode=min_instances,
+                                  featureSubsetStrategy=feature_subset, maxBins=max_bins, bootstrap=True)
+
+
+def fit_forest(train: DataFrame, cols: Sequence[str], label: str, num_trees: int = 100, max_depth: int = 14,
+               seed: int = 42, balanced: bool = True, **kw):
+    d = assemble(train, cols)
+    d = balanced_weights(d, label) if balanced else d.withColumn(WEIGHT, F.lit(1.0))
+    return forest(num_trees, max_depth, seed, label, **kw).fit(d)
+
+
+def fit_boosting(train: DataFrame, cols: Sequence[str], label: str, max_iter: int = 150, step: float = 0.1,
+                 max_depth: int = 5, seed: int = 42, balanced: bool = True, min_instances: int = 1):
+    """Gradient-boosted trees (logistic loss) with balanced sample weights."""
+    d = assemble(train, cols)
+    d = balanced_weights(d, label) if balanced else d.withColumn(WEIGHT, F.lit(1.0))
+    gbt = GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, maxIter=max_iter, stepSize=step,
+                        maxDepth=max_depth, seed=seed, minInstancesPerNode=min_instances)
+    return gbt.fit(d)
+
+
+def _p1():
+    """Probability of class 1 (0 when the model saw only class 0)."""
+    return F.coalesce(F.get(vector_to_array(F.col("probability")), 1), F.lit(0.0))
+
+
+def score(model, df: DataFrame, cols: Sequence[str], out: str = "risk_score") -> DataFrame:
+    """``out`` = probability of class 1; input columns kept."""
+    p = model.transform(assemble(df, cols))
+    return p.withColumn(out, _p1()).drop(
+        FEATURES, "rawPrediction", "probability", "prediction")
+
+
+# ------------------------------------------------------------------ per-tree spread
+def _leaf_probabilities(model) -> np.ndarray:
+    """[tree, leaf] -> class-1 probability of that leaf, leaves numbered
+    left-first (the numbering of Spark's ``leafCol``). Read from the model's
+    saved node table; size is bounded by numTrees * 2**maxDepth."""
+    from pyspark.sql import SparkSession
+    ss = SparkSession.getActiveSession()
+    path = os.path.join(checkpoint_dir(ss), "models", f"forest-{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    nodes = (ss.read.parquet(os.path.join(path, "data"))
+               .select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
+                       "nodeData.impurityStats").toPandas())
+    trees = []
+    for _, t in nodes.groupby("treeID"):
+        by_id = {int(r.id): r for r in t.itertuples(index=False)}
+        probs: list[float] = []
+        stack = [0]
+        while stack:  # iterative left-first walk over the leaves
+            r = by_id[stack.pop()]
+            if int(r.leftChild) < 0:
+                st = np.asarray(r.impurityStats, dtype="float64")
+                probs.append(float(st[1] / st.sum()) if st.sum() > 0 and len(st) > 1 else 0.0)
+            else:
+                stack.append(int(r.rightChild))
+                stack.append(int(r.leftChild))
+        trees.append((int(t["treeID"].iloc[0]), probs))
+    trees.sort()
+    width = max(len(p) for _, p in trees)
+    table = np.zeros((len(trees), width))
+    for i, (_, p) in enumerate(trees):
+        table[i, :len(p)] = p
+    return table
+
+
+def tree_uncertainty(model, df: DataFrame, cols: Sequence[str], out_score: str = "risk_score",
+                     out_unc: str = "uncertainty") -> DataFrame:
+    """Forest probability and the population std of the per-tree
+    probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. One pass: the JVM
+    computes leaf indices, an Arrow UDF looks them up in the broadcast leaf table."""
+    table = _leaf_probabilities(model)
+    sc = df.sparkSession.sparkContext
+    b_table = sc.broadcast(table)
+
+    @F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sq", T.DoubleType())]))
+    def moments(leaves: pd.Series) -> pd.DataFrame:
+        tab = b_table.value
+        idx = np.stack(leaves.to_numpy()).astype(np.int64)  # rows x trees
+        p = tab[np.arange(tab.shape[0])[None, :], idx]
+        return pd.DataFrame({"mean": p.mean(axis=1), "sq": (p * p).mean(axis=1)})
+
+    m = model.copy()
+    m.setLeafCol("_leaves")
+    scored = m.transform(assemble(df, cols))
+    scored = scored.withColumn("_m", moments(vector_to_array(F.col("_leaves"))))
+    var = F.col("_m.sq") - F.col("_m.mean") * F.col("_m.mean")
+    return (scored.withColumn(out_score, _p1())
+                  .withColumn(out_unc, F.sqrt(F.greatest(var, F.lit(0.0))))
+                  .drop(FEATURES, "rawPrediction", "probability", "prediction", "_leaves", "_m"))
+
+
+def signal_importance(model, cols: Sequence[str], signals: Sequence[str],
+                      exclude: Sequence[str] = ()) -> dict[str, float]:
+    """Raw + z + trend importance summed per signal (``exclude`` left out)."""
+    imp = dict(zip(cols, model.featureImportances.toArray().tolist()))
+    out = {}
+    for s in signals:
+        if s in exclude:
+            continue
+        out[s] = sum(imp.get(c, 0.0) for c in (s, f"{s}_zscore", f"{s}_zscore_trend"))
+    return out
+
+
+# ------------------------------------------------------------------ experiments
+def evaluate(pred: DataFrame, label: str, name: str, score_col: str = "risk_score") -> DataFrame:
+    """One row ``model, auroc, prauc`` (exact metrics)."""
+    return _one_row(auroc(pred, score_col, label), average_precision(pred, score_col, label, out="prauc"), name)
+
+
+def _one_row(a: DataFrame, p: DataFrame, name: str) -> DataFrame:
+    """Both 1-row metric frames as one row, through one aggregate (no join)."""
+    tagged = (a.select(F.col("auroc").alias("_a"), F.lit(None).cast("double").alias("_p"))
+              .unionByName(p.select(F.lit(None).cast("double").alias("_a"), F.col("prauc").alias("_p"))))
+    return tagged.agg(F.max("_a").alias("auroc"), F.max("_p").alias("prauc")).select(
+        F.lit(name).alias("model"), "auroc", "prauc")
+
+
+def auroc_value(pred: DataFrame, label: str, score_col: str = "risk_score") -> float:
+    return float(auroc(pred, score_col, label).first()[0])
+
+
+def ablation(train: DataFrame, test: DataFrame, signals: Sequence[str], cols: Sequence[str], label: str,
+             fit: Callable, derived: Callable[[str], Sequence[str]]) -> DataFrame:
+    """Refit without each signal and its derived columns; AUROC and the drop
+    against the full model, most important first (largest drop)."""
+    spark = train.sparkSession
+    base = auroc_value(score(fit(train, cols, label), test, cols), label)
+    rows = []
+    for s in signals:
+        drop = set(derived(s))
+        reduced = [c for c in cols if c not in drop]
+        a = auroc_value(score(fit(train, reduced, label), test, reduced), label)
+        rows.append((s, a, base - a))
+    df = spark.createDataFrame(rows, "signal string, auroc double, auroc_drop double")
+    return df.withColumn("baseline_auroc", F.lit(base)).orderBy(F.desc("auroc_drop"), "signal")
+
+
+def seed_robustness(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str,
+                    fit: Callable, seeds: Sequence[int]) -> DataFrame:
+    """One row per seed: AUROC and PR-AUC of the model fitted with that seed."""
+    parts = []
+    for s in seeds:
+        pred = score(fit(train, cols, label, seed=s), test, cols)
+        parts.append(_one_row(auroc(pred, "risk_score", label),
+                              average_precision(pred, "risk_score", label, out="prauc"), "seed")
+                     .withColumn("seed", F.lit(s)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("model")
+
+
+# The two search spaces of the reference, in its terms, mapped
+# to Spark parameters below (no depth limit -> Spark's maximum of 30).
+RF_SPACE = {
+    "n_estimators": [50, 100, 150, 200],
+    "max_depth": [8, 10, 14, 18, None],
+    "min_samples_split": [2, 5, 10],
+    "min_samples_leaf": [1, 2, 4],
+    "max_features": ["sqrt", "log2", None],
+}
+GB_SPACE = {
+    "max_iter": [50, 100, 150],
+    "max_depth": [None, 6, 10, 14],
+    "learning_rate": [0.03, 0.05, 0.1, 0.2],
+    "min_samples_leaf": [10, 20, 40],
+    "l2_regularization": [0.0, 0.1, 1.0],
+}
+
+
+def sample_space(space: Mapping[str, list], n: int, seed: int) -> list[dict]:
+    """``n`` independent draws from a discrete space (seeded)."""
+    rng = np.random.RandomState(seed)
+    return [{k: v[rng.randint(len(v))] for k, v in space.items()} for _ in range(n)]
+
+
+def _rf_params(est: RandomForestClassifier, draw: dict) -> dict:
+    feat = {"sqrt": "sqrt", "log2": "log2", None: "all"}[draw["max_features"]]
+    return {est.numTrees: int(draw["n_estimators"]), est.maxDepth: 30 if draw["max_depth"] is None
+            else int(draw["max_depth"]), est.minInstancesPerNode: int(draw["min_samples_leaf"]),
+            est.featureSubsetStrategy: feat}
+
+
+def _gb_params(est: GBTClassifier, draw: dict) -> dict:
+    # depth None -> 30 is Spark's limit; min_samples_leaf -> minInstancesPerNode;
+    # l2_regularization has no Spark counterpart and is recorded only.
+    return {est.maxIter: int(draw["max_iter"]), est.maxDepth: 30 if draw["max_depth"] is None
+            else int(draw["max_depth"]), est.stepSize: float(draw["learning_rate"]),
+            est.minInstancesPerNode: int(draw["min_samples_leaf"])}
+
+
+def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str = "rf", n_iter: int = 15,
+                  folds: int = 3, seed: int = 42, fold_by: str = "row", key: str | None = None,
+                  entity: str | None = None, parallelism: int = 4):
+    """Random search with k-fold cross-validation on AUROC. Folds come from
+    the seeded hash of ``key`` (``fold_by='row'``) or of ``entity``
+    (``'entity'``: no entity in two folds). Returns (best model, table of
+    draws with their mean CV AUROC)."""
+    d = assemble(train, cols)
+    d = balanced_weights(d, label)
+    fk = key if fold_by == "row" else entity
+    d = d.withColumn("_fold", F.floor(stable_uniform(fk, F.lit("fold"), seed) * folds).cast("int"))
+    if kind == "rf":
+        est = forest(seed=seed, label=label)
+        maps = [_rf_params(est, x) for x in sample_space(RF_SPACE, n_iter, seed)]
+        draws = sample_space(RF_SPACE, n_iter, seed)
+    else:
+        est = GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, seed=seed)
+        maps = [_gb_params(est, x) for x in sample_space(GB_SPACE, n_iter, seed)]
+        draws = sample_space(GB_SPACE, n_iter, seed)
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
+                                       metricName="areaUnderROC", numBins=0)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold",
+                        parallelism=parallelism, seed=seed)
+    fitted = cv.fit(d)
+    spark = train.sparkSession
+    rows = [(i, str(draws[i]), float(m)) for i, m in enumerate(fitted.avgMetrics)]
+    table = spark.createDataFrame(rows, "draw int, params string, cv_auroc double")
+    return fitted.bestModel, table

@@ -219,3 +219,23 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 10, digits: int = 3) -
     """First ``n`` rows by ``order`` with doubles rounded (a top-n report)."""
     from vitalgrid.plans.registry import rounded
     return rounded(df.orderBy(*order).limit(n), digits)
+
+
+def serving_table(features: DataFrame, model, entity: str, ts: str, signals: Sequence[str],
+                  cols: Sequence[str], days: float = 3, bin_size: str = "15 minutes",
+                  explain_exclude: Sequence[str] = (), names: Mapping[str, str] | None = None,
+                  k: int = 3, tie: Sequence[str] = ()) -> DataFrame:
+    """The serving job: last ``days`` of every entity -> risk score and per-tree
+    uncertainty -> top-``k`` leading signals (importance x |z|) -> ``bin_size``
+    bins (means; factors from the latest row with them) with incomplete bins
+    dropped. ``features`` must already hold trends computed on the full
+    history (a filter before the rolling window would shorten it)."""
+    from vitalgrid.operators.filters import recent_window
+    from vitalgrid.operators.models import signal_importance, tree_uncertainty
+    recent = recent_window(features, entity, ts, days)
+    scored = tree_uncertainty(model, recent, cols)
+    imp = signal_importance(model, cols, signals, exclude=explain_exclude)
+    scored = top_k_factors(scored, {s: f"{s}_zscore" for s in imp}, imp, k=k, names=names)
+    factors = [f"top_factor_{j + 1}" for j in range(min(k, len(imp)))]
+    return downsample(scored.select(entity, ts, *tie, *signals, "risk_score", "uncertainty", *factors),
+                      entity, ts, bin_size, [*signals, "risk_score", "uncertainty"], factors, tie=tie)

@@ -166,3 +166,4 @@ def q_flag_episodes(spark, d):
 # further query groups register themselves on import
 from vitalgrid.plans import q_clean  # noqa: E402,F401
 from vitalgrid.plans import q_serving, q_eval  # noqa: E402,F401
+from vitalgrid.plans import q_models  # noqa: E402,F401

@@ -56,3 +56,21 @@ def pin_utc(spark: SparkSession) -> None:
     """Panel timestamps are wall-clock UTC; pin the session zone so casts,
     day truncation and bins agree with the SQL oracle."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df, name: str, partitions: int | None = None):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor re-reads files instead of
+    replaying the plan) in one pass, unlike ``DataFrame.checkpoint`` which runs
+    the plan twice, and keeps column pruning for later readers.
+
+    ``partitions``: spread the rows over at least this many files (default:
+    the cluster's default parallelism) so iterative fits use every core even
+    when AQE coalesced a small result into one partition."""
+    import uuid
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    out = df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
