@@ -168,3 +168,4 @@ from vitalgrid.plans import q_clean  # noqa: E402,F401
 from vitalgrid.plans import q_serving, q_eval  # noqa: E402,F401
 from vitalgrid.plans import q_models  # noqa: E402,F401
 from vitalgrid.plans import q_grouped  # noqa: E402,F401
+from vitalgrid.plans import q_io  # noqa: E402,F401
