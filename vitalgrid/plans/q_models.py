@@ -19,6 +19,7 @@ from vitalgrid.operators import models as MD
 from vitalgrid.operators.features import build_features, derived_columns, feature_columns
 from vitalgrid.functions.scalar import any_exceeds_expr
 from vitalgrid.operators.splits import split_by_entity
+from vitalgrid.plans.catalog import flag_sql
 from vitalgrid.plans.registry import query, rounded
 from vitalgrid.session import materialize
 from vitalgrid.sources import fixtures as X
@@ -44,7 +45,13 @@ def train_test(spark, d, sustained: bool = False):
     return split_by_entity(f, E, 0.25, seed=42)
 
 
-@query("build_features")
+@query("build_features", flag_sql(2.0) + """
+SELECT user_id, event_id, round(value, 6) AS value, round(k, 6) AS k, round(value_zscore, 6) AS value_zscore,
+       round(k_zscore, 6) AS k_zscore, round(avg(value_zscore) OVER w, 6) AS value_zscore_trend,
+       round(avg(k_zscore) OVER w, 6) AS k_zscore_trend, risk_event_now,
+       CAST(coalesce(max(CAST(risk_event_now AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id
+            ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 0) AS INTEGER) AS target_future_risk
+FROM flagged WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def q_build_features(spark, d):
     """The labelled feature table (z, trend, event flag, 6-row look-ahead label)."""
     p = X.p_raw(spark, d)
@@ -210,3 +217,32 @@ def q_serving_table(spark, d):
     out = serving_table(feats, m, E, "ts", SIG, COLS21, days=3, bin_size="1 day",
                         names={"value": "Value", "k": "K"}, tie=["event_id"])
     return rounded(out)
+
+
+@query("survey_models")
+def q_survey_models(spark, d):
+    """Questionnaire workflow on Q-form: answers coerced to numbers, incomplete
+    rows dropped, Likert total, target = total above its exact median,
+    stratified 75/25 split, logistic regression and a 100-tree forest on the
+    binary answers; accuracy and AUROC per model, then the class report of each."""
+    from vitalgrid.operators import filters as FL
+    from vitalgrid.operators import metrics as ME
+    from vitalgrid.operators.aggregates import median_split
+    from vitalgrid.operators.splits import split_stratified
+    f = FL.coerce_numeric(X.q_form(spark, d), X.Q_SYMPTOMS + X.Q_LIKERT)
+    f = FL.drop_incomplete(f, X.Q_SYMPTOMS + X.Q_LIKERT)
+    f = median_split(FL.row_sum(f, X.Q_LIKERT, "total_score"), "total_score", out="target")
+    f = materialize(f, "survey")
+    train, test = split_stratified(f, "target", "resp_id", 0.25, seed=42)
+    out = []
+    for name, model in [("logistic", MD.fit_logistic(train, X.Q_SYMPTOMS, "target", balanced=False)),
+                        ("forest", MD.fit_forest(train, X.Q_SYMPTOMS, "target", num_trees=100, max_depth=30,
+                                                 balanced=False))]:
+        s = MD.score(model, test, X.Q_SYMPTOMS).withColumn("pred", (F.col("risk_score") >= 0.5).cast("int"))
+        acc = ME.accuracy(s, "pred", "target")
+        auc = ME.auroc(s, "risk_score", "target")
+        rep = ME.class_report(s, "pred", "target")
+        summary = side_by_side(acc, auc)
+        out.append(rep.withColumn("model", F.lit(name)).unionByName(
+            summary.withColumn("model", F.lit(name)), allowMissingColumns=True))
+    return rounded(reduce(DataFrame.unionByName, out))
