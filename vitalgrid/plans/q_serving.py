@@ -102,9 +102,11 @@ def q_relabel(spark, d):
     return FL.relabel(X.p_raw(spark, d), "event_type", TYPE_NAMES, out="event_name").select("event_id", "event_name")
 
 
-@query("narrow_types")
+@query("narrow_types", X.P_SHIP_SQL + """
+SELECT CAST(supp AS SMALLINT) AS supp, ts, l_orderkey, l_linenumber, CAST(qty AS FLOAT) AS qty,
+       CAST(price AS FLOAT) AS price FROM p_ship""")
 def q_narrow_types(spark, d):
-    """Sink-side narrowing: float32 signals, int16 entity (rows-only check)."""
+    """Sink-side narrowing: float32 signals, int16 entity."""
     p = X.p_ship(spark, d)
     return FL.narrow_types(p, float_cols=["qty", "price"], short_cols=["supp"])
 
