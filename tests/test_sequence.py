@@ -105,3 +105,27 @@ def test_sustained_subset_of_event(spark):
     out = S.sustained(df, "e", ["ts"], "f", rows=3, out="s").collect()
     assert all((not r["s"]) or r["f"] for r in out)
     assert F is not None
+
+
+def test_fused_trend_sustained_label_matches_brute_force(spark):
+    rnd = random.Random(11)
+    rows, expect = [], {}
+    for e in range(4):
+        n = rnd.randint(3, 45)
+        vals = [None if rnd.random() < 0.2 else rnd.random() for _ in range(n)]
+        flags = [rnd.random() < 0.5 for _ in range(n)]
+        rows += [(e, i * 3, vals[i], flags[i]) for i in range(n)]
+        trend, _, sus = brute(vals, flags, 3, 5)
+        sus2 = [i >= 1 and flags[i] and flags[i - 1] for i in range(n)]
+        label = [int(any(sus2[i:i + 5])) for i in range(n)]
+        expect[e] = (trend, sus2, label)
+    d = S.row_index(panel(spark, rows), "e", ["ts"], bucket="hour")
+    out = S.trend_and_label(d, "e", S.RN, ["v"], 3, "f", horizon=5, sustained_rows=2, chunk_rows=4)
+    got = out.orderBy("e", "ts").collect()
+    for e in range(4):
+        mine = [r for r in got if r["e"] == e]
+        tr, sus, lab = expect[e]
+        assert len(mine) == len(tr)
+        for r, t, s, la in zip(mine, tr, sus, lab):
+            assert (r["v_trend"] is None and t is None) or abs(r["v_trend"] - t) < 1e-12
+            assert r["sustained_event"] == s and r["target_future_risk"] == la

@@ -1,9 +1,10 @@
 """The labelled feature table: personal z-scores, trends, event flags and the
 look-ahead label, composed from the baseline and sequence operators.
 
-All ordered steps share one per-entity row index (``sequence.row_index``), so
-the row numbering is computed once and every later window runs on
-(entity, chunk) partitions with halos.
+All ordered steps share one per-entity row index (``sequence.row_index``);
+the trend, the sustained flag and the look-ahead label then run in a single
+(entity, chunk) exchange (``sequence.trend_and_label``): two data shuffles in
+all.
 """
 
 from __future__ import annotations
@@ -33,14 +34,9 @@ def build_features(df: DataFrame, entity: str, order: Sequence[str], signals: Se
     zc = [f"{s}_zscore" for s in signals]
     z = B.any_exceeds(z, zc, z_threshold)
     z = S.row_index(z, entity, order, bucket=bucket)
-    if trend_rows:
-        z = S.rolling_mean(z, entity, order, zc, rows=trend_rows, rn=S.RN, chunk_rows=chunk_rows)
-    flag = "risk_event_now"
-    if sustained_rows:
-        z = S.sustained(z, entity, order, flag, rows=sustained_rows, out="sustained_event", rn=S.RN,
-                        chunk_rows=chunk_rows)
-        flag = "sustained_event"
-    z = S.future_event(z, entity, order, flag, horizon=horizon, out=label, rn=S.RN, chunk_rows=chunk_rows)
+    # trend, run length and look-ahead share one (entity, chunk) exchange
+    z = S.trend_and_label(z, entity, S.RN, zc, trend_rows, "risk_event_now", horizon, label=label,
+                          sustained_rows=sustained_rows, chunk_rows=chunk_rows)
     return z.drop(S.RN)
 
 

@@ -180,3 +180,35 @@ def flag_episodes(df: DataFrame, entity: str, ts: str, flag: str, max_gap: str =
     f = carry_last(f, entity, "_ck", [ts], ["_start"], suffix="_ep")
     return (f.groupBy(entity, F.col("_start_ep").alias("episode_start"))
              .agg(F.max(ts).alias("episode_end"), F.count(F.lit(1)).alias("n_rows")))
+
+
+def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[str], rows: int | None,
+                    flag: str, horizon: int, label: str = "target_future_risk",
+                    sustained_rows: int | None = None, sustained_out: str = "sustained_event",
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, trend_suffix: str = "_trend") -> DataFrame:
+    """``rolling_mean`` + optional ``sustained`` + ``future_event`` in ONE
+    exchange: the chunks carry a halo of the preceding rows (for the trend and
+    the run length) and of the following rows (for the label). Back-looking
+    frames of core rows never reach the following halo, and the look-ahead of
+    core rows never reaches the preceding one, so both can share the chunk;
+    the sustained flag is also right on the following halo (its own history
+    is in the chunk), which the label then reads. Needs the row index ``rn``."""
+    before = max((rows or 1) - 1, (sustained_rows or 1) - 1)
+    after = horizon - 1
+    d = with_halo(df, rn, max(chunk_rows, before, after, 1), before=before, after=after)
+    part = Window.partitionBy(entity, "_chunk")
+    if rows:
+        w = part.orderBy(rn).rowsBetween(-(rows - 1), 0)
+        for c in trend_cols:
+            d = d.withColumn(f"{c}{trend_suffix}", F.avg(F.col(c).cast("double")).over(w))
+    target = flag
+    if sustained_rows:
+        wa = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+        last_break = F.max(F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col(rn))).over(wa)
+        d = d.withColumn(sustained_out, (F.col(rn) >= sustained_rows)
+                         & (F.coalesce(last_break, F.lit(0)) <= F.col(rn) - sustained_rows))
+        target = sustained_out
+    wd = part.orderBy(F.col(rn).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.min(F.when(F.coalesce(F.col(target), F.lit(False)), F.col(rn))).over(wd)
+    d = d.withColumn(label, F.coalesce((nxt - F.col(rn)) < horizon, F.lit(False)).cast("int"))
+    return d.filter(~F.col("_halo")).drop("_chunk", "_halo")
