@@ -259,11 +259,17 @@ def _rf_params(est: RandomForestClassifier, draw: dict) -> dict:
             est.featureSubsetStrategy: feat}
 
 
+# The reference's histogram boosting grows every tree to at most 31 leaves (its
+# default leaf limit), whatever the depth setting; Spark grows trees level by
+# level, so that bound is a depth of at most 5 (32 leaves).
+GB_LEAF_DEPTH = 5
+
+
 def _gb_params(est: GBTClassifier, draw: dict) -> dict:
-    # depth None -> 30 is Spark's limit; min_samples_leaf -> minInstancesPerNode;
-    # l2_regularization has no Spark counterpart and is recorded only.
-    return {est.maxIter: int(draw["max_iter"]), est.maxDepth: 30 if draw["max_depth"] is None
-            else int(draw["max_depth"]), est.stepSize: float(draw["learning_rate"]),
+    # min_samples_leaf -> minInstancesPerNode; l2_regularization has no Spark
+    # counterpart and is recorded only.
+    depth = GB_LEAF_DEPTH if draw["max_depth"] is None else min(int(draw["max_depth"]), GB_LEAF_DEPTH)
+    return {est.maxIter: int(draw["max_iter"]), est.maxDepth: depth, est.stepSize: float(draw["learning_rate"]),
             est.minInstancesPerNode: int(draw["min_samples_leaf"])}
 
 

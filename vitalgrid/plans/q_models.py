@@ -31,7 +31,22 @@ COLS14 = feature_columns(SIG, trend=False)   # raw + z (baselines)
 COLS21 = feature_columns(SIG, trend=True)    # raw + z + trend (final model)
 
 
+_MEMO: dict = {}
+
+
+def _memo(key, build):
+    """Per-session memo of written feature tables and fitted models: several
+    queries read the same feature table and the same final forest."""
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def labelled(spark, d, sustained: bool = False) -> DataFrame:
+    return _memo((id(spark), d, "features", sustained), lambda: _labelled(spark, d, sustained))
+
+
+def _labelled(spark, d, sustained: bool) -> DataFrame:
     p = X.p_raw(spark, d)
     if sustained:
         f = build_features(p, E, ORD, SIG, z_threshold=1.0, trend_rows=5, horizon=6, sustained_rows=2)
@@ -83,9 +98,16 @@ def q_fit_boosting(spark, d):
     return rounded(MD.score(m, test, COLS14).select(E, "event_id", Y, "risk_score"))
 
 
+def final_forest(spark, d):
+    """The final forest: 100 trees, depth 14, raw + z + trend features."""
+    train, _ = train_test(spark, d)
+    return _memo((id(spark), d, "final_forest"),
+                 lambda: MD.fit_forest(train, COLS21, Y, num_trees=100, max_depth=14))
+
+
 def final_scores(spark, d):
-    train, test = train_test(spark, d)
-    m = MD.fit_forest(train, COLS21, Y, num_trees=100, max_depth=14)
+    _, test = train_test(spark, d)
+    m = final_forest(spark, d)
     return m, MD.tree_uncertainty(m, test, COLS21)
 
 
@@ -141,7 +163,7 @@ def q_baselines(spark, d):
     iso = fit_isolation_forest(train, COLS14, key="event_id", n_trees=100, sample_size=256, seed=42)
     rows.append(MD.evaluate(score_isolation_forest(iso, test, COLS14, out="risk_score"), Y, "B4 isolation forest"))
     rows.append(MD.evaluate(MD.score(MD.fit_boosting(train, COLS14, Y, 150), test, COLS14), Y, "B5 boosting"))
-    fin = MD.score(MD.fit_forest(train, COLS21, Y, 100, 14), test, COLS21)
+    fin = MD.score(final_forest(spark, d), test, COLS21)
     rows.append(MD.evaluate(fin, Y, "final forest + trend"))
     return rounded(reduce(DataFrame.unionByName, rows))
 
@@ -211,8 +233,7 @@ def q_serving_table(spark, d):
     """The whole serving job on P-raw: final forest -> last 3 days of every
     entity -> risk, uncertainty, leading factors -> 1-day bins."""
     from vitalgrid.operators.serving import serving_table
-    train, _ = train_test(spark, d)
-    m = MD.fit_forest(train, COLS21, Y, num_trees=100, max_depth=14)
+    m = final_forest(spark, d)
     feats = labelled(spark, d)
     out = serving_table(feats, m, E, "ts", SIG, COLS21, days=3, bin_size="1 day",
                         names={"value": "Value", "k": "K"}, tie=["event_id"])
