@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vitalgrid.operators.sequence import carry_last
 
 K = "_k"
-DEFAULT_CHUNK_POINTS = 1_000_000
+DEFAULT_CHUNK_POINTS = 250_000
 _UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
           "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
 

@@ -73,9 +73,12 @@ def fit_logistic(train: DataFrame, cols: Sequence[str], label: str, balanced: bo
 def forest(num_trees: int = 100, max_depth: int = 14, seed: int = 42, label: str = "label",
            min_instances: int = 1, feature_subset: str = "sqrt", max_bins: int = 64) -> RandomForestClassifier:
     """A forest configured like the reference (bootstrap, sqrt features)."""
+    # deep trees: cache each row's node id instead of shipping the trees every
+    # level, and let one pass aggregate more nodes (fewer passes per level)
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, numTrees=num_trees,
                                   maxDepth=min(max_depth, 30), seed=seed, minInstancesPerNode=min_instances,
-                                  featureSubsetStrategy=feature_subset, maxBins=max_bins, bootstrap=True)
+                                  featureSubsetStrategy=feature_subset, maxBins=max_bins, bootstrap=True,
+                                  cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
 
 
 def fit_forest(train: DataFrame, cols: Sequence[str], label: str, num_trees: int = 100, max_depth: int = 14,

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_ROWS = 1_000_000
+DEFAULT_CHUNK_ROWS = 250_000
 RN = "_rn"
 
 
@@ -109,6 +109,37 @@ def carry_last(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     return out
 
 
+def _trend_exprs(d: DataFrame, part, rn: str, cols: Sequence[str], rows: int, suffix: str) -> DataFrame:
+    """Mean of the last ``rows`` non-NULL values in O(n): running sum and
+    count (an unbounded-preceding frame, updated row by row) minus their
+    values ``rows`` rows back (``lag``: an offset frame). Spark's sliding
+    ``rowsBetween(-(rows-1), 0)`` frame re-aggregates every row: O(n * rows)."""
+    run = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    asc = part.orderBy(rn)
+    for c in cols:
+        x = F.col(c).cast("double")
+        d = (d.withColumn(f"_s_{c}", F.coalesce(F.sum(x).over(run), F.lit(0.0)))
+              .withColumn(f"_n_{c}", F.count(x).over(run)))
+    for c in cols:
+        s_back = F.coalesce(F.lag(f"_s_{c}", rows).over(asc), F.lit(0.0))
+        n_back = F.coalesce(F.lag(f"_n_{c}", rows).over(asc), F.lit(0))
+        d = d.withColumn(f"{c}{suffix}", (F.col(f"_s_{c}") - s_back) / F.nullif(F.col(f"_n_{c}") - n_back, F.lit(0)))
+    return d.drop(*[f"_{k}_{c}" for c in cols for k in ("s", "n")])
+
+
+def _lookahead_expr(d: DataFrame, part, rn: str, flag: str, horizon: int, out: str) -> DataFrame:
+    """1 when ``flag`` holds in rows ``[rn, rn + horizon - 1]``, in O(n) on the
+    ascending order: a running count of flagged rows, read ``horizon - 1``
+    rows ahead (``lead``) minus its value one row back; past the end of the
+    partition the count at its last row is used."""
+    run = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    asc = part.orderBy(rn)
+    d = d.withColumn("_fc", F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("long")).over(run))
+    ahead = F.coalesce(F.lead("_fc", horizon - 1).over(asc), F.max("_fc").over(part))
+    before = F.coalesce(F.lag("_fc", 1).over(asc), F.lit(0))
+    return d.withColumn(out, ((ahead - before) > 0).cast("int")).drop("_fc")
+
+
 def _ordered(df: DataFrame, entity: str, order, rn: str | None, bucket: str) -> tuple[DataFrame, str]:
     if rn is not None and rn in df.columns:
         return df, rn
@@ -123,9 +154,7 @@ def rolling_mean(df: DataFrame, entity: str, order, cols: Sequence[str], rows: i
     Row counts, not time spans."""
     d, rcol = _ordered(df, entity, order, rn, bucket)
     d = with_halo(d, rcol, max(chunk_rows, rows), before=rows - 1, after=0)
-    w = Window.partitionBy(entity, "_chunk").orderBy(rcol).rowsBetween(-(rows - 1), 0)
-    for c in _cols(cols):
-        d = d.withColumn(f"{c}{suffix}", F.avg(F.col(c).cast("double")).over(w))
+    d = _trend_exprs(d, Window.partitionBy(entity, "_chunk"), rcol, _cols(cols), rows, suffix)
     d = d.filter(~F.col("_halo")).drop("_chunk", "_halo")
     return d if rcol == rn else d.drop(RN)
 
@@ -136,15 +165,13 @@ def future_event(df: DataFrame, entity: str, order, flag: str, horizon: int = 72
     """1 when ``flag`` is true in any of the rows ``[current, current + horizon - 1]``
     of the entity (fewer rows at the series end), else 0.
 
-    O(n) form: the nearest flagged row at or after each row comes from a running
-    ``min`` over a *descending* order; the label is ``next - rn < horizon``.
+    O(n) form on the ascending order: a running count of flagged rows read
+    ``horizon - 1`` rows ahead minus its value one row back (no forward frame,
+    no second sort).
     """
     d, rcol = _ordered(df, entity, order, rn, bucket)
     d = with_halo(d, rcol, max(chunk_rows, horizon), before=0, after=horizon - 1)
-    w = (Window.partitionBy(entity, "_chunk").orderBy(F.col(rcol).desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.min(F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(rcol))).over(w)
-    d = d.withColumn(out, F.coalesce((nxt - F.col(rcol)) < horizon, F.lit(False)).cast("int"))
+    d = _lookahead_expr(d, Window.partitionBy(entity, "_chunk"), rcol, flag, horizon, out)
     d = d.filter(~F.col("_halo")).drop("_chunk", "_halo")
     return d if rcol == rn else d.drop(RN)
 
@@ -187,20 +214,19 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
                     sustained_rows: int | None = None, sustained_out: str = "sustained_event",
                     chunk_rows: int = DEFAULT_CHUNK_ROWS, trend_suffix: str = "_trend") -> DataFrame:
     """``rolling_mean`` + optional ``sustained`` + ``future_event`` in ONE
-    exchange: the chunks carry a halo of the preceding rows (for the trend and
-    the run length) and of the following rows (for the label). Back-looking
-    frames of core rows never reach the following halo, and the look-ahead of
-    core rows never reaches the preceding one, so both can share the chunk;
-    the sustained flag is also right on the following halo (its own history
-    is in the chunk), which the label then reads. Needs the row index ``rn``."""
+    exchange and ONE sort: the chunks carry a halo of the preceding rows (for
+    the trend and the run length) and of the following rows (for the label).
+    Back-looking frames of core rows never reach the following halo, and the
+    look-ahead of core rows never reaches the preceding one, so both can share
+    the chunk; the sustained flag is also right on the following halo (its own
+    history is in the chunk), which the label then reads. Every frame is O(n):
+    running sums / counts / max plus ``lag`` / ``lead``. Needs the row index ``rn``."""
     before = max((rows or 1) - 1, (sustained_rows or 1) - 1)
     after = horizon - 1
     d = with_halo(df, rn, max(chunk_rows, before, after, 1), before=before, after=after)
     part = Window.partitionBy(entity, "_chunk")
     if rows:
-        w = part.orderBy(rn).rowsBetween(-(rows - 1), 0)
-        for c in trend_cols:
-            d = d.withColumn(f"{c}{trend_suffix}", F.avg(F.col(c).cast("double")).over(w))
+        d = _trend_exprs(d, part, rn, trend_cols, rows, trend_suffix)
     target = flag
     if sustained_rows:
         wa = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
@@ -208,7 +234,5 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
         d = d.withColumn(sustained_out, (F.col(rn) >= sustained_rows)
                          & (F.coalesce(last_break, F.lit(0)) <= F.col(rn) - sustained_rows))
         target = sustained_out
-    wd = part.orderBy(F.col(rn).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.min(F.when(F.coalesce(F.col(target), F.lit(False)), F.col(rn))).over(wd)
-    d = d.withColumn(label, F.coalesce((nxt - F.col(rn)) < horizon, F.lit(False)).cast("int"))
+    d = _lookahead_expr(d, part, rn, target, horizon, label)
     return d.filter(~F.col("_halo")).drop("_chunk", "_halo")
