@@ -154,18 +154,20 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
         d = grid
     d = d.withColumn("_ck", F.floor(F.col(K) / chunk_points).cast("long"))
     carried = []
+    d = d.select("*", *[F.when(F.col(s).isNotNull(), F.col(K)).alias(f"_p_{s}") for s in signals])
     for s in signals:
-        d = d.withColumn(f"_p_{s}", F.when(F.col(s).isNotNull(), F.col(K)))
         carried += [s, f"_p_{s}"]
     d = carry_last(d, entity, "_ck", [K], carried, suffix="_bf")
     d = carry_last(d, entity, "_ck", [K], carried, suffix="_af", reverse=True)
     k = F.col(K)
+    filled = {}
     for s in signals:
         kp, kn, vp, vn = F.col(f"_p_{s}_bf"), F.col(f"_p_{s}_af"), F.col(f"{s}_bf"), F.col(f"{s}_af")
         ok = F.col(s).isNull() & kp.isNotNull() & kn.isNotNull()
         ok = ok & ((k - kp) <= limit if mode == "prefix" else (kn - kp - 1) <= limit)
         fill = (vn - vp) / (kn - kp).cast("double") * (k - kp).cast("double") + vp
-        d = d.withColumn(s, F.when(ok, fill).otherwise(F.col(s)))
+        filled[s] = F.when(ok, fill).otherwise(F.col(s))
+    d = d.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in d.columns])
     drop = [c for c in d.columns if c.startswith("_p_") or c.endswith(("_bf", "_af"))] + ["_ck"]
     return d.drop(*drop, *([K] if own_k else []))
 

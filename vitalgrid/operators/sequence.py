@@ -92,9 +92,8 @@ def carry_last(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     ord_exprs = [F.col(o).desc() for o in order] if reverse else [F.col(o).asc() for o in order]
     end = 0 if inclusive else -1
     w_in = Window.partitionBy(entity, chunk).orderBy(*ord_exprs).rowsBetween(Window.unboundedPreceding, end)
-    out = df
-    for c in cols:
-        out = out.withColumn(f"_loc_{c}", F.last(F.col(c), ignorenulls=True).over(w_in))
+    # one select: a single Window operator carries every column
+    out = df.select("*", *[F.last(F.col(c), ignorenulls=True).over(w_in).alias(f"_loc_{c}") for c in cols])
     pick = F.min_by if reverse else F.max_by
     summ = df.groupBy(entity, chunk).agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_edge_{c}") for c in cols])
@@ -103,28 +102,31 @@ def carry_last(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     carry = summ.select(entity, chunk, *[F.last(F.col(f"_edge_{c}"), ignorenulls=True).over(w_ch)
                                          .alias(f"_car_{c}") for c in cols])
     out = out.join(carry, [entity, chunk], "left")
-    for c in cols:
-        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_loc_{c}"), F.col(f"_car_{c}")))
-        out = out.drop(f"_loc_{c}", f"_car_{c}")
-    return out
+    out = out.select("*", *[F.coalesce(F.col(f"_loc_{c}"), F.col(f"_car_{c}")).alias(f"{c}{suffix}") for c in cols])
+    return out.drop(*[f"_loc_{c}" for c in cols], *[f"_car_{c}" for c in cols])
 
 
 def _trend_exprs(d: DataFrame, part, rn: str, cols: Sequence[str], rows: int, suffix: str) -> DataFrame:
     """Mean of the last ``rows`` non-NULL values in O(n): running sum and
     count (an unbounded-preceding frame, updated row by row) minus their
     values ``rows`` rows back (``lag``: an offset frame). Spark's sliding
-    ``rowsBetween(-(rows-1), 0)`` frame re-aggregates every row: O(n * rows)."""
+    ``rowsBetween(-(rows-1), 0)`` frame re-aggregates every row: O(n * rows).
+    All columns go through one ``select`` per frame, so Spark runs one Window
+    operator per frame instead of one per column."""
     run = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     asc = part.orderBy(rn)
+    sums = []
     for c in cols:
         x = F.col(c).cast("double")
-        d = (d.withColumn(f"_s_{c}", F.coalesce(F.sum(x).over(run), F.lit(0.0)))
-              .withColumn(f"_n_{c}", F.count(x).over(run)))
+        sums += [F.coalesce(F.sum(x).over(run), F.lit(0.0)).alias(f"_s_{c}"), F.count(x).over(run).alias(f"_n_{c}")]
+    d = d.select("*", *sums)
+    trends = []
     for c in cols:
         s_back = F.coalesce(F.lag(f"_s_{c}", rows).over(asc), F.lit(0.0))
         n_back = F.coalesce(F.lag(f"_n_{c}", rows).over(asc), F.lit(0))
-        d = d.withColumn(f"{c}{suffix}", (F.col(f"_s_{c}") - s_back) / F.nullif(F.col(f"_n_{c}") - n_back, F.lit(0)))
-    return d.drop(*[f"_{k}_{c}" for c in cols for k in ("s", "n")])
+        trends.append(((F.col(f"_s_{c}") - s_back) / F.nullif(F.col(f"_n_{c}") - n_back, F.lit(0)))
+                      .alias(f"{c}{suffix}"))
+    return d.select("*", *trends).drop(*[f"_{k}_{c}" for c in cols for k in ("s", "n")])
 
 
 def _lookahead_expr(d: DataFrame, part, rn: str, flag: str, horizon: int, out: str) -> DataFrame:
@@ -134,10 +136,11 @@ def _lookahead_expr(d: DataFrame, part, rn: str, flag: str, horizon: int, out: s
     partition the count at its last row is used."""
     run = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     asc = part.orderBy(rn)
-    d = d.withColumn("_fc", F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("long")).over(run))
-    ahead = F.coalesce(F.lead("_fc", horizon - 1).over(asc), F.max("_fc").over(part))
-    before = F.coalesce(F.lag("_fc", 1).over(asc), F.lit(0))
-    return d.withColumn(out, ((ahead - before) > 0).cast("int")).drop("_fc")
+    d = d.select("*", F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("long")).over(run).alias("_fc"))
+    d = d.select("*", F.lead("_fc", horizon - 1).over(asc).alias("_fa"), F.lag("_fc", 1).over(asc).alias("_fb"),
+                 F.max("_fc").over(part).alias("_fe"))
+    label = ((F.coalesce(F.col("_fa"), F.col("_fe")) - F.coalesce(F.col("_fb"), F.lit(0))) > 0).cast("int")
+    return d.withColumn(out, label).drop("_fc", "_fa", "_fb", "_fe")
 
 
 def _ordered(df: DataFrame, entity: str, order, rn: str | None, bucket: str) -> tuple[DataFrame, str]:
@@ -231,8 +234,9 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
     if sustained_rows:
         wa = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
         last_break = F.max(F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col(rn))).over(wa)
-        d = d.withColumn(sustained_out, (F.col(rn) >= sustained_rows)
-                         & (F.coalesce(last_break, F.lit(0)) <= F.col(rn) - sustained_rows))
+        d = d.select("*", last_break.alias("_lb")).withColumn(
+            sustained_out, (F.col(rn) >= sustained_rows) & (F.coalesce(F.col("_lb"), F.lit(0)) <= F.col(rn) - sustained_rows)
+        ).drop("_lb")
         target = sustained_out
     d = _lookahead_expr(d, part, rn, target, horizon, label)
     return d.filter(~F.col("_halo")).drop("_chunk", "_halo")
