@@ -82,3 +82,15 @@ def test_gap_summary_zero_rows(spark):
     df = panel(spark, [0, 1, 2], entity=1).unionByName(panel(spark, [0, 3], entity=2))
     s = {r["e"]: r for r in G.gap_summary(G.find_gaps(df, "e", "ts"), df, "e").collect()}
     assert s[1]["n_gaps"] == 0 and s[2]["n_gaps"] == 1 and s[2]["n_small"] == 1
+
+
+def test_clean_panel_row_number_feeds_features(spark):
+    from vitalgrid.operators.features import build_features
+    data = [(1, T0 + dt.timedelta(minutes=m), float(m % 7)) for m in [0, 1, 2, 5, 6, 9, 10, 11, 12]]
+    df = spark.createDataFrame(data, "e long, ts timestamp, a double")
+    c = G.clean_panel(df, "e", "ts", ["a"], "1 minute", limit=1, row_number="rn")
+    assert [r["rn"] for r in c.orderBy("ts").collect()] == list(range(1, 14))
+    f1 = build_features(c, "e", ["ts"], ["a"], 1.0, 3, 4, rn="rn").orderBy("ts").collect()
+    f2 = build_features(c.drop("rn"), "e", ["ts"], ["a"], 1.0, 3, 4).orderBy("ts").collect()
+    assert [(r["a_zscore_trend"], r["target_future_risk"]) for r in f1] == \
+        [(r["a_zscore_trend"], r["target_future_risk"]) for r in f2]

@@ -72,10 +72,11 @@ def main() -> None:
     E, T, SIG = "user_id", "received_date", WEARABLE_SIGNALS
     raw = spark.read.parquet(src)
     clean = run("load_clean_grid", lambda: materialize(
-        G.clean_panel(raw, E, T, SIG, "1 minute", limit=5), "scale-clean"))
+        G.clean_panel(raw, E, T, SIG, "1 minute", limit=5, row_number="rn"), "scale-clean"))
     n_rows = clean.count()
     feats = run("features_labels", lambda: materialize(
-        build_features(clean.select(E, T, *SIG), E, [T], SIG, z_threshold=2.0, trend_rows=60, horizon=720),
+        build_features(clean.select(E, T, "rn", *SIG), E, [T], SIG, z_threshold=2.0, trend_rows=60, horizon=720,
+                       rn="rn"),
         "scale-features"))
     cols = feature_columns(SIG, trend=True)
     y = "target_future_risk"

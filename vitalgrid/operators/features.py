@@ -22,18 +22,23 @@ def build_features(df: DataFrame, entity: str, order: Sequence[str], signals: Se
                    z_threshold: float = 2.0, trend_rows: int | None = 60, horizon: int = 720,
                    sustained_rows: int | None = None, stats: DataFrame | None = None,
                    label: str = "target_future_risk", chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
-                   bucket: str = "day") -> DataFrame:
+                   bucket: str = "day", rn: str | None = None) -> DataFrame:
     """Panel -> feature table with ``<sig>_zscore``, ``<sig>_zscore_trend``
     (mean of the last ``trend_rows`` rows), ``risk_event_now`` (any |z| above
     the threshold), optionally ``sustained_event`` (``sustained_rows`` flagged
     rows in a row) and ``label`` (an event within the next ``horizon`` rows,
     current row included). ``stats`` defaults to all history of all entities.
-    ``bucket``: time unit of the row-numbering pieces (``sequence.row_index``)."""
+    ``bucket``: time unit of the row-numbering pieces (``sequence.row_index``);
+    ``rn``: an existing 1-based per-entity row number (e.g. from ``clean_panel``
+    on a regular grid) — then no numbering pass runs."""
     order = list(order)
     z = B.zscore(df, entity, signals, stats=stats)
     zc = [f"{s}_zscore" for s in signals]
     z = B.any_exceeds(z, zc, z_threshold)
-    z = S.row_index(z, entity, order, bucket=bucket)
+    if rn is None:
+        z = S.row_index(z, entity, order, bucket=bucket)
+    else:
+        z = z.withColumnRenamed(rn, S.RN)
     # trend, run length and look-ahead share one (entity, chunk) exchange
     z = S.trend_and_label(z, entity, S.RN, zc, trend_rows, "risk_event_now", horizon, label=label,
                           sustained_rows=sustained_rows, chunk_rows=chunk_rows)

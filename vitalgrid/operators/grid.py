@@ -174,17 +174,22 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
 
 def clean_panel(df: DataFrame, entity: str, ts: str, signals: Sequence[str], step: str | int = "1 minute",
                 limit: int = 5, mode: str = "prefix", on_duplicate: str = "error",
-                order: Sequence[str] | None = None, chunk_points: int = DEFAULT_CHUNK_POINTS) -> DataFrame:
+                order: Sequence[str] | None = None, chunk_points: int = DEFAULT_CHUNK_POINTS,
+                row_number: str | None = None) -> DataFrame:
     """Reindex to the grid, interpolate, flag: adds ``was_missing`` (first signal
     NULL before filling, also for a present row with a NULL reading) and
-    ``device_not_worn`` (first signal still NULL after filling)."""
+    ``device_not_worn`` (first signal still NULL after filling).
+    ``row_number``: also keep the 1-based position of each row in its entity's
+    series under that name (= grid index + 1 on a regular grid), so ordered
+    operators downstream need no row numbering pass."""
     keep = [entity, ts, *signals, *[o for o in (order or []) if o not in (entity, ts, *signals)]]
     g = reindex_to_grid(df.select(*keep), entity, ts, step, on_duplicate, order, chunk_points,
                         keep_index=True)
     g = flag_missing(g, signals[0], before=True)
     g = interpolate_limited(g, entity, ts, signals, limit, mode, step, chunk_points)
     g = flag_missing(g, signals[0], before=False)
-    return g.select(entity, ts, *signals, "was_missing", "device_not_worn")
+    extra = [(F.col(K) + 1).alias(row_number)] if row_number else []
+    return g.select(entity, ts, *signals, "was_missing", "device_not_worn", *extra)
 
 
 def flag_missing(df: DataFrame, first_signal: str, before: bool) -> DataFrame:

@@ -114,33 +114,25 @@ def score(model, df: DataFrame, cols: Sequence[str], out: str = "risk_score") ->
 def _leaf_probabilities(model) -> np.ndarray:
     """[tree, leaf] -> class-1 probability of that leaf, leaves numbered
     left-first (the numbering of Spark's ``leafCol``). Read from the model's
-    saved node table; size is bounded by numTrees * 2**maxDepth."""
+    saved node table, whose node ids are preorder (left subtree first), so a
+    tree's leaves sorted by id are in left-first order. Size is bounded by
+    numTrees * 2**maxDepth."""
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     path = os.path.join(checkpoint_dir(ss), "models", f"forest-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
-    nodes = (ss.read.parquet(os.path.join(path, "data"))
-               .select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild",
-                       "nodeData.impurityStats").toPandas())
-    trees = []
-    for _, t in nodes.groupby("treeID"):
-        by_id = {int(r.id): r for r in t.itertuples(index=False)}
-        probs: list[float] = []
-        stack = [0]
-        while stack:  # iterative left-first walk over the leaves
-            r = by_id[stack.pop()]
-            if int(r.leftChild) < 0:
-                st = np.asarray(r.impurityStats, dtype="float64")
-                probs.append(float(st[1] / st.sum()) if st.sum() > 0 and len(st) > 1 else 0.0)
-            else:
-                stack.append(int(r.rightChild))
-                stack.append(int(r.leftChild))
-        trees.append((int(t["treeID"].iloc[0]), probs))
-    trees.sort()
-    width = max(len(p) for _, p in trees)
-    table = np.zeros((len(trees), width))
-    for i, (_, p) in enumerate(trees):
-        table[i, :len(p)] = p
+    stats = F.col("nodeData.impurityStats")
+    total = F.aggregate(stats, F.lit(0.0), lambda acc, x: acc + x)
+    p1 = F.when(F.size(stats) > 1, stats[1] / F.nullif(total, F.lit(0.0)))
+    leaves = (ss.read.parquet(os.path.join(path, "data"))
+                .filter(F.col("nodeData.leftChild") < 0)
+                .select("treeID", F.col("nodeData.id").alias("id"), F.coalesce(p1, F.lit(0.0)).alias("p"))
+                .toPandas().sort_values(["treeID", "id"]))
+    leaves["leaf"] = leaves.groupby("treeID").cumcount()
+    trees = np.sort(leaves["treeID"].unique())
+    pos = np.searchsorted(trees, leaves["treeID"].to_numpy())
+    table = np.zeros((len(trees), int(leaves["leaf"].max()) + 1))
+    table[pos, leaves["leaf"].to_numpy()] = leaves["p"].to_numpy()
     return table
 
 
