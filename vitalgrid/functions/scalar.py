@@ -73,3 +73,15 @@ def stable_uniform(*parts) -> Column:
 def minutes_between(start, end) -> Column:
     """``(end - start)`` in minutes as double."""
     return (F.unix_micros(col(end)) - F.unix_micros(col(start))).cast("double") / F.lit(60_000_000.0)
+
+
+def round_doubles(df, digits: int = 6):
+    """Round every double/float column of ``df`` to ``digits`` places."""
+    from pyspark.sql import types as T
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)

@@ -217,8 +217,8 @@ def reduction_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 10, digits: int = 3) -> DataFrame:
     """First ``n`` rows by ``order`` with doubles rounded (a top-n report)."""
-    from vitalgrid.plans.registry import rounded
-    return rounded(df.orderBy(*order).limit(n), digits)
+    from vitalgrid.functions.scalar import round_doubles
+    return round_doubles(df.orderBy(*order).limit(n), digits)
 
 
 def serving_table(features: DataFrame, model, entity: str, ts: str, signals: Sequence[str],

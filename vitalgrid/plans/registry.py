@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vitalgrid.functions.scalar import round_doubles
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -26,10 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double/float column to ``digits`` places (oracle comparisons)."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+    return round_doubles(df, digits)
