@@ -129,3 +129,14 @@ def test_fused_trend_sustained_label_matches_brute_force(spark):
         for r, t, s, la in zip(mine, tr, sus, lab):
             assert (r["v_trend"] is None and t is None) or abs(r["v_trend"] - t) < 1e-12
             assert r["sustained_event"] == s and r["target_future_risk"] == la
+
+
+def test_row_index_splits_hot_pieces(spark):
+    # one entity-hour with 40 rows and a piece limit of 7: numbering stays exact
+    rnd = random.Random(9)
+    mins = sorted(rnd.sample(range(60), 40))
+    df = panel(spark, [(1, m, 0.0, False) for m in mins] + [(2, m, 0.0, False) for m in (5, 70, 130)])
+    out = S.row_index(df, "e", ["ts"], bucket="hour", max_piece_rows=7)
+    got = out.orderBy("e", "ts").collect()
+    assert [r[S.RN] for r in got if r["e"] == 1] == list(range(1, 41))
+    assert [r[S.RN] for r in got if r["e"] == 2] == [1, 2, 3]

@@ -34,24 +34,41 @@ def _cols(xs) -> list[str]:
 
 
 def row_index(df: DataFrame, entity: str, order: Sequence[str], bucket: str = "day",
-              out: str = RN) -> DataFrame:
+              out: str = RN, max_piece_rows: int = 1_000_000) -> DataFrame:
     """Add ``out`` = 1-based row number per ``entity`` in ``order`` order.
 
-    The first ``order`` column must be a timestamp; it is cut into ``bucket``
-    pieces (``date_trunc`` unit) that are numbered independently and shifted by
-    the running row count of the earlier pieces of the same entity.
+    The first ``order`` column must be a timestamp; rows are cut into pieces
+    (entity, ``bucket`` = ``date_trunc`` unit) that are numbered independently
+    and shifted by the running row count of the earlier pieces of the entity.
+    A piece with more than ``max_piece_rows`` rows (a hot entity-day) is cut
+    into equal time slices of its own span, so no task numbers more than about
+    that many rows; only the hot pieces are joined back to the rows (a table
+    that is empty or tiny in the normal case). Rows sharing one timestamp stay
+    in one slice.
     """
     order = _cols(order)
     ts = order[0]
     d = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts)))
-    counts = d.groupBy(entity, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(entity).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(entity, "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # null-safe join: a NULL timestamp forms its own (first) bucket
-    d = d.join(offsets, (d[entity].eqNullSafe(offsets[entity])) & (d["_bk"].eqNullSafe(offsets["_bk"])),
-               "inner").drop(offsets[entity]).drop(offsets["_bk"])
-    piece = Window.partitionBy(entity, "_bk").orderBy(*order)
-    return d.withColumn(out, (F.col("_off") + F.row_number().over(piece)).cast("long")).drop("_off", "_bk")
+    pieces = d.groupBy(entity, "_bk").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_p0"),
+                                          F.max(ts).alias("_p1"))
+    hot = (pieces.filter(F.col("_n") > max_piece_rows)
+           .select(F.col(entity).alias("_he"), F.col("_bk").alias("_hb"),
+                   F.ceil(F.col("_n") / max_piece_rows).alias("_parts"), F.col("_p0"),
+                   (F.unix_micros(F.col("_p1")) - F.unix_micros(F.col("_p0")) + 1).alias("_span")))
+    d = d.join(hot, (d[entity] == hot["_he"]) & (d["_bk"] == hot["_hb"]), "left")
+    frac = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_p0"))).cast("double") / F.col("_span").cast("double")
+    d = d.withColumn("_sl", F.coalesce(F.floor(frac * F.col("_parts")), F.lit(0)).cast("long")).drop(
+        "_he", "_hb", "_parts", "_p0", "_span")
+    counts = d.groupBy(entity, "_bk", "_sl").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(entity).orderBy("_bk", "_sl").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(entity).alias("_oe"), F.col("_bk").alias("_ob"), F.col("_sl").alias("_os"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # null-safe join: a NULL timestamp forms its own (first) piece
+    cond = (d[entity].eqNullSafe(offsets["_oe"]) & d["_bk"].eqNullSafe(offsets["_ob"])
+            & d["_sl"].eqNullSafe(offsets["_os"]))
+    d = d.join(offsets, cond, "inner").drop("_oe", "_ob", "_os")
+    piece = Window.partitionBy(entity, "_bk", "_sl").orderBy(*order)
+    return d.withColumn(out, (F.col("_off") + F.row_number().over(piece)).cast("long")).drop("_off", "_bk", "_sl")
 
 
 def with_halo(df: DataFrame, rn: str, chunk_rows: int, before: int, after: int) -> DataFrame:
