@@ -153,17 +153,18 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
     else:
         d = grid
     d = d.withColumn("_ck", F.floor(F.col(K) / chunk_points).cast("long"))
-    carried = []
-    d = d.select("*", *[F.when(F.col(s).isNotNull(), F.col(K)).alias(f"_p_{s}") for s in signals])
-    for s in signals:
-        carried += [s, f"_p_{s}"]
+    # one carried column per signal: (position, value) of its non-NULL cells
+    d = d.select("*", *[F.when(F.col(s).isNotNull(), F.struct(F.col(K).alias("k"), F.col(s).alias("v")))
+                        .alias(f"_p_{s}") for s in signals])
+    carried = [f"_p_{s}" for s in signals]
     d = carry_last(d, entity, "_ck", [K], carried, suffix="_bf")
     d = carry_last(d, entity, "_ck", [K], carried, suffix="_af", reverse=True)
     k = F.col(K)
     filled = {}
     for s in signals:
-        kp, kn, vp, vn = F.col(f"_p_{s}_bf"), F.col(f"_p_{s}_af"), F.col(f"{s}_bf"), F.col(f"{s}_af")
-        ok = F.col(s).isNull() & kp.isNotNull() & kn.isNotNull()
+        bf, af = F.col(f"_p_{s}_bf"), F.col(f"_p_{s}_af")
+        kp, kn, vp, vn = bf["k"], af["k"], bf["v"], af["v"]
+        ok = F.col(s).isNull() & bf.isNotNull() & af.isNotNull()
         ok = ok & ((k - kp) <= limit if mode == "prefix" else (kn - kp - 1) <= limit)
         fill = (vn - vp) / (kn - kp).cast("double") * (k - kp).cast("double") + vp
         filled[s] = F.when(ok, fill).otherwise(F.col(s))
