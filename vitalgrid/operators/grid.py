@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.sequence import carry_last
+from vitalgrid.operators.sequence import carry_both, carry_last
 
 K = "_k"
 DEFAULT_CHUNK_POINTS = 250_000
@@ -157,8 +157,7 @@ def interpolate_limited(grid: DataFrame, entity: str, ts: str, signals: Sequence
     d = d.select("*", *[F.when(F.col(s).isNotNull(), F.struct(F.col(K).alias("k"), F.col(s).alias("v")))
                         .alias(f"_p_{s}") for s in signals])
     carried = [f"_p_{s}" for s in signals]
-    d = carry_last(d, entity, "_ck", [K], carried, suffix="_bf")
-    d = carry_last(d, entity, "_ck", [K], carried, suffix="_af", reverse=True)
+    d = carry_both(d, entity, "_ck", [K], carried)
     k = F.col(K)
     filled = {}
     for s in signals:

@@ -257,3 +257,38 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
         target = sustained_out
     d = _lookahead_expr(d, part, rn, target, horizon, label)
     return d.filter(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def carry_both(df: DataFrame, entity: str, chunk: str, order: Sequence[str], cols: Sequence[str],
+               before_suffix: str = "_bf", after_suffix: str = "_af") -> DataFrame:
+    """For each row and column: the last non-NULL value at or before the row
+    (``<col><before_suffix>``) and the first at or after it
+    (``<col><after_suffix>``), within ``entity`` in ``order`` order.
+
+    One explicit exchange on (entity, chunk) feeds everything: the ascending
+    and the descending window (one sort each) and the per-chunk edge summary
+    (a local aggregate on the already partitioned rows). Spark reuses that one
+    exchange, so the input plan runs once. Values from earlier / later chunks
+    come through the summary table (one row per chunk)."""
+    order = _cols(order)
+    cols = _cols(cols)
+    okey = F.struct(*[F.col(o) for o in order])
+    shuffled = df.repartition(entity, chunk)
+    part = Window.partitionBy(entity, chunk)
+    w_up = part.orderBy(*[F.col(o).asc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    w_dn = part.orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    out = shuffled.select("*", *[F.last(F.col(c), ignorenulls=True).over(w_up).alias(f"_lb_{c}") for c in cols])
+    out = out.select("*", *[F.last(F.col(c), ignorenulls=True).over(w_dn).alias(f"_la_{c}") for c in cols])
+    summ = shuffled.groupBy(entity, chunk).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_el_{c}") for c in cols],
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_ef_{c}") for c in cols])
+    earlier = Window.partitionBy(entity).orderBy(F.col(chunk).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(entity).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(entity, chunk,
+                        *[F.last(F.col(f"_el_{c}"), ignorenulls=True).over(earlier).alias(f"_cb_{c}") for c in cols],
+                        *[F.last(F.col(f"_ef_{c}"), ignorenulls=True).over(later).alias(f"_ca_{c}") for c in cols])
+    out = out.join(carry, [entity, chunk], "left")
+    out = out.select("*", *[F.coalesce(F.col(f"_lb_{c}"), F.col(f"_cb_{c}")).alias(f"{c}{before_suffix}")
+                            for c in cols],
+                     *[F.coalesce(F.col(f"_la_{c}"), F.col(f"_ca_{c}")).alias(f"{c}{after_suffix}") for c in cols])
+    return out.drop(*[f"_{p}_{c}" for c in cols for p in ("lb", "la", "cb", "ca")])
