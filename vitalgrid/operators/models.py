@@ -30,7 +30,7 @@ from vitalgrid.operators.baselines import any_exceeds, zscore
 from vitalgrid.operators.features import fill_features
 from vitalgrid.operators.metrics import auroc, average_precision
 from vitalgrid.functions.scalar import stable_uniform
-from vitalgrid.session import checkpoint_dir
+from vitalgrid.session import checkpoint_dir, materialize
 
 FEATURES = "features"
 WEIGHT = "weight"
@@ -209,18 +209,26 @@ def ablation(train: DataFrame, test: DataFrame, signals: Sequence[str], cols: Se
 
 
 def seed_robustness(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str,
-                    fit: Callable, seeds: Sequence[int]) -> DataFrame:
-    """One row per seed: AUROC and PR-AUC of the model fitted with that seed."""
-    parts = []
+                    fit: Callable, seeds: Sequence[int], return_best: bool = False):
+    """One row per seed: AUROC and PR-AUC of the model fitted with that seed.
+    ``return_best``: also return the fitted model of the best test AUROC."""
+    parts, best, best_auc = [], None, -1.0
     for s in seeds:
-        pred = score(fit(train, cols, label, seed=s), test, cols)
-        parts.append(_one_row(auroc(pred, "risk_score", label),
-                              average_precision(pred, "risk_score", label, out="prauc"), "seed")
-                     .withColumn("seed", F.lit(s)))
+        model = fit(train, cols, label, seed=s)
+        pred = score(model, test, cols)
+        row = _one_row(auroc(pred, "risk_score", label), average_precision(pred, "risk_score", label, out="prauc"),
+                       "seed").withColumn("seed", F.lit(s))
+        if return_best:
+            row = materialize(row, "seed-run")
+            auc = row.first()["auroc"]
+            if auc is not None and auc > best_auc:
+                best, best_auc = model, auc
+        parts.append(row)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("model")
+    out = out.drop("model")
+    return (out, best) if return_best else out
 
 
 # The two search spaces of the reference, in its terms, mapped
