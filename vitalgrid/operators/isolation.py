@@ -1,12 +1,13 @@
 """Isolation forest as Spark jobs.
 
 Fit: every tree ``t`` gets ``sample_size`` rows drawn without replacement by
-the seeded hash ``u(key, t)``. Rows are candidates for tree ``t`` when
-``u < rate`` (rate = 4 x sample_size / n, a Bernoulli sample with four-fold
-headroom); the ``sample_size`` smallest hashes per tree are kept
-(``row_number`` with Spark's partial WindowGroupLimit), which equals the
-``sample_size`` smallest hashes over all rows whenever a tree has that many
-candidates. Each tree is grown in its own group by ``applyInPandas`` (a small
+the seeded hash ``u(key, t)``. Rows are candidates for tree ``t`` with
+probability ``rate`` (= 4 x sample_size / n, a Bernoulli sample with four-fold
+headroom), drawn in two steps so that only about ``n_trees x rate x n`` rows
+ever hash per tree; each tree keeps the ``sample_size`` candidates with the
+smallest hash (``row_number`` with Spark's partial WindowGroupLimit) — a
+uniform sample without replacement, since every row is a candidate of every
+tree with the same probability. Each tree is grown in its own group by ``applyInPandas`` (a small
 NumPy helper on at most ``sample_size`` rows); the node tables (bounded by
 ``n_trees x (2 x sample_size - 1)``) come back to the driver and are broadcast.
 
@@ -92,7 +93,13 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees:
     max_depth = max(1, math.ceil(math.log2(max(m, 2))))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     x = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    cand = x.withColumn("tree", F.explode(F.filter(trees, lambda t: stable_uniform(key, t, seed) < rate)))
+    # one hash per row decides whether it can be in any tree (probability
+    # n_trees * rate); only those rows draw a hash per tree, at rate / p_any,
+    # so every tree still samples each row with probability ``rate``
+    p_any = min(1.0, n_trees * rate)
+    x = x.filter(stable_uniform(key, F.lit("any"), seed) < p_any)
+    cond = rate / p_any
+    cand = x.withColumn("tree", F.explode(F.filter(trees, lambda t: stable_uniform(key, t, seed) < cond)))
     cand = cand.withColumn("_u", stable_uniform(key, F.col("tree"), seed))
     w = Window.partitionBy("tree").orderBy("_u", key)
     sample = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_u")

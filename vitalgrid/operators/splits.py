@@ -104,14 +104,23 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 def standardise(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Centre and scale by the train mean and population std (a zero std
-    scales by 1); the statistics are scalar subqueries over ``train``."""
-    stats = {}
+    scales by 1). The fit is one aggregate over ``train`` returning
+    ``2 x len(cols)`` numbers."""
+    aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        stats[c] = (train.select(F.avg(x)).scalar(), train.select(F.stddev_pop(x)).scalar())
+        aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
+    row = train.agg(*aggs).first()
+    stats = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
 
     def apply(d: DataFrame) -> DataFrame:
-        for c, (m, s) in stats.items():
-            d = d.withColumn(c, (F.col(c) - m) / F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(1.0)))
-        return d
+        out = []
+        for f in d.columns:
+            if f in stats:
+                m, s = stats[f]
+                scale = s if s not in (None, 0.0) else 1.0
+                out.append(((F.col(f) - F.lit(m)) / F.lit(scale)).alias(f))
+            else:
+                out.append(F.col(f))
+        return d.select(*out)
     return apply(train), apply(test)
