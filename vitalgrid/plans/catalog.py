@@ -15,20 +15,7 @@ E, T, ORD = "user_id", "ts", ["ts", "event_id"]
 SIG = X.P_RAW_SIGNALS
 ZC = [f"{s}_zscore" for s in SIG]
 
-# ------------------------------------------------------------------ SQL pieces
-STATS_SQL = X.P_RAW_SQL + """,
-st AS (SELECT user_id, avg(value) AS value_mean, stddev_samp(value) AS value_std,
-              avg(k) AS k_mean, stddev_samp(k) AS k_std FROM p_raw GROUP BY user_id)"""
-Z_SQL = STATS_SQL + """,
-z AS (SELECT p.*, (value - value_mean) / nullif(value_std, 0) AS value_zscore,
-             (k - k_mean) / nullif(k_std, 0) AS k_zscore
-      FROM p_raw p LEFT JOIN st USING (user_id))"""
-
-
-def flag_sql(thr: float, name: str = "flagged") -> str:
-    return Z_SQL + f""",
-{name} AS (SELECT *, coalesce(abs(value_zscore) > {thr}, false) OR coalesce(abs(k_zscore) > {thr}, false)
-              AS risk_event_now FROM z)"""
+from vitalgrid.plans.common import STATS_SQL, Z_SQL, flag_sql  # noqa: E402,F401
 
 
 def flagged_raw(spark, d, thr: float = 2.0):

@@ -19,7 +19,7 @@ from vitalgrid.operators import models as MD
 from vitalgrid.operators.features import build_features, derived_columns, feature_columns
 from vitalgrid.functions.scalar import any_exceeds_expr
 from vitalgrid.operators.splits import split_by_entity
-from vitalgrid.plans.catalog import flag_sql
+from vitalgrid.plans.common import flag_sql
 from vitalgrid.plans.registry import query, rounded
 from vitalgrid.session import materialize
 from vitalgrid.sources import fixtures as X

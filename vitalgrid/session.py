@@ -58,19 +58,25 @@ def pin_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def materialize(df, name: str, partitions: int | None = None):
+def materialize(df, name: str, partitions: int | None = None, target_bytes: int = 4 << 20):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts the lineage (a lost executor re-reads files instead of
     replaying the plan) in one pass, unlike ``DataFrame.checkpoint`` which runs
     the plan twice, and keeps column pruning for later readers.
 
-    ``partitions``: spread the rows over at least this many files (default:
-    the cluster's default parallelism) so iterative fits use every core even
-    when AQE coalesced a small result into one partition."""
+    The read-back is sized by the bytes written (about ``target_bytes`` per
+    partition, at most ``partitions`` = the cluster's default parallelism), so
+    iterative fits on a small table do not pay for many near-empty tasks and
+    large tables keep every core busy."""
+    import math
     import uuid
     spark = df.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     out = df.repartition(n) if df.rdd.getNumPartitions() < n else df
     out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    want = max(1, min(n, math.ceil(size / target_bytes)))
+    return back.coalesce(want) if back.rdd.getNumPartitions() > want else back
