@@ -60,3 +60,12 @@ def test_reduction_report(spark):
     a, b = spark.range(345680), spark.range(23120)
     r = V.reduction_report(a, b).first()
     assert (r["rows_before"], r["rows_after"], r["reduction_percent"]) == (345680, 23120, 93.31)
+
+
+def test_alert_history_newest_first(spark):
+    rows = [(1, T0, 0.8, 0.1), (1, T0 + dt.timedelta(days=1), 0.9, 0.1), (2, T0, 0.75, 0.2)]
+    a = spark.createDataFrame(rows, "user_id long, alert_time timestamp, risk_score double, uncertainty double")
+    one = [r["risk_score"] for r in V.alert_history(a, "user_id", 1).collect()]
+    assert one == [0.9, 0.8]
+    every = [(r["user_id"], r["risk_score"]) for r in V.alert_history(a, "user_id").collect()]
+    assert every == [(1, 0.9), (1, 0.8), (2, 0.75)]

@@ -153,8 +153,12 @@ def risk_band_limits(df: DataFrame, score: str = "risk_score", uncertainty: str
               .withColumn("lower", F.greatest(F.col(score) - F.col(uncertainty), F.lit(0.0))))
 
 
-def alert_history(alerts: DataFrame, entity: str, entity_id, ts: str = "alert_time") -> DataFrame:
-    """One entity's alerts, newest first."""
+def alert_history(alerts: DataFrame, entity: str, entity_id=None, ts: str = "alert_time") -> DataFrame:
+    """One entity's alerts, newest first; with ``entity_id=None`` every
+    entity's history, ordered by entity and then newest first (a range-
+    partitioned sort, no single task)."""
+    if entity_id is None:
+        return alerts.orderBy(F.col(entity).asc(), F.col(ts).desc())
     return alerts.filter(F.col(entity) == F.lit(entity_id)).orderBy(F.col(ts).desc())
 
 

@@ -24,7 +24,6 @@ TYPES = X.EVENT_TYPES
 TYPE_NAMES = {"click": "Click", "error": "Error", "purchase": "Purchase", "signup": "Signup", "view": "View"}
 TYPE_WEIGHTS = {"click": 0.3, "error": 0.25, "purchase": 0.2, "signup": 0.15, "view": 0.1}
 ALERT_LOG_CUTOFF = "2024-01-15"
-HISTORY_ENTITY = 7
 
 
 # ------------------------------------------------------------------ filters
@@ -239,11 +238,12 @@ def q_unlogged_alerts(spark, d):
     return rounded(V.unlogged_alerts(new, existing, E))
 
 
-@query("alert_history", DAY_ALERTS_SQL + f"""
+@query("alert_history", DAY_ALERTS_SQL + """
 SELECT user_id, alert_time, round(risk_score, 6) AS risk_score, round(uncertainty, 6) AS uncertainty
-FROM al WHERE user_id = {HISTORY_ENTITY} ORDER BY alert_time DESC""")
+FROM al ORDER BY user_id, alert_time DESC""")
 def q_alert_history(spark, d):
-    return rounded(V.alert_history(day_alerts(spark, d), E, HISTORY_ENTITY))
+    """Every entity's alert history, newest first within each entity."""
+    return rounded(V.alert_history(day_alerts(spark, d), E))
 
 
 @query("entity_summary", LATEST_SERVE_SQL + """
