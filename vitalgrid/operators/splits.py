@@ -45,6 +45,7 @@ def split_stratified(df: DataFrame, label: str, key: str, test_size: float = 0.2
                                F.struct(F.col(label), hash_bucket(F.col("_h"))).alias("_b"))
     # per-class rank = global rank minus the rows of lower classes
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_ny"))
+    # one row per class: a window over the whole (tiny) class table is fine here
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     counts = F.broadcast(counts.select(label, "_ny", F.coalesce(F.sum("_ny").over(w), F.lit(0)).alias("_below")))
     r = ranked.join(counts, label, "inner")
