@@ -265,11 +265,12 @@ def carry_both(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     (``<col><before_suffix>``) and the first at or after it
     (``<col><after_suffix>``), within ``entity`` in ``order`` order.
 
-    One explicit exchange on (entity, chunk) feeds everything: the ascending
-    and the descending window (one sort each) and the per-chunk edge summary
-    (a local aggregate on the already partitioned rows). Spark reuses that one
-    exchange, so the input plan runs once. Values from earlier / later chunks
-    come through the summary table (one row per chunk)."""
+    The rows are partitioned once by (entity, chunk); the ascending and the
+    descending window run on that partitioning (one sort each, no second
+    exchange). The per-chunk edge summary is a local aggregate on rows
+    partitioned the same way; it reads only the carried columns, so Spark
+    plans it as its own (narrower) exchange of the same input. Values from
+    earlier / later chunks come through the summary table (one row per chunk)."""
     order = _cols(order)
     cols = _cols(cols)
     okey = F.struct(*[F.col(o) for o in order])
