@@ -47,3 +47,14 @@ def test_standardise_population_std(spark):
     tr, te = SP.standardise(train, test, ["x"])
     assert [r[0] for r in tr.orderBy("x").collect()] == [-1.0, 1.0]
     assert te.first()[0] == 3.0
+
+
+def test_sample_n_large_per_group_uses_buckets(spark):
+    df = spark.range(6000).withColumn("g", F.col("id") % 3)
+    big = SP.sample_n(df, "id", 1500, seed=5, by="g")          # above the window-limit threshold
+    assert sorted(r["count"] for r in big.groupBy("g").count().collect()) == [1500] * 3
+    small = SP.sample_n(df, "id", 999, seed=5, by="g")
+    bigger = SP.sample_n(df, "id", 1001, seed=5, by="g")
+    a = {r["id"] for r in small.collect()}
+    b = {r["id"] for r in bigger.collect()}
+    assert a < b and len(b - a) == 6                             # both paths rank by the same hash

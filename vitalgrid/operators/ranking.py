@@ -59,17 +59,22 @@ def _bucket_offsets(df: DataFrame, sums: dict[str, Column], descending: bool,
     tot = df.groupBy(*by, B).agg(*[e.alias(f"_bt_{k}") for k, e in sums.items()])
     order = F.col(B).desc() if descending else F.col(B).asc()
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(tot.select(*by, B, *[F.coalesce(F.sum(f"_bt_{k}").over(w), F.lit(0)).alias(f"_off_{k}")
-                                            for k in sums]))
+    offs = tot.select(*by, B, *[F.coalesce(F.sum(f"_bt_{k}").over(w), F.lit(0)).alias(f"_off_{k}") for k in sums])
+    # one row per bucket is a proven bound; with group keys the size grows with
+    # the number of groups, so the join strategy is left to AQE
+    return F.broadcast(offs) if not by else offs
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], bucket: Column, out: str = "_rank") -> DataFrame:
-    """1-based rank of each row in ``order`` over the whole table. ``bucket``
-    must be monotone in ``order`` (rows of a lower bucket come first)."""
+def global_row_number(df: DataFrame, order: Sequence[Column], bucket: Column, out: str = "_rank",
+                      by: Sequence[str] = ()) -> DataFrame:
+    """1-based rank of each row in ``order`` over the whole table (within each
+    ``by`` group). ``bucket`` must be monotone in ``order`` (rows of a lower
+    bucket come first); no task ranks more than one (group, bucket)."""
+    by = list(by)
     d = df.withColumn(B, bucket)
-    offs = _bucket_offsets(d, {"n": F.count(F.lit(1))}, descending=False)
-    w = Window.partitionBy(B).orderBy(*order)
-    return (d.join(offs, B, "inner")
+    offs = _bucket_offsets(d, {"n": F.count(F.lit(1))}, descending=False, by=by)
+    w = Window.partitionBy(*by, B).orderBy(*order)
+    return (d.join(offs, [*by, B], "inner")
              .withColumn(out, F.col("_off_n") + F.row_number().over(w))
              .drop(B, "_off_n"))
 

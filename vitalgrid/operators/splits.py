@@ -71,17 +71,23 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, by: str | Sequence
     hash of ``key`` (per ``by`` group when given).
 
     Whole table: ``orderBy(hash).limit(n)`` plans as TakeOrderedAndProject —
-    each task keeps its own best ``n`` before the merge. Per group: a
-    ``row_number() <= n`` filter, which Spark runs with a partial
-    WindowGroupLimit before the shuffle, so a hot group sends at most ``n``
-    rows per map task."""
+    each task keeps its own best ``n`` before the merge. Per group: for ``n``
+    up to Spark's ``windowGroupLimitThreshold`` a ``row_number() <= n`` filter,
+    which Spark runs with a partial WindowGroupLimit before the shuffle (a hot
+    group sends at most ``n`` rows per map task); for larger ``n`` the rank
+    inside each group comes from hash buckets (``ranking.global_row_number``),
+    so no task sorts a whole group."""
     h = stable_hash_key(key, seed)
     if by is None:
         return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
     by = [by] if isinstance(by, str) else list(by)
-    w = Window.partitionBy(*by).orderBy("_h", key)
-    return (df.withColumn("_h", h).withColumn("_r", F.row_number().over(w))
-              .filter(F.col("_r") <= n).drop("_h", "_r"))
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    d = df.withColumn("_h", h)
+    if n <= limit:
+        w = Window.partitionBy(*by).orderBy("_h", key)
+        return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_h", "_r")
+    ranked = global_row_number(d, [F.col("_h"), F.col(key)], hash_bucket(F.col("_h")), out="_r", by=by)
+    return ranked.filter(F.col("_r") <= n).drop("_h", "_r")
 
 
 def mask_cells(df: DataFrame, cols: Sequence[str], frac: float, seed: int, key: str,
