@@ -30,19 +30,18 @@ def build_features(df: DataFrame, entity: str, order: Sequence[str], signals: Se
     current row included). ``stats`` defaults to all history of all entities.
     ``bucket``: time unit of the row-numbering pieces (``sequence.row_index``);
     ``rn``: an existing 1-based per-entity row number (e.g. from ``clean_panel``
-    on a regular grid) — then no numbering pass runs."""
+    on a regular grid) — then no numbering pass runs and the column is kept."""
     order = list(order)
     z = B.zscore(df, entity, signals, stats=stats)
     zc = [f"{s}_zscore" for s in signals]
     z = B.any_exceeds(z, zc, z_threshold)
+    rcol = rn or S.RN
     if rn is None:
         z = S.row_index(z, entity, order, bucket=bucket)
-    else:
-        z = z.withColumnRenamed(rn, S.RN)
     # trend, run length and look-ahead share one (entity, chunk) exchange
-    z = S.trend_and_label(z, entity, S.RN, zc, trend_rows, "risk_event_now", horizon, label=label,
+    z = S.trend_and_label(z, entity, rcol, zc, trend_rows, "risk_event_now", horizon, label=label,
                           sustained_rows=sustained_rows, chunk_rows=chunk_rows)
-    return z.drop(S.RN)
+    return z if rn else z.drop(S.RN)
 
 
 def feature_columns(signals: Sequence[str], trend: bool = True) -> list[str]:

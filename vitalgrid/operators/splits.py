@@ -66,9 +66,11 @@ def assign_clients(df: DataFrame, entity: str, k: int = 4, seed: int = 42, out:
     return r.select(entity, grp.cast("int").alias(out))
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, by: str | Sequence[str] | None = None) -> DataFrame:
+def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
+             by: str | Sequence[str] | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, chosen by the seeded
-    hash of ``key`` (per ``by`` group when given).
+    hash of ``key`` (one column or several that are unique together; per
+    ``by`` group when given).
 
     Whole table: ``orderBy(hash).limit(n)`` plans as TakeOrderedAndProject —
     each task keeps its own best ``n`` before the merge. Per group: for ``n``
@@ -77,16 +79,18 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, by: str | Sequence
     group sends at most ``n`` rows per map task); for larger ``n`` the rank
     inside each group comes from hash buckets (``ranking.global_row_number``),
     so no task sorts a whole group."""
-    h = stable_hash_key(key, seed)
+    keys = [key] if isinstance(key, str) else list(key)
+    h = stable_hash_key(*keys, seed)
     if by is None:
-        return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+        return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
     by = [by] if isinstance(by, str) else list(by)
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     d = df.withColumn("_h", h)
     if n <= limit:
-        w = Window.partitionBy(*by).orderBy("_h", key)
+        w = Window.partitionBy(*by).orderBy("_h", *keys)
         return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_h", "_r")
-    ranked = global_row_number(d, [F.col("_h"), F.col(key)], hash_bucket(F.col("_h")), out="_r", by=by)
+    ranked = global_row_number(d, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h")), out="_r",
+                               by=by)
     return ranked.filter(F.col("_r") <= n).drop("_h", "_r")
 
 
