@@ -69,3 +69,14 @@ def test_alert_history_newest_first(spark):
     assert one == [0.9, 0.8]
     every = [(r["user_id"], r["risk_score"]) for r in V.alert_history(a, "user_id").collect()]
     assert every == [(1, 0.9), (1, 0.8), (2, 0.75)]
+
+
+def test_entity_summary_text(spark):
+    rows = [(1, T0, 0.734, 0.2, 71.6, "SpO2", None, "Steps"), (2, T0, 0.4, 0.55, 60.2, None, None, None)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, risk_score double, uncertainty double, "
+                                     "heart_rate double, top_factor_1 string, top_factor_2 string, top_factor_3 string")
+    out = {r["user_id"]: r for r in V.entity_summary(df, "user_id", "ts", vitals=["heart_rate"],
+                                                     factors=["top_factor_1", "top_factor_2", "top_factor_3"]).collect()}
+    assert (out[1]["risk_pct"], out[1]["risk_band"], out[1]["confidence_pct"]) == ("73%", "High", "80%")
+    assert out[1]["main_factors"] == "SpO2, Steps" and out[1]["heart_rate_shown"] == 72.0
+    assert (out[2]["risk_pct"], out[2]["risk_band"], out[2]["main_factors"]) == ("40%", "Medium", "")
