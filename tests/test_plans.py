@@ -29,3 +29,21 @@ def test_filters_reach_the_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in p
     assert "ReadSchema: struct<user_id:bigint,value:double>" in p
+
+
+def test_feature_plan_shuffles_rows_twice(spark):
+    """Row numbering and the fused trend / run length / label each shuffle the
+    rows once; every other exchange moves small statistics tables."""
+    import re
+    f = build_features(X.p_raw(spark, SF), "user_id", ["ts", "event_id"], ["value", "k"], 1.0, 5, 6,
+                       sustained_rows=2)
+    f.write.format("noop").mode("overwrite").save()
+    lines = f._jdf.queryExecution().executedPlan().toString().splitlines()
+    row_keys = []
+    for i, line in enumerate(lines):
+        m = re.search(r"Exchange hashpartitioning\(([^)]*)\)", line)
+        # an exchange whose child is a HashAggregate moves partial aggregates, not rows
+        if m and not (i + 1 < len(lines) and "HashAggregate" in lines[i + 1]):
+            row_keys.append(m.group(1))
+    assert len(row_keys) == 2
+    assert sum("_chunk" in k for k in row_keys) == 1 and sum("_sl" in k for k in row_keys) == 1
