@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,12 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
     On a cluster the setting names a shared folder and is used as is. Only a
-    local/test session without it gets a fresh folder under the system temp dir.
+    ``local`` master without it gets a fresh folder under the system temp dir;
+    any other master raises, because executors could not see such a folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="vitalgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -58,25 +63,29 @@ def pin_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def materialize(df, name: str, partitions: int | None = None, target_bytes: int = 4 << 20):
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def materialize(df, name: str, partitions: int | None = None):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts the lineage (a lost executor re-reads files instead of
-    replaying the plan) in one pass, unlike ``DataFrame.checkpoint`` which runs
-    the plan twice, and keeps column pruning for later readers.
-
-    The read-back is sized by the bytes written (about ``target_bytes`` per
-    partition, at most ``partitions`` = the cluster's default parallelism), so
-    iterative fits on a small table do not pay for many near-empty tasks and
-    large tables keep every core busy."""
-    import math
-    import uuid
+    replaying the plan) with one run of the plan, unlike
+    ``DataFrame.checkpoint`` which runs it twice, and keeps column pruning for
+    later readers. The scan splits the files by ``maxPartitionBytes``, so the
+    read-back grows with the table. ``partitions`` spreads a small table that
+    an iterative fit reads many times over that many files first."""
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    out = df.repartition(n) if df.rdd.getNumPartitions() < n else df
-    out.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
-    want = max(1, min(n, math.ceil(size / target_bytes)))
-    return back.coalesce(want) if back.rdd.getNumPartitions() > want else back
+    (df.repartition(partitions) if partitions else df).write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``materialize`` wrote in this application
+    (frames read from them become unusable); returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return len(paths)
