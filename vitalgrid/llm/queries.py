@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm.embedding_dedup import embedding_groups
 from vitalgrid.llm.exact_dedup import content_sort
+from vitalgrid.llm.html_extract import extract_main_text
 from vitalgrid.llm.language import identify
+from vitalgrid.llm.licenses import scan_licenses
 from vitalgrid.llm.mixing import mix
 from vitalgrid.llm.packing import pack
+from vitalgrid.llm.pii import pseudonymise
 from vitalgrid.llm.simhash import simhash_groups
+from vitalgrid.llm.url_graph import DAMPING, LINK, MAX_DISTRUST, ROUNDS, judge_urls
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +43,62 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+# Fixed values: (verdict, host, path) of the url rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+
+def _rank_sql(name: str, arcs: str, seeds: str) -> str:
+    """Power iteration unrolled: CTEs ``name``_0 .. ``name``_ROUNDS."""
+    out = [f"{name}_b AS MATERIALIZED (SELECT host, {1 - DAMPING} / count(*) OVER () AS base FROM ({seeds}))",
+           f"{name}_0 AS MATERIALIZED (SELECT host, base AS score FROM {name}_b)"]
+    for k in range(1, ROUNDS + 1):
+        out.append(f"{name}_{k} AS MATERIALIZED (SELECT host, sum(part) AS score FROM (SELECT host, base AS part FROM {name}_b "
+                   f"UNION ALL SELECT dst, w * score FROM {arcs} JOIN {name}_{k - 1} ON src = host) GROUP BY host)")
+    return ",\n".join(out)
+
+
+_LINK_SQL = LINK.replace("'", "''")
+URL_SQL = f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                                     '{_UPPER}', '{_LOWER}') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages),
+e AS (SELECT host AS src, dst, count(*) AS n FROM (
+        SELECT DISTINCT page_id, host, translate(unnest(regexp_extract_all(html, '{_LINK_SQL}', 1)),
+                                                 '{_UPPER}', '{_LOWER}') AS dst FROM u)
+      WHERE host <> dst AND host <> '' GROUP BY 1, 2),
+h AS (SELECT host FROM u UNION SELECT src FROM e UNION SELECT dst FROM e),
+r(verdict, rule_host, rule_path) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
+f AS (SELECT host, verdict, rule_path, rule_host || rule_path AS rule
+      FROM h JOIN r ON host = rule_host OR ends_with(host, '.' || rule_host)),
+ea AS (SELECT src, dst, {DAMPING} * n / sum(n) OVER (PARTITION BY src) AS w FROM e),
+eb AS (SELECT dst AS src, src AS dst, {DAMPING} * n / sum(n) OVER (PARTITION BY dst) AS w FROM e),
+{_rank_sql("t", "ea", "SELECT DISTINCT host FROM f WHERE verdict = 'allow'")},
+{_rank_sql("d", "eb", "SELECT DISTINCT host FROM f WHERE verdict = 'block' AND rule_path = '/'")},
+m AS (SELECT page_id, max_by((f.rule, f.verdict), (length(f.rule), f.rule)) AS fit
+      FROM u JOIN f ON u.host = f.host AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, fit[1] AS rule,
+       coalesce(fit[2], CASE WHEN coalesce(d.score, 0) > {MAX_DISTRUST} * (coalesce(t.score, 0) + coalesce(d.score, 0))
+                             THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m USING (page_id) LEFT JOIN t_{ROUNDS} t ON u.host = t.host LEFT JOIN d_{ROUNDS} d ON u.host = d.host"""
+
+
+@query("op2_url_graph", URL_SQL)
+def op2_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_pii_feistel")
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the key of a real run comes from the operator's secret store
+    return pseudonymise(table(spark, sf_dir, "documents"), key="public-test-key")
 
 
 @query("op4_simhash")
@@ -102,3 +163,8 @@ FROM o""")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), max_epochs=3, period=3, seed=42).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
