@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,57 +20,98 @@ from vitalgrid.session import materialize
 PARTITION_PIECES = 16384
 ROUNDS = 3
 #: Entries of a worker's cache of tokenised words; it is emptied when full.
-CACHE = 400_000
+CACHE = 600_000
 #: Blanks at which a text may be cut into words without changing its tokens.
 _BLANKS = re.compile(r"[ \t\n\r]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: Words of these characters are in composed form and have a lower case of one character each.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+# Fixed value: the pattern by which the tokenizer cuts a text.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class WordTokens:
     """Token ids of whole texts, by words: the tokenizer drops white space and
     never joins tokens over it, so a text's ids are those of its words in a
-    row. Words recur, so their ids (as little-endian 32-bit bytes) are cached."""
+    row. Words recur, so their ids (as little-endian 32-bit bytes) are cached,
+    and so are those of the parts (letter runs, digits, signs) that the
+    tokenizer cuts a word into. Words of plain Latin characters are cut here by
+    the tokenizer's own pattern, and their parts go to its BPE model many to a
+    line; all other words go through the whole tokenizer one by one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bytes = _ByteCharacters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
-            ends[i] = token.endswith("</w>")
-        self.ends = ends
+            self.ends[i] = token.endswith("</w>")
 
     def _learn(self, missing: list[str]) -> None:
-        """Ids of new words. Plain letter runs are tokenised many to a line and
-        cut after the tokens that end a word; anything else goes alone."""
-        plain = [w for w in missing if w.isalpha() and unicodedata.is_normalized("NFC", w)]
-        rest = set(missing).difference(plain)
-        lines = [plain[i:i + 64] for i in range(0, len(plain), 64)]
-        for line, got in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
+        cut, whole, new = [], [], set()
+        for word in missing:
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                low = word.lower()
+                parts = [low] if low.isalpha() else _PARTS.findall(low)
+                cut.append((word, parts))
+                new.update(p for p in parts if p not in self.parts)
+            else:
+                whole.append(word)
+        if len(self.parts) + len(new) > CACHE:
+            self.parts.clear()
+            new = {p for _, parts in cut for p in parts}
+        self._learn_parts(list(new))
+        for word, parts in cut:
+            self.words[word] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+        for word, ids in zip(whole, self._encode(self.tokenizer, whole), strict=True):
+            self.words[word] = np.array(ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """A line of parts is cut after the tokens that end one."""
+        lines = [parts[i:i + 64] for i in range(0, len(parts), 64)]
+        shown = [" ".join([p if p.isascii() else p.translate(self.bytes) for p in line]) for line in lines]
+        for line, got in zip(lines, self._encode(self.model, shown), strict=True):
             ids = np.array(got, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(line):
-                rest.update(line)
-                continue
-            for word, a, b in zip(line, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                self.words[word] = ids[a:b].tobytes()
-        rest = sorted(rest)
-        for word, got in zip(rest, self._encode(rest), strict=True):
-            self.words[word] = np.array(got, dtype="<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def ids(self, text: str) -> bytes:
-        words = _BLANKS.split(text)
-        known = self.words
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(words))
-            self._learn(missing)
-        return b"".join([known[w] for w in words])
+                raise ValueError("the vocabulary does not mark the end of every word")
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            for part, a, b in zip(line, [0, *stops[:-1]], stops, strict=True):
+                self.parts[part] = raw[a:b]
+
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of some texts; words new to the cache are learned together."""
+        # str.split also cuts at four control characters that the tokenizer takes for signs
+        cut = [_BLANKS.split(t) if _CONTROL.search(t) else t.split() for t in texts]
+        words = set().union(*cut)
+        missing = [w for w in words if w not in self.words]
+        if len(self.words) + len(missing) > CACHE:
+            self.words.clear()
+            missing = list(words)
+        self._learn(missing)
+        for x in cut:
+            yield b"".join([self.words[w] for w in x])
+
+
+class _ByteCharacters(dict):
+    """Code point -> the characters that stand for its UTF-8 bytes in a byte-level vocabulary."""
+
+    def __init__(self, level):
+        super().__init__()
+        self.level = level
+
+    def __missing__(self, code: int) -> str:
+        self[code] = shown = self.level.pre_tokenize_str(chr(code))[0][0]
+        return shown
 
 
 @lru_cache(maxsize=2)
@@ -78,6 +119,19 @@ def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def _groups(texts: pa.Array, most: int = 64, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, up to ``most`` and about ``chars`` characters at a time; null as empty."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if len(some) == most or size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _pieces(path: str, size: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -85,8 +139,7 @@ def _pieces(path: str, size: int, end_id: int):
         tokens = _tokens(path)
         for batch in batches:
             out: list[tuple] = []
-            for i, text in enumerate(batch.column("_text")):
-                ids = tokens.ids(text.as_py() or "") + end
+            for i, ids in enumerate(x + end for some in _groups(batch.column("_text")) for x in tokens.ids(some)):
                 for k, lo in enumerate(range(0, len(ids), 4 * size)):
                     cut = ids[lo:lo + 4 * size]
                     out.append((i, k, lo // 4, len(cut) // 4, zlib.crc32(cut)))
