@@ -10,6 +10,8 @@ expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ CYCLE = (189, 773)
 _EPOCH = "1600-01-01"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel(values: Column, radices: Column, domain: Column, key: str, rounds: int = ROUNDS) -> Column:
     """Permute an array of digits (``values[i] < radices[i]``) under ``key``.
 
@@ -37,23 +44,25 @@ def feistel(values: Column, radices: Column, domain: Column, key: str, rounds: i
     radix, a keyed SHA-256 of the other half. ``domain`` names the format and
     is part of the key. The inverse subtracts in reverse order.
     """
-    n = F.size(values)
-    cut = (n / 2).cast("int")
-    left, right = F.slice(values, 1, cut), F.slice(values, cut + 1, n)
-    lr, rr = F.slice(radices, 1, cut), F.slice(radices, cut + 1, n)
-
-    def add(half: Column, other: Column, radix: Column, turn: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), domain, turn.cast("string"), F.array_join(other.cast("array<string>"), ","))
-        return F.transform(half, lambda v, i: F.pmod(v + F.conv(F.substring(F.sha2(F.concat_ws(
-            "|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long"), F.get(radix, i)))
-
-    def step(state: Column, turn: Column) -> Column:
+    cut = F.floor(F.size(values) / 2).cast("int")
+    start = F.struct(values.alias("v"), radices.alias("r"), domain.alias("d"), cut.alias("cut"))
+    halves = let(start, lambda s: F.struct(
+        F.slice(s["v"], 1, s["cut"]).alias("l"), F.slice(s["v"], s["cut"] + 1, F.size(s["v"])).alias("r"),
+        F.slice(s["r"], 1, s["cut"]).alias("lr"), F.slice(s["r"], s["cut"] + 1, F.size(s["r"])).alias("rr"),
+        s["d"].alias("d")))
+
+    def add(half: Column, other: Column, radix: Column, name: Column, turn: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), name, turn.cast("string"), F.array_join(other.cast("array<string>"), ","))
+        return let(seed, lambda s: F.transform(half, lambda v, i: F.pmod(v + F.conv(F.substring(F.sha2(F.concat_ws(
+            "|", s, i.cast("string")), 256), 1, 12), 16, 10).cast("long"), F.get(radix, i))))
+
+    def step(x: Column, turn: Column) -> Column:
         even = turn % 2 == 0
-        return F.struct(F.when(even, add(state["l"], state["r"], lr, turn)).otherwise(state["l"]).alias("l"),
-                        F.when(even, state["r"]).otherwise(add(state["r"], state["l"], rr, turn)).alias("r"))
+        return F.struct(F.when(even, add(x["l"], x["r"], x["lr"], x["d"], turn)).otherwise(x["l"]).alias("l"),
+                        F.when(even, x["r"]).otherwise(add(x["r"], x["l"], x["rr"], x["d"], turn)).alias("r"),
+                        x["lr"].alias("lr"), x["rr"].alias("rr"), x["d"].alias("d"))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(left.alias("l"), right.alias("r")), step)
-    return F.concat(done["l"], done["r"])
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), halves, step), lambda x: F.concat(x["l"], x["r"]))
 
 
 def _chars(s: Column) -> Column:
@@ -66,95 +75,115 @@ def _digits(s: Column) -> Column:
 
 def _filled(shape: Column, digits: Column) -> Column:
     """``shape`` with its decimal digits replaced in order by ``digits``."""
-    chars = _chars(shape)
-    state = F.struct(F.lit("").alias("s"), F.lit(0).alias("i"))
+    state = F.struct(F.lit("").alias("s"), digits.alias("d"), F.lit(0).alias("i"))
 
     def put(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
-        return F.struct(F.concat(acc["s"], F.when(digit, F.get(digits, acc["i"]).cast("string")).otherwise(c)).alias("s"),
-                        (acc["i"] + digit.cast("int")).alias("i"))
+        digit = c.between("0", "9")
+        return F.struct(F.concat(acc["s"], F.when(digit, F.get(acc["d"], acc["i"]).cast("string")).otherwise(c)).alias("s"),
+                        acc["d"].alias("d"), (acc["i"] + digit.cast("int")).alias("i"))
 
-    return F.aggregate(chars, state, put)["s"]
+    return F.aggregate(_chars(shape), state, put, lambda acc: acc["s"])
 
 
 def luhn_sum(digits: Column, shift: int = 0) -> Column:
     """Luhn sum of digits, the last one counting once (``shift`` 0) or doubled (1)."""
-    n = F.size(digits)
 
-    def weighed(d: Column, i: Column) -> Column:
-        twice = (n - 1 - i + shift) % 2 == 1
-        return F.when(twice, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    def weighed(all_: Column) -> Column:
+        n = F.size(all_)
+        return F.transform(all_, lambda d, i: F.when((n - 1 - i + shift) % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0))
+                           .otherwise(d))
 
-    return F.aggregate(F.transform(digits, weighed), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(let(digits, weighed), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _longs(*values: int) -> Column:
+    return F.array(*[F.lit(x).cast("long") for x in values])
+
+
+def _plus(a: Column, b: Column, sign: int = 1) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + sign * y)
 
 
 def _card(m: Column, key: str) -> Column:
     """The first digit (the scheme) and the length stay, the check digit is made anew."""
-    d = _digits(m)
-    n = F.size(d)
-    head, body = F.slice(d, 1, 1), F.slice(d, 2, n - 2)
-    mixed = F.concat(head, feistel(body, F.transform(body, lambda x: F.lit(10).cast("long")),
-                                   F.concat(F.lit("card"), n.cast("string"), F.get(d, F.lit(0)).cast("string")), key))
-    check = F.pmod(10 - luhn_sum(mixed, 1) % 10, F.lit(10))
-    return F.when(luhn_sum(d) % 10 == 0, _filled(m, F.concat(mixed, F.array(check))))
+
+    def new(d: Column) -> Column:
+        n = F.size(d)
+        body = F.slice(d, 2, n - 2)
+        name = F.concat(F.lit("card"), n.cast("string"), F.get(d, F.lit(0)).cast("string"))
+        mixed = F.concat(F.slice(d, 1, 1), feistel(body, F.array_repeat(F.lit(10).cast("long"), n - 2), name, key))
+        return let(mixed, lambda x: _filled(m, F.concat(x, F.array(F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10))))))
+
+    return let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, new(d)))
 
 
 def _phone(m: Column, key: str) -> Column:
     """A country code 1 stays; area and exchange codes start with 2 to 9."""
-    d = _digits(m)
-    lead = F.size(d) - 10
-    national = F.slice(d, lead + 1, 10)
-    low = F.array(*[F.lit(2 if i in (0, 3) else 0).cast("long") for i in range(10)])
-    radix = F.array(*[F.lit(8 if i in (0, 3) else 10).cast("long") for i in range(10)])
-    mixed = F.zip_with(feistel(F.zip_with(national, low, lambda a, b: a - b), radix, F.lit("phone"), key), low,
-                       lambda a, b: a + b)
-    ok = (F.get(national, F.lit(0)) >= 2) & (F.get(national, F.lit(3)) >= 2)
-    return F.when(ok, _filled(m, F.concat(F.slice(d, 1, lead), mixed)))
+    low, radix = _longs(2, 0, 0, 2, 0, 0, 0, 0, 0, 0), _longs(8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
+
+    def new(d: Column) -> Column:
+        lead = F.size(d) - 10
+        national = F.slice(d, lead + 1, 10)
+        ok = (F.get(national, F.lit(0)) >= 2) & (F.get(national, F.lit(3)) >= 2)
+        mixed = _plus(feistel(_plus(national, low, -1), radix, F.lit("phone"), key), low)
+        return F.when(ok, _filled(m, F.concat(F.slice(d, 1, lead), mixed)))
+
+    return let(_digits(m), new)
 
 
 def _ssn(m: Column, key: str) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
-    part = F.transform(F.split(m, "-"), lambda x: x.cast("long"))
-    area, group, serial = (F.get(part, F.lit(i)) for i in range(3))
-    ok = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
-    values = F.array(area - 1 - (area > 666).cast("long"), group - 1, serial - 1)
-    mixed = feistel(values, F.array(*[F.lit(x).cast("long") for x in (898, 99, 9999)]), F.lit("ssn"), key)
-    a = F.get(mixed, F.lit(0)) + 1
-    return F.when(ok, F.format_string("%03d-%02d-%04d", a + (a >= 666).cast("long"), F.get(mixed, F.lit(1)) + 1,
-                                      F.get(mixed, F.lit(2)) + 1))
+
+    def new(part: Column) -> Column:
+        area, group, serial = (F.get(part, F.lit(i)) for i in range(3))
+        ok = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
+        values = F.array(area - 1 - (area > 666).cast("long"), group - 1, serial - 1)
+        mixed = _plus(feistel(values, _longs(898, 99, 9999), F.lit("ssn"), key), _longs(1, 1, 1))
+        return F.when(ok, let(mixed, lambda x: F.format_string(
+            "%03d-%02d-%04d", F.get(x, F.lit(0)) + (F.get(x, F.lit(0)) >= 666).cast("long"), F.get(x, F.lit(1)),
+            F.get(x, F.lit(2)))))
+
+    return let(F.split(m, "-").cast("array<bigint>"), new)
 
 
 def _ip(m: Column, key: str) -> Column:
-    part = F.transform(F.split(m, "\\."), lambda x: x.cast("long"))
-    ok = F.forall(part, lambda x: x <= 255)
-    mixed = feistel(part, F.transform(part, lambda x: F.lit(256).cast("long")), F.lit("ip"), key)
-    return F.when(ok, F.array_join(mixed.cast("array<string>"), "."))
+    def new(part: Column) -> Column:
+        mixed = feistel(part, _longs(256, 256, 256, 256), F.lit("ip"), key)
+        return F.when(F.forall(part, lambda x: x <= 255), F.array_join(mixed.cast("array<string>"), "."))
+
+    return let(F.split(m, "\\.").cast("array<bigint>"), new)
 
 
 def _date(m: Column, key: str) -> Column:
     """Valid days of the years 1600 to 2399, permuted within their 400-year cycle."""
-    day = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_EPOCH).cast("date")).cast("long")
     days = CYCLE[0] * CYCLE[1]
-    within = F.pmod(day, F.lit(days))
-    values = F.array((within / CYCLE[1]).cast("long"), F.pmod(within, F.lit(CYCLE[1])))
-    mixed = feistel(values, F.array(*[F.lit(x).cast("long") for x in CYCLE]), F.lit("date"), key)
-    new = (day - within) + F.get(mixed, F.lit(0)) * CYCLE[1] + F.get(mixed, F.lit(1))
-    ok = day.isNotNull() & (day >= 0) & (day < 2 * days)
-    return F.when(ok, F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), new.cast("int")), "yyyy-MM-dd"))
+
+    def new(day: Column) -> Column:
+        within = F.pmod(day, F.lit(days))
+        values = F.array(F.floor(within / CYCLE[1]).cast("long"), F.pmod(within, F.lit(CYCLE[1])))
+        moved = let(feistel(values, _longs(*CYCLE), F.lit("date"), key),
+                    lambda x: (day - within) + F.get(x, F.lit(0)) * CYCLE[1] + F.get(x, F.lit(1)))
+        ok = day.isNotNull() & (day >= 0) & (day < 2 * days)
+        return F.when(ok, F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), moved.cast("int")), "yyyy-MM-dd"))
+
+    since = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_EPOCH).cast("date"))
+    return let(since.cast("long"), new)
 
 
 def _email(m: Column, key: str) -> Column:
     """Letters of the local part stay letters of their case, digits digits; the rest and the domain stay."""
     local, rest = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
-    chars = _chars(local)
-    code = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-    low = F.transform(code, lambda a: F.when(a.between(97, 122), 97).when(a.between(65, 90), 65)
-                      .when(a.between(48, 57), 48).otherwise(a).cast("long"))
-    radix = F.transform(code, lambda a: F.when(a.between(97, 122) | a.between(65, 90), 26)
-                        .when(a.between(48, 57), 10).otherwise(1).cast("long"))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    mixed = feistel(F.zip_with(code, low, lambda a, b: a - b), radix, F.concat(F.lit("email"), shape), key)
-    return F.concat(F.array_join(F.transform(F.zip_with(mixed, low, lambda a, b: a + b), lambda a: F.chr(a)), ""), rest)
+    low = lambda a: F.when(a.between(97, 122), 97).when(a.between(65, 90), 65).when(a.between(48, 57), 48).otherwise(a)
+    radix = lambda a: F.when(a.between(97, 122) | a.between(65, 90), 26).when(a.between(48, 57), 10).otherwise(1)
+
+    def new(code: Column) -> Column:
+        base = F.transform(code, lambda a: low(a).cast("long"))
+        return let(base, lambda b: F.array_join(F.transform(
+            _plus(feistel(_plus(code, b, -1), F.transform(code, lambda a: radix(a).cast("long")),
+                          F.concat(F.lit("email"), F.array_join(b.cast("array<string>"), ",")), key), b),
+            lambda a: F.chr(a)), ""))
+
+    return F.concat(let(F.transform(_chars(local), lambda c: F.ascii(c).cast("long")), new), rest)
 
 
 def pseudonym(m: Column, key: str) -> Column:
