@@ -20,7 +20,7 @@ from vitalgrid.session import materialize
 PARTITION_PIECES = 16384
 ROUNDS = 3
 #: Entries of a worker's cache of tokenised words; it is emptied when full.
-CACHE = 600_000
+CACHE = 300_000
 #: Blanks at which a text may be cut into words without changing its tokens.
 _BLANKS = re.compile(r"[ \t\n\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
