@@ -90,9 +90,15 @@ def row_sum(df: DataFrame, cols: Sequence[str], out: str = "total") -> DataFrame
 
 
 def narrow_types(df: DataFrame, float_cols: Sequence[str] = (), short_cols: Sequence[str] = ()) -> DataFrame:
-    """float32 signals and int16 ids for compact sinks (the engine computes in double/long)."""
+    """float32 signals and narrow ids for compact sinks (the engine computes in
+    double/long). An id column becomes int16 if all its values fit, else int32
+    if they fit, else it keeps its type (one aggregate over ``short_cols``)."""
     for c in float_cols:
         df = df.withColumn(c, F.col(c).cast("float"))
-    for c in short_cols:
-        df = df.withColumn(c, F.col(c).cast("smallint"))
+    if short_cols:
+        most = df.agg(*[F.max(F.greatest(F.col(c).cast("long"), -F.col(c).cast("long") - 1)).alias(c)
+                        for c in short_cols]).first()
+        for c in short_cols:
+            kind = next((k for k, top in (("smallint", 2 ** 15), ("int", 2 ** 31)) if (most[c] or 0) < top), None)
+            df = df.withColumn(c, F.col(c).cast(kind)) if kind else df
     return df

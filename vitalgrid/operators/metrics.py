@@ -24,9 +24,12 @@ def _by(by) -> list[str]:
 
 
 def score_counts(df: DataFrame, score: str, label: str, by=None) -> DataFrame:
-    """One row per (group, distinct score): positives and negatives."""
+    """One row per (group, distinct score): positives and negatives. A NULL
+    score raises: dropped rows would leave two models measured on different rows."""
     y = F.col(label).cast("long")
-    return (df.filter(F.col(score).isNotNull())
+    kind = df.schema[score].dataType
+    known = F.coalesce(F.col(score), F.raise_error(F.lit(f"NULL in score column {score}")).cast(kind))
+    return (df.withColumn(score, known)
               .groupBy(*_by(by), score)
               .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
 

@@ -232,27 +232,28 @@ def seed_robustness(train: DataFrame, test: DataFrame, cols: Sequence[str], labe
 
 
 # The two search spaces of the reference, in its terms, mapped
-# to Spark parameters below (no depth limit -> Spark's maximum of 30).
+# to Spark parameters below (no depth limit -> Spark's maximum of 30). Axes that
+# Spark's trees do not have (split size, l2) or that the 31-leaf bound of
+# boosting makes void (its depth) are left out, so every value drawn is applied.
 RF_SPACE = {
     "n_estimators": [50, 100, 150, 200],
     "max_depth": [8, 10, 14, 18, None],
-    "min_samples_split": [2, 5, 10],
     "min_samples_leaf": [1, 2, 4],
     "max_features": ["sqrt", "log2", None],
 }
 GB_SPACE = {
     "max_iter": [50, 100, 150],
-    "max_depth": [None, 6, 10, 14],
     "learning_rate": [0.03, 0.05, 0.1, 0.2],
     "min_samples_leaf": [10, 20, 40],
-    "l2_regularization": [0.0, 0.1, 1.0],
 }
 
 
 def sample_space(space: Mapping[str, list], n: int, seed: int) -> list[dict]:
-    """``n`` independent draws from a discrete space (seeded)."""
-    rng = np.random.RandomState(seed)
-    return [{k: v[rng.randint(len(v))] for k, v in space.items()} for _ in range(n)]
+    """``n`` different draws from a discrete space (seeded, without replacement)."""
+    sizes = [len(v) for v in space.values()]
+    cells = np.random.RandomState(seed).permutation(int(np.prod(sizes)))[:n]
+    return [{k: v[i] for (k, v), i in zip(space.items(), at, strict=True)}
+            for at in (np.unravel_index(int(c), sizes) for c in cells)]
 
 
 def _rf_params(est: RandomForestClassifier, draw: dict) -> dict:
@@ -269,10 +270,8 @@ GB_LEAF_DEPTH = 5
 
 
 def _gb_params(est: GBTClassifier, draw: dict) -> dict:
-    # min_samples_leaf -> minInstancesPerNode; l2_regularization has no Spark
-    # counterpart and is recorded only.
-    depth = GB_LEAF_DEPTH if draw["max_depth"] is None else min(int(draw["max_depth"]), GB_LEAF_DEPTH)
-    return {est.maxIter: int(draw["max_iter"]), est.maxDepth: depth, est.stepSize: float(draw["learning_rate"]),
+    # min_samples_leaf -> minInstancesPerNode
+    return {est.maxIter: int(draw["max_iter"]), est.maxDepth: GB_LEAF_DEPTH, est.stepSize: float(draw["learning_rate"]),
             est.minInstancesPerNode: int(draw["min_samples_leaf"])}
 
 

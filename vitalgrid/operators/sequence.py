@@ -123,27 +123,36 @@ def carry_last(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     return out.drop(*[f"_loc_{c}" for c in cols], *[f"_car_{c}" for c in cols])
 
 
-def _trend_exprs(d: DataFrame, part, rn: str, cols: Sequence[str], rows: int, suffix: str) -> DataFrame:
-    """Mean of the last ``rows`` non-NULL values in O(n): running sum and
-    count (an unbounded-preceding frame, updated row by row) minus their
-    values ``rows`` rows back (``lag``: an offset frame). Spark's sliding
-    ``rowsBetween(-(rows-1), 0)`` frame re-aggregates every row: O(n * rows).
-    All columns go through one ``select`` per frame, so Spark runs one Window
-    operator per frame instead of one per column."""
-    run = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    asc = part.orderBy(rn)
-    sums = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        sums += [F.coalesce(F.sum(x).over(run), F.lit(0.0)).alias(f"_s_{c}"), F.count(x).over(run).alias(f"_n_{c}")]
-    d = d.select("*", *sums)
+def _trend_exprs(d: DataFrame, entity: str, rn: str, cols: Sequence[str], rows: int, suffix: str) -> DataFrame:
+    """Mean of the last ``rows`` usable values in O(n), without subtracting
+    sums: the row numbers are cut into blocks of ``rows``; the last ``rows``
+    rows are the head of the current block and the tail of the one before, so
+    a spike leaves no rounding error behind once it is out of the window.
+    NULL, NaN and infinite values are skipped. All columns go through one
+    ``select`` per frame, so Spark runs one Window operator per frame, all on
+    the (entity, chunk) partitioning."""
+    keys = [entity, "_chunk"]
+    block = Window.partitionBy(*keys, "_blk")
+    head = block.orderBy(F.col(rn).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    tail = block.orderBy(F.col(rn).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    asc = Window.partitionBy(*keys).orderBy(rn)
+    # one exchange by (entity, chunk) serves the block frames too
+    d = d.repartition(*keys).withColumn("_blk", F.floor(F.col(rn) / rows))
+    x = {c: F.col(c).cast("double") for c in cols}
+    ok = {c: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v) for c, v in x.items()}
+    d = d.select("*", *[e for c in cols for e in (F.sum(ok[c]).over(tail).alias(f"_ts_{c}"),
+                                                  F.count(ok[c]).over(tail).alias(f"_tn_{c}"))])
+    d = d.select("*", *[e for c in cols for e in (F.sum(ok[c]).over(head).alias(f"_hs_{c}"),
+                                                  F.count(ok[c]).over(head).alias(f"_hn_{c}"))])
+    # the tail that starts rows - 1 rows back counts unless the window is exactly the current block
+    cut = (F.col(rn) % rows) != rows - 1
     trends = []
     for c in cols:
-        s_back = F.coalesce(F.lag(f"_s_{c}", rows).over(asc), F.lit(0.0))
-        n_back = F.coalesce(F.lag(f"_n_{c}", rows).over(asc), F.lit(0))
-        trends.append(((F.col(f"_s_{c}") - s_back) / F.nullif(F.col(f"_n_{c}") - n_back, F.lit(0)))
-                      .alias(f"{c}{suffix}"))
-    return d.select("*", *trends).drop(*[f"_{k}_{c}" for c in cols for k in ("s", "n")])
+        parts = [F.coalesce(F.when(cut, F.lag(f"_t{k}_{c}", rows - 1).over(asc)) if rows > 1 else F.lit(None), F.lit(0))
+                 for k in "sn"]
+        total = F.coalesce(F.col(f"_hs_{c}"), F.lit(0.0)) + parts[0]
+        trends.append((total / F.nullif(F.col(f"_hn_{c}") + parts[1], F.lit(0))).alias(f"{c}{suffix}"))
+    return d.select("*", *trends).drop("_blk", *[f"_{k}_{c}" for c in cols for k in ("ts", "tn", "hs", "hn")])
 
 
 def _lookahead_expr(d: DataFrame, part, rn: str, flag: str, horizon: int, out: str) -> DataFrame:
@@ -169,12 +178,12 @@ def _ordered(df: DataFrame, entity: str, order, rn: str | None, bucket: str) ->
 def rolling_mean(df: DataFrame, entity: str, order, cols: Sequence[str], rows: int = 60,
                  suffix: str = "_trend", chunk_rows: int = DEFAULT_CHUNK_ROWS, rn: str | None = None,
                  bucket: str = "day") -> DataFrame:
-    """Mean of the last ``rows`` rows (current included) per entity; NULLs are
-    skipped and one value is enough (pandas ``rolling(rows, min_periods=1).mean()``).
-    Row counts, not time spans."""
+    """Mean of the last ``rows`` rows (current included) per entity; NULL, NaN
+    and infinite values are skipped and one value is enough (pandas
+    ``rolling(rows, min_periods=1).mean()``). Row counts, not time spans."""
     d, rcol = _ordered(df, entity, order, rn, bucket)
     d = with_halo(d, rcol, max(chunk_rows, rows), before=rows - 1, after=0)
-    d = _trend_exprs(d, Window.partitionBy(entity, "_chunk"), rcol, _cols(cols), rows, suffix)
+    d = _trend_exprs(d, entity, rcol, _cols(cols), rows, suffix)
     d = d.filter(~F.col("_halo")).drop("_chunk", "_halo")
     return d if rcol == rn else d.drop(RN)
 
@@ -246,7 +255,7 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
     d = with_halo(df, rn, max(chunk_rows, before, after, 1), before=before, after=after)
     part = Window.partitionBy(entity, "_chunk")
     if rows:
-        d = _trend_exprs(d, part, rn, trend_cols, rows, trend_suffix)
+        d = _trend_exprs(d, entity, rn, trend_cols, rows, trend_suffix)
     target = flag
     if sustained_rows:
         wa = part.orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,8 @@ the whole table come from ``ranking.global_row_number`` (no single-task sort).
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +40,7 @@ def split_by_entity(df: DataFrame, entity: str, test_size: float = 0.25, seed: i
 def split_stratified(df: DataFrame, label: str, key: str, test_size: float = 0.25, seed: int = 42
                      ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with about ``round(test_size * n_y)`` test rows of every
-    class ``y``, chosen by the seeded hash of ``key``."""
+    class ``y`` (NULL is a class), chosen by the seeded hash of ``key``."""
     h = stable_hash_key(key, seed)
     d = df.withColumn("_h", h)
     ranked = global_row_number(d, [F.col(label), F.col("_h"), F.col(key)],
@@ -47,8 +49,9 @@ def split_stratified(df: DataFrame, label: str, key: str, test_size: float = 0.2
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_ny"))
     # one row per class: a window over the whole (tiny) class table is fine here
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    counts = F.broadcast(counts.select(label, "_ny", F.coalesce(F.sum("_ny").over(w), F.lit(0)).alias("_below")))
-    r = ranked.join(counts, label, "inner")
+    counts = counts.select(F.col(label).alias("_class"), "_ny", F.coalesce(F.sum("_ny").over(w), F.lit(0)).alias("_below"))
+    # a NULL label is a class of its own, so no row is lost
+    r = ranked.join(counts, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
     is_test = (F.col("_rank") - F.col("_below")) <= F.round(F.col("_ny") * F.lit(test_size))
     r = r.withColumn("_test", is_test).drop("_rank", "_below", "_ny", "_h")
     return r.filter(~F.col("_test")).drop("_test"), r.filter(F.col("_test")).drop("_test")
@@ -66,14 +69,41 @@ def assign_clients(df: DataFrame, entity: str, k: int = 4, seed: int = 42, out:
     return r.select(entity, grp.cast("int").alias(out))
 
 
+SMALL_SAMPLE = 10_000
+BUCKET_ROWS = 50_000
+
+
+def _sample_table(d: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` rows of the lowest hash ``_h`` (md5 hex, ties by ``keys``)."""
+    rows = d.count()
+    if n >= rows:
+        return d
+    share = (n + 6 * n ** 0.5 + 20) / rows
+    place = F.conv(F.substring("_h", 1, 12), 16, 10).cast("long")
+    near = d
+    while share < 1:
+        near = d.filter(place < int(share * 16 ** 12))
+        if near.count() >= n:
+            break
+        near, share = d, 2 * share
+    if n <= SMALL_SAMPLE:
+        return near.orderBy("_h", *keys).limit(n)
+    digits = max(1, min(12, math.ceil(math.log(max(2, rows / BUCKET_ROWS), 16))))
+    ranked = global_row_number(near, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h"), digits), out="_r")
+    return ranked.filter(F.col("_r") <= n).drop("_r")
+
+
 def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
              by: str | Sequence[str] | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, chosen by the seeded
     hash of ``key`` (one column or several that are unique together; per
     ``by`` group when given).
 
-    Whole table: ``orderBy(hash).limit(n)`` plans as TakeOrderedAndProject —
-    each task keeps its own best ``n`` before the merge. Per group: for ``n``
+    Whole table: the hash is uniform, so only rows whose hash lies below about
+    ``n / rows`` are candidates (a few standard deviations more than ``n``;
+    doubled until there are enough); up to ``SMALL_SAMPLE`` of them are cut by
+    ``orderBy(hash).limit(n)``, more are ranked in hash buckets of about
+    ``BUCKET_ROWS`` rows, so no task gets more than a small sample. Per group: for ``n``
     up to Spark's ``windowGroupLimitThreshold`` a ``row_number() <= n`` filter,
     which Spark runs with a partial WindowGroupLimit before the shuffle (a hot
     group sends at most ``n`` rows per map task); for larger ``n`` the rank
@@ -82,7 +112,7 @@ def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
     keys = [key] if isinstance(key, str) else list(key)
     h = stable_hash_key(*keys, seed)
     if by is None:
-        return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+        return _sample_table(df.withColumn("_h", h), keys, n).drop("_h")
     by = [by] if isinstance(by, str) else list(by)
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     d = df.withColumn("_h", h)

@@ -36,8 +36,15 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", ts_format: str
     scan for Parquet); NaN readings become NULL."""
     schema = schema or panel_schema()
     if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True).option("timestampFormat", ts_format)
-              .option("mode", "FAILFAST").csv(path))
+        # columns are bound by the header's names, in whatever order; others are left out
+        header = spark.read.option("header", True).csv(path).columns
+        missing = [f.name for f in schema.fields if f.name not in header]
+        if missing:
+            raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+        known = {f.name: f.dataType for f in schema.fields}
+        in_file = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+        df = (spark.read.schema(in_file).option("header", True).option("timestampFormat", ts_format)
+              .option("mode", "FAILFAST").csv(path)).select(*[f.name for f in schema.fields])
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     if columns:
@@ -112,14 +119,12 @@ def append_alerts(new: DataFrame, path: str, entity: str = "user_id", ts: str =
     time); returns the number appended. Plain Parquet appends are safe for ONE
     writer at a time; concurrent writers need a table format with commits."""
     spark = new.sparkSession
-    exists = os.path.exists(path) if "://" not in path else True
+    log = spark._jvm.org.apache.hadoop.fs.Path(path)
     fresh = new
-    if exists:
-        try:
-            old = read_alerts(spark, path)
-            fresh = new.join(old.select(entity, ts), [entity, ts], "left_anti")
-        except Exception:  # noqa: BLE001  (no log written yet)
-            fresh = new
+    # the file system of the path is asked, and a log that cannot be read raises: nothing is appended then
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        old = read_alerts(spark, path)
+        fresh = new.join(old.select(entity, ts), [entity, ts], "left_anti")
     fresh = fresh.dropDuplicates([entity, ts])
     from vitalgrid.session import materialize
     fresh = materialize(fresh, "alerts-batch")
