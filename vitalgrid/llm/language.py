@@ -11,7 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from vitalgrid.llm.workers import small_batches, tidy
 from vitalgrid.session import materialize
 
 #: Documents per language that a model is fitted on, at most (about; chosen by hash), and rounds of EM.
@@ -180,14 +182,14 @@ def word_score(word: str, table: dict[str, tuple[float, ...]], n_langs: int) ->
     return out
 
 
-def _predict(langs: list[str], shared):
+def _predict(langs: list[str], shared, text: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {p: tuple(v.tolist()) for p, v in shared.value.items()}
         index: dict[str, int] = {}
         scores = np.zeros((CACHE, max(1, len(langs))))
         for batch in batches:
             best, score = [], []
-            for value in batch.column("text"):
+            for value in batch.column(text):
                 found = words(value.as_py() or "")
                 if not found or not langs:
                     best.append(UNDETERMINED)
@@ -210,9 +212,9 @@ def _predict(langs: list[str], shared):
                 k = int(chance.argmax())
                 best.append(langs[k])
                 score.append(float(chance[k]))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names if n != "text"]
-                                             + [pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                                             [*[n for n in batch.schema.names if n != "text"], "_lang", "_score"])
+            kept = [n for n in batch.schema.names if keep_text or n != text]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(best, pa.string()),
+                                              pa.array(score, pa.float64())], [*kept, "_lang", "_score"])
 
     return run
 
@@ -234,16 +236,17 @@ def identify(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str
     gives ``und`` and 0. Language labels, sources and identifiers play no part
     in a prediction. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     langs, table = fit(docs.filter(~held_out(F.col(doc_id))), vocab_path, lang, text, doc_id, **how)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     if keep_columns:
         names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-        rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text).cast("string").alias("text"))
-        schema = rows.drop("text").schema.add("_lang", "string").add("_score", "double")
-        out = rows.mapInArrow(_predict(langs, shared), schema)
+        rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+        schema = StructType(list(rows.schema.fields)).add("_lang", "string").add("_score", "double")
+        out = rows.mapInArrow(tidy(_predict(langs, shared, names[text], True)), schema)
         return out.select(*[F.col(n).alias(c) for c, n in names.items()], "_lang", "_score")
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"),
                        F.col(text).cast("string").alias("text"))
     schema = rows.drop("text").schema.add("_lang", "string").add("_score", "double")
-    return rows.mapInArrow(_predict(langs, shared), schema).select(
+    return rows.mapInArrow(tidy(_predict(langs, shared, "text", False)), schema).select(
         "doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.llm.workers import small_batches, tidy
 from vitalgrid.session import materialize
 
 #: Pieces per partition that is packed on its own, and rounds of exchange between partitions.
@@ -41,6 +43,7 @@ class WordTokens:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -247,7 +250,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer, size, end_id), _PIECE), "pieces")
+    small_batches(docs.sparkSession)
+    pieces = materialize(rows.mapInArrow(tidy(_pieces(tokenizer, size, end_id)), _PIECE), "pieces")
     placed = _pack_once(pieces, pieces.count(), size, 0, partition_pieces)
     done = []
     for tag in range(1, rounds + 1):

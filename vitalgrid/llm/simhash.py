@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.components import connected_components
+from vitalgrid.llm.workers import small_batches, tidy
 from vitalgrid.session import materialize
 
 BITS = 64
@@ -134,7 +135,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(_fingerprints(width, seed), "doc_id long, fp long"), "simhash")
+    small_batches(docs.sparkSession)
+    prints = materialize(rows.mapInArrow(tidy(_fingerprints(width, seed)), "doc_id long, fp long"), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     links = near_pairs(nodes.select("fp"), max_bits, segments)
     groups = connected_components(links, "fp_a", "fp_b").withColumnRenamed("node", "fp")
