@@ -63,7 +63,7 @@ def main() -> None:
                        bucket="year"), "bench-features"))
     train, test = split_by_entity(feats, E, 0.25, seed=42)
     train = run("split", lambda: materialize(train, "bench-train"))
-    test = materialize(test, "bench-test")
+    test = run("split_test", lambda: materialize(test, "bench-test"))
     model = run("rf_train", lambda: MD.fit_forest(train, cols, y, num_trees=100, max_depth=14))
     scored = run("risk_uncertainty", lambda: materialize(MD.tree_uncertainty(model, test, cols), "bench-scored"))
     imp = MD.signal_importance(model, cols, SIG)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import filters as FL
+from vitalgrid.operators import grid as G
 from vitalgrid.operators import metrics as M
 from vitalgrid.operators import models as MD
 from vitalgrid.operators import splits as SP
@@ -77,6 +78,39 @@ def test_search_draws_differ_and_are_applied():
     assert set(MD.GB_SPACE) == {"max_iter", "learning_rate", "min_samples_leaf"}
 
 
+def test_search_table_holds_what_was_fitted(spark, monkeypatch):
+    monkeypatch.setattr(MD, "RF_SPACE", {"n_estimators": [2, 3], "max_depth": [2, None], "min_samples_leaf": [1, 4],
+                                         "max_features": ["sqrt", None]})
+    df = spark.range(300).selectExpr("id", "double(id % 7) a", "double(id % 5) b", "int(id % 7 > 3) y")
+    best, table = MD.random_search(df, ["a", "b"], "y", n_iter=3, folds=2, key="id", parallelism=2)
+    rows = table.collect()
+    assert len(rows) == 3 and rows[0]["cv_auroc"] == max(r["cv_auroc"] for r in rows)
+    won = MD.sample_space(MD.RF_SPACE, 3, 42)[rows[0]["draw"]]
+    assert str(won) == rows[0]["params"]
+    assert best.getNumTrees == won["n_estimators"] and best.getOrDefault("maxDepth") == (won["max_depth"] or 30)
+    assert best.getOrDefault("minInstancesPerNode") == won["min_samples_leaf"]
+
+
+def test_one_pass_metrics_equal_the_single_ones(spark):
+    df = spark.range(200).selectExpr("id % 3 m", "double(hash(id) % 17) s", "int(abs(hash(id, 1)) % 2) y")
+    both = {r["m"]: (r["auroc"], r["prauc"]) for r in M.model_table(df, "m", "s", "y").collect()}
+    one = {r["m"]: r["auroc"] for r in M.auroc(df, "s", "y", by="m").collect()}
+    two = {r["m"]: r["average_precision"] for r in M.average_precision(df, "s", "y", by="m").collect()}
+    assert set(both) == {0, 1, 2}
+    for m, (a, p) in both.items():
+        assert a == pytest.approx(one[m], abs=1e-12) and p == pytest.approx(two[m], abs=1e-12)
+
+
+def test_long_gap_by_pieces_and_order_needed_for_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(G, "GAP_POINTS", 7)
+    df = spark.sql("SELECT 1 e, timestamp_seconds(60 * m) t, double(m) x FROM VALUES (0), (1), (30), (44) v(m)")
+    rows = G.reindex_to_grid(df, "e", "t").orderBy("t").collect()
+    assert [r["x"] for r in rows] == [float(m) if m in (0, 1, 30, 44) else None for m in range(45)]
+    assert [r["was_present"] for r in rows] == [r["x"] is not None for r in rows]
+    with pytest.raises(ValueError, match="order"):
+        G.reindex_to_grid(df, "e", "t", on_duplicate="last")
+
+
 def test_release_deletes_what_was_materialised(spark):
     t = materialize(spark.range(5), "gone")
     path = t.inputFiles()[0]

@@ -5,10 +5,10 @@ runs from its first to its last timestamp (anchored at the first one).
 
 Scale design: the full grid is never built by a join. Present on-grid rows get
 their grid index ``k``; the next present index comes from a chunked carry
-(``sequence.carry_last``); each gap ``(k, k_next)`` then emits its own missing
-points with ``explode(sequence(...))`` in the task that holds its left edge.
-Reindexing is the union of present rows and generated missing rows, so the only
-shuffles are the small bounds aggregate and the carry's chunk partitioning.
+(``sequence.carry_last``); each present row then emits the points
+``k .. k_next - 1`` with ``explode(sequence(...))``, long gaps by pieces of
+``GAP_POINTS``. The only shuffles are the small bounds aggregate and the carry's
+chunk partitioning.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from vitalgrid.operators.sequence import carry_both, carry_last
 
 K = "_k"
 DEFAULT_CHUNK_POINTS = 250_000
+#: Missing points of a long gap that one array holds.
+GAP_POINTS = 100_000
 _UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
           "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000}
 
@@ -70,8 +72,10 @@ def _with_next(d: DataFrame, entity: str, chunk_points: int, on_duplicate: str)
 
 def _dedupe(d: DataFrame, entity: str, order: Sequence[str] | None) -> DataFrame:
     """Keep the last row per grid point by ``order`` (``on_duplicate='last'``)."""
+    if not order:
+        raise ValueError("on_duplicate='last' needs order: without it any of the rows could win")
     cols = [c for c in d.columns]
-    okey = F.struct(*[F.col(o) for o in (order or [])]) if order else F.lit(0)
+    okey = F.struct(*[F.col(o) for o in order])
     return (d.groupBy(entity, K).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), okey).alias("_r"))
              .select("_r.*"))
 
@@ -109,20 +113,20 @@ def reindex_to_grid(df: DataFrame, entity: str, ts: str, step: str | int = "1 mi
     """One row per grid point from the entity's first to last timestamp; missing
     points carry NULL in every other column; off-grid rows are dropped.
     ``on_duplicate``: 'error' (raise, as a pandas reindex does) or 'last'
-    (keep the last row by ``order``). Adds ``was_present``."""
+    (keep the last row by ``order``, which must then be given). Adds ``was_present``."""
     us = step_micros(step)
     d = on_grid(df, entity, ts, step)
     if on_duplicate == "last":
         d = _dedupe(d, entity, order)
     d = _with_next(d, entity, chunk_points, on_duplicate)
-    present = d.withColumn("was_present", F.lit(True))
-    gap = d.filter(F.col("_kx_next") - F.col(K) > 1)
-    missing = (gap.select(entity, "_t0", F.explode(F.sequence(F.col(K) + 1, F.col("_kx_next") - 1)).alias(K))
-                  .withColumn(ts, _ts_at(F.col("_t0"), F.col(K), us))
-                  .withColumn("was_present", F.lit(False)))
-    keep = [c for c in df.columns] + ["was_present"] + ([K] if keep_index else [])
-    return present.select(*keep).unionByName(missing.select(*[c for c in keep if c in missing.columns]),
-                                             allowMissingColumns=True)
+    # each present row emits its own grid point and the missing ones up to the next present row
+    last = F.greatest(F.col(K), F.col("_kx_next") - 1)
+    d = d.withColumn("_from", F.explode(F.sequence(F.col(K), last, F.lit(GAP_POINTS).cast("long"))))
+    d = d.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (GAP_POINTS - 1), last))))
+    here = F.col("_at") == F.col(K)
+    value = {entity: F.col(entity), ts: F.when(here, F.col(ts)).otherwise(_ts_at(F.col("_t0"), F.col("_at"), us))}
+    return d.select(*[value.get(c, F.when(here, F.col(c))).alias(c) for c in df.columns], here.alias("was_present"),
+                    *([F.col("_at").alias(K)] if keep_index else []))
 
 
 def missing_grid_points(df: DataFrame, entity: str, ts: str, step: str | int = "1 minute",

@@ -56,6 +56,18 @@ def average_precision(df: DataFrame, score: str, label: str, by=None, out: str =
         .alias(out))
 
 
+def ranking_metrics(df: DataFrame, score: str, label: str, by=None, auroc: str = "auroc",
+                    ap: str = "prauc") -> DataFrame:
+    """AUROC and average precision from one pass over the distinct scores, high
+    to low: a negative counts the positives above it, and half of those level with it."""
+    b = _by(by)
+    g = running_totals(score_counts(df, score, label, b), score, ["pos", "neg"], descending=True, by=b)
+    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "cum_pos", "cum_neg"))
+    return g.groupBy(*b).agg(
+        (F.sum(neg * (tp - pos + pos / 2)) / F.nullif(F.sum(pos) * F.sum(neg), F.lit(0.0))).alias(auroc),
+        (F.sum(pos * tp / (tp + fp)) / F.nullif(F.sum(pos), F.lit(0.0))).alias(ap))
+
+
 def brier(df: DataFrame, prob: str, label: str, by=None, out: str = "brier") -> DataFrame:
     """Mean squared difference between probability and 0/1 label."""
     d = F.col(prob).cast("double") - F.col(label).cast("double")
@@ -73,14 +85,12 @@ def class_report(df: DataFrame, pred: str, label: str) -> DataFrame:
     confusion table (one row per (label, prediction) pair)."""
     conf = df.groupBy(F.col(label).cast("long").alias("y"), F.col(pred).cast("long").alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
-    classes = conf.select(F.col("y").alias("c")).union(conf.select(F.col("p").alias("c"))).distinct()
     per = (conf.select(F.explode(F.array(
         F.struct(F.col("y").alias("c"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"),
                  F.col("n").alias("sup"), F.lit(0).cast("long").alias("npred")),
         F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("sup"),
                  F.col("n").alias("npred")))).alias("s")).select("s.*")
         .groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("npred").alias("npred")))
-    per = classes.join(per, "c", "left")
 
     def ratio(a, b):
         return F.coalesce(F.col(a).cast("double") / F.nullif(F.col(b).cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -110,9 +120,7 @@ def class_report(df: DataFrame, pred: str, label: str) -> DataFrame:
 
 def model_table(long: DataFrame, model: str, score: str, label: str) -> DataFrame:
     """One row per model of a long prediction table: AUROC and average precision."""
-    a = auroc(long, score, label, by=model)
-    p = average_precision(long, score, label, by=model, out="prauc")
-    return a.join(p, model, "full")
+    return ranking_metrics(long, score, label, by=model)
 
 
 def seed_summary(results: DataFrame, setup: str | Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -21,14 +22,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.operators.baselines import any_exceeds, zscore
 from vitalgrid.operators.features import fill_features
-from vitalgrid.operators.metrics import auroc, average_precision
+from vitalgrid.operators.metrics import auroc, ranking_metrics
 from vitalgrid.functions.scalar import stable_uniform
 from vitalgrid.session import checkpoint_dir, materialize
 
@@ -139,8 +139,9 @@ def _leaf_probabilities(model) -> np.ndarray:
 def tree_uncertainty(model, df: DataFrame, cols: Sequence[str], out_score: str = "risk_score",
                      out_unc: str = "uncertainty") -> DataFrame:
     """Forest probability and the population std of the per-tree
-    probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. One pass: the JVM
-    computes leaf indices, an Arrow UDF looks them up in the broadcast leaf table."""
+    probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. One pass, each tree walked
+    once: the JVM computes leaf indices only, an Arrow UDF looks them up in the
+    broadcast leaf table; the mean of the trees is the forest's probability."""
     table = _leaf_probabilities(model)
     sc = df.sparkSession.sparkContext
     b_table = sc.broadcast(table)
@@ -154,12 +155,13 @@ def tree_uncertainty(model, df: DataFrame, cols: Sequence[str], out_score: str =
 
     m = model.copy()
     m.setLeafCol("_leaves")
+    m.setProbabilityCol("").setRawPredictionCol("").setPredictionCol("")
     scored = m.transform(assemble(df, cols))
     scored = scored.withColumn("_m", moments(vector_to_array(F.col("_leaves"))))
     var = F.col("_m.sq") - F.col("_m.mean") * F.col("_m.mean")
-    return (scored.withColumn(out_score, _p1())
+    return (scored.withColumn(out_score, F.col("_m.mean"))
                   .withColumn(out_unc, F.sqrt(F.greatest(var, F.lit(0.0))))
-                  .drop(FEATURES, "rawPrediction", "probability", "prediction", "_leaves", "_m"))
+                  .drop(FEATURES, "_leaves", "_m"))
 
 
 def signal_importance(model, cols: Sequence[str], signals: Sequence[str],
@@ -176,16 +178,10 @@ def signal_importance(model, cols: Sequence[str], signals: Sequence[str],
 
 # ------------------------------------------------------------------ experiments
 def evaluate(pred: DataFrame, label: str, name: str, score_col: str = "risk_score") -> DataFrame:
-    """One row ``model, auroc, prauc`` (exact metrics)."""
-    return _one_row(auroc(pred, score_col, label), average_precision(pred, score_col, label, out="prauc"), name)
-
-
-def _one_row(a: DataFrame, p: DataFrame, name: str) -> DataFrame:
-    """Both 1-row metric frames as one row, through one aggregate (no join)."""
-    tagged = (a.select(F.col("auroc").alias("_a"), F.lit(None).cast("double").alias("_p"))
-              .unionByName(p.select(F.lit(None).cast("double").alias("_a"), F.col("prauc").alias("_p"))))
-    return tagged.agg(F.max("_a").alias("auroc"), F.max("_p").alias("prauc")).select(
-        F.lit(name).alias("model"), "auroc", "prauc")
+    """One row ``model, auroc, prauc`` (exact metrics). Scores are written once,
+    so the model runs once over ``pred``."""
+    scored = materialize(pred.select(score_col, label), "scored")
+    return ranking_metrics(scored, score_col, label).select(F.lit(name).alias("model"), "auroc", "prauc")
 
 
 def auroc_value(pred: DataFrame, label: str, score_col: str = "risk_score") -> float:
@@ -215,9 +211,7 @@ def seed_robustness(train: DataFrame, test: DataFrame, cols: Sequence[str], labe
     parts, best, best_auc = [], None, -1.0
     for s in seeds:
         model = fit(train, cols, label, seed=s)
-        pred = score(model, test, cols)
-        row = _one_row(auroc(pred, "risk_score", label), average_precision(pred, "risk_score", label, out="prauc"),
-                       "seed").withColumn("seed", F.lit(s))
+        row = evaluate(score(model, test, cols), label, "seed").withColumn("seed", F.lit(s))
         if return_best:
             row = materialize(row, "seed-run")
             auc = row.first()["auroc"]
@@ -277,29 +271,35 @@ def _gb_params(est: GBTClassifier, draw: dict) -> dict:
 
 def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str = "rf", n_iter: int = 15,
                   folds: int = 3, seed: int = 42, fold_by: str = "row", key: str | None = None,
-                  entity: str | None = None, parallelism: int = 4):
+                  entity: str | None = None, parallelism: int = 8):
     """Random search with k-fold cross-validation on AUROC. Folds come from
     the seeded hash of ``key`` (``fold_by='row'``) or of ``entity``
-    (``'entity'``: no entity in two folds). Returns (best model, table of
-    draws with their mean CV AUROC)."""
+    (``'entity'``: no entity in two folds). ``parallelism`` fits run side by
+    side, each as Spark jobs on the assembled rows, which are written once.
+    Returns (best model refitted on all rows, table of draws with their mean CV
+    AUROC, best first)."""
     d = assemble(train, cols)
     d = balanced_weights(d, label)
     fk = key if fold_by == "row" else entity
     d = d.withColumn("_fold", F.floor(stable_uniform(fk, F.lit("fold"), seed) * folds).cast("int"))
+    d = materialize(d.select(FEATURES, label, WEIGHT, "_fold"), "search")
     if kind == "rf":
-        est = forest(seed=seed, label=label)
-        maps = [_rf_params(est, x) for x in sample_space(RF_SPACE, n_iter, seed)]
-        draws = sample_space(RF_SPACE, n_iter, seed)
+        est, draws, params = forest(seed=seed, label=label), sample_space(RF_SPACE, n_iter, seed), _rf_params
     else:
         est = GBTClassifier(featuresCol=FEATURES, labelCol=label, weightCol=WEIGHT, seed=seed)
-        maps = [_gb_params(est, x) for x in sample_space(GB_SPACE, n_iter, seed)]
-        draws = sample_space(GB_SPACE, n_iter, seed)
+        draws, params = sample_space(GB_SPACE, n_iter, seed), _gb_params
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="_fold",
-                        parallelism=parallelism, seed=seed)
-    fitted = cv.fit(d)
-    spark = train.sparkSession
-    rows = [(i, str(draws[i]), float(m)) for i, m in enumerate(fitted.avgMetrics)]
-    table = spark.createDataFrame(rows, "draw int, params string, cv_auroc double")
-    return fitted.bestModel, table
+
+    def run(task: tuple[int, int]) -> float:
+        i, fold = task
+        model = est.copy(params(est, draws[i])).fit(d.filter(F.col("_fold") != fold))
+        return ev.evaluate(model.transform(d.filter(F.col("_fold") == fold)))
+
+    tasks = [(i, f) for i in range(len(draws)) for f in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        got = np.array(list(pool.map(run, tasks))).reshape(len(draws), folds).mean(axis=1)
+    best = int(np.argmax(got))
+    rows = sorted(((i, str(draws[i]), float(m)) for i, m in enumerate(got)), key=lambda r: (-r[2], r[0]))
+    table = train.sparkSession.createDataFrame(rows, "draw int, params string, cv_auroc double")
+    return est.copy(params(est, draws[best])).fit(d), table

@@ -179,14 +179,15 @@ def unlogged_alerts(new: DataFrame, existing: DataFrame, entity: str, ts: str =
 def entity_summary(latest: DataFrame, entity: str, ts: str, vitals: Sequence[str] = (),
                    factors: Sequence[str] = (), score: str = "risk_score",
                    uncertainty: str = "uncertainty") -> DataFrame:
-    """One text-ready row per entity: risk %, band, confidence %, vitals and the
-    leading factors joined by ', ' (missing factors skipped)."""
+    """One text-ready row per entity: risk %, band, confidence %, vitals (whole
+    numbers, halves to even) and the leading factors joined by ', ' (missing
+    factors skipped)."""
     s, u = F.col(score), F.col(uncertainty)
     cols = [F.col(entity), F.col(ts).alias("last_update"),
-            F.format_string("%.0f%%", F.round(s * 100, 0)).alias("risk_pct"),
+            F.format_string("%.0f%%", F.bround(s * 100, 0)).alias("risk_pct"),
             risk_band_expr(score, RISK_MEDIUM, RISK_HIGH).alias("risk_band"),
-            F.format_string("%.0f%%", F.round((1 - u) * 100, 0)).alias("confidence_pct")]
-    cols += [F.round(F.col(v), 0).alias(f"{v}_shown") for v in vitals]
+            F.format_string("%.0f%%", F.bround((1 - u) * 100, 0)).alias("confidence_pct")]
+    cols += [F.bround(F.col(v), 0).alias(f"{v}_shown") for v in vitals]
     if factors:
         cols.append(F.concat_ws(", ", *[F.col(f) for f in factors]).alias("main_factors"))
     return latest.select(*cols)

@@ -137,9 +137,9 @@ def mask_cells(df: DataFrame, cols: Sequence[str], frac: float, seed: int, key:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced class weights ``n / (n_classes * n_y)`` as a row column."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_ny"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    n_cls = df.select(F.count_distinct(label)).scalar()
-    w = counts.select(label, (total / (n_cls * F.col("_ny"))).alias(out))
+    # rows and classes follow from the counts, in one scalar subquery
+    both = counts.select(F.struct(F.sum("_ny").alias("n"), F.count(label).alias("k"))).scalar()
+    w = counts.select(label, (both["n"] / (both["k"] * F.col("_ny"))).alias(out))
     return df.join(w, label, "left")
 
 

@@ -32,7 +32,7 @@ def experiment(spark, d):
     """Split by entity (fixed), standardise on train, per seed: entities ->
     clients, at most ROWS_PER_CLIENT rows per client, then train all setups
     and score every model on the test entities."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key in _CACHE:
         return _CACHE[key]
     train, test = train_test(spark, d, sustained=True)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.operators import serving as V
-from vitalgrid.plans.registry import query, rounded
+from vitalgrid.plans import q_eval  # noqa: F401  (registers model_table)
+from vitalgrid.plans.registry import REGISTRY, query, rounded
 from vitalgrid.session import checkpoint_dir
 from vitalgrid.sources import fixtures as X
 from vitalgrid.sources import io as IO
@@ -72,7 +73,7 @@ def q_require_complete(spark, d):
     return IO.require_complete(X.p_raw(spark, d), [E, "ts", "value", "k"], E, min_entities=1, min_rows=1)
 
 
-@query("write_report")
+@query("write_report", REGISTRY["model_table"][1])
 def q_write_report(spark, d):
     """The model comparison table of the metric queries written as CSV and
     nested JSON, read back from JSON."""
@@ -81,7 +82,7 @@ def q_write_report(spark, d):
     t = model_table(long_predictions(spark, d), "model", "score", "label")
     path = scratch(spark, "report")
     IO.write_report(t, path, "models", nested={"metrics": ["auroc", "prauc"]})
-    return spark.read.json(os.path.join(path, "models_json"))
+    return rounded(spark.read.json(os.path.join(path, "models_json")).select("model", "metrics.auroc", "metrics.prauc"))
 
 
 @query("append_alerts", X.P_SERVE_SQL + """,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vitalgrid.operators import models as MD
 from vitalgrid.operators.features import build_features, derived_columns, feature_columns
 from vitalgrid.functions.scalar import any_exceeds_expr
-from vitalgrid.operators.splits import split_by_entity
+from vitalgrid.operators.splits import sample_n, split_by_entity
 from vitalgrid.plans.common import flag_sql
 from vitalgrid.plans.registry import query, rounded
 from vitalgrid.session import materialize
@@ -31,22 +31,15 @@ COLS14 = feature_columns(SIG, trend=False)   # raw + z (baselines)
 COLS21 = feature_columns(SIG, trend=True)    # raw + z + trend (final model)
 
 
-_MEMO: dict = {}
-
-
-def _memo(key, build):
-    """Per-session memo of written feature tables and fitted models: several
-    queries read the same feature table and the same final forest."""
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+# Labelled rows that tree models and the search are fitted on, at most.
+TREE_ROWS = 300_000
+SEARCH_ROWS = 150_000
+SEARCH_DRAWS, SEARCH_FOLDS = 15, 3
+#: Rows of a bounded training sample in one file: a fit reads it many times.
+FILE_ROWS = 50_000
 
 
 def labelled(spark, d, sustained: bool = False) -> DataFrame:
-    return _memo((id(spark), d, "features", sustained), lambda: _labelled(spark, d, sustained))
-
-
-def _labelled(spark, d, sustained: bool) -> DataFrame:
     p = X.p_raw(spark, d)
     if sustained:
         f = build_features(p, E, ORD, SIG, z_threshold=1.0, trend_rows=5, horizon=6, sustained_rows=2)
@@ -60,6 +53,12 @@ def train_test(spark, d, sustained: bool = False):
     return split_by_entity(f, E, 0.25, seed=42)
 
 
+def training_rows(train: DataFrame, n: int = TREE_ROWS) -> DataFrame:
+    """The seeded sample that tree models are fitted on (all rows up to ``n``)."""
+    sample = sample_n(train, [E, "event_id"], n, seed=42)
+    return materialize(sample, "training-rows", partitions=-(-n // FILE_ROWS))
+
+
 @query("build_features", flag_sql(2.0) + """
 SELECT user_id, event_id, round(value, 6) AS value, round(k, 6) AS k, round(value_zscore, 6) AS value_zscore,
        round(k_zscore, 6) AS k_zscore, round(avg(value_zscore) OVER w, 6) AS value_zscore_trend,
@@ -86,7 +85,7 @@ def q_fit_logistic(spark, d):
 def q_fit_forest(spark, d):
     """B3: balanced forest, 50 trees, depth 12; test-entity scores."""
     train, test = train_test(spark, d)
-    m = MD.fit_forest(train, COLS14, Y, num_trees=50, max_depth=12)
+    m = MD.fit_forest(training_rows(train), COLS14, Y, num_trees=50, max_depth=12)
     return rounded(MD.score(m, test, COLS14).select(E, "event_id", Y, "risk_score"))
 
 
@@ -94,20 +93,18 @@ def q_fit_forest(spark, d):
 def q_fit_boosting(spark, d):
     """B5: boosted trees, 150 iterations, balanced weights; test-entity scores."""
     train, test = train_test(spark, d)
-    m = MD.fit_boosting(train, COLS14, Y, max_iter=150)
+    m = MD.fit_boosting(training_rows(train), COLS14, Y, max_iter=150)
     return rounded(MD.score(m, test, COLS14).select(E, "event_id", Y, "risk_score"))
 
 
-def final_forest(spark, d):
+def final_forest(train: DataFrame):
     """The final forest: 100 trees, depth 14, raw + z + trend features."""
-    train, _ = train_test(spark, d)
-    return _memo((id(spark), d, "final_forest"),
-                 lambda: MD.fit_forest(train, COLS21, Y, num_trees=100, max_depth=14))
+    return MD.fit_forest(training_rows(train), COLS21, Y, num_trees=100, max_depth=14)
 
 
 def final_scores(spark, d):
-    _, test = train_test(spark, d)
-    m = final_forest(spark, d)
+    train, test = train_test(spark, d)
+    m = final_forest(train)
     return m, MD.tree_uncertainty(m, test, COLS21)
 
 
@@ -142,8 +139,9 @@ def side_by_side(*ones: DataFrame) -> DataFrame:
 @query("signal_importance")
 def q_signal_importance(spark, d):
     """Importance of raw + z + trend per signal from the final forest."""
-    m, _ = final_scores(spark, d)
-    imp = MD.signal_importance(m, COLS21, SIG)
+    train, _ = train_test(spark, d)
+    m = final_forest(train)
+    imp =MD.signal_importance(m, COLS21, SIG)
     return spark.createDataFrame(sorted(imp.items()), "signal string, importance double")
 
 
@@ -154,16 +152,17 @@ def q_baselines(spark, d):
     on the test entities (the model comparison table)."""
     from vitalgrid.operators.isolation import fit_isolation_forest, score_isolation_forest
     train, test = train_test(spark, d)
+    sample = training_rows(train)
     rows = []
     # B1 reads the z-scores of the feature table (statistics over all history)
     b1 = test.withColumn("risk_score", any_exceeds_expr([f"{s}_zscore" for s in SIG], 2.0).cast("double"))
     rows.append(MD.evaluate(b1, Y, "B1 threshold rule"))
     rows.append(MD.evaluate(MD.score(MD.fit_logistic(train, COLS14, Y), test, COLS14), Y, "B2 logistic"))
-    rows.append(MD.evaluate(MD.score(MD.fit_forest(train, COLS14, Y, 50, 12), test, COLS14), Y, "B3 forest"))
+    rows.append(MD.evaluate(MD.score(MD.fit_forest(sample, COLS14, Y, 50, 12), test, COLS14), Y, "B3 forest"))
     iso = fit_isolation_forest(train, COLS14, key="event_id", n_trees=100, sample_size=256, seed=42)
     rows.append(MD.evaluate(score_isolation_forest(iso, test, COLS14, out="risk_score"), Y, "B4 isolation forest"))
-    rows.append(MD.evaluate(MD.score(MD.fit_boosting(train, COLS14, Y, 150), test, COLS14), Y, "B5 boosting"))
-    fin = MD.score(final_forest(spark, d), test, COLS21)
+    rows.append(MD.evaluate(MD.score(MD.fit_boosting(sample, COLS14, Y, 150), test, COLS14), Y, "B5 boosting"))
+    fin = MD.score(MD.fit_forest(sample, COLS21, Y, num_trees=100, max_depth=14), test, COLS21)
     rows.append(MD.evaluate(fin, Y, "final forest + trend"))
     return rounded(reduce(DataFrame.unionByName, rows))
 
@@ -175,7 +174,7 @@ def q_ablation(spark, d):
     for the most and least important signal."""
     from pyspark.sql import Window
     train, test = train_test(spark, d)
-    t = MD.ablation(train, test, SIG, COLS14, Y,
+    t = MD.ablation(training_rows(train), test, SIG, COLS14, Y,
                     lambda tr, cols, y: MD.fit_boosting(tr, cols, y, max_iter=150), derived_columns)
     # the ablation table has one row per signal: a global window is fine here
     w = Window.orderBy(F.desc("auroc_drop"), "signal")
@@ -190,31 +189,39 @@ def q_seed_robustness(spark, d):
     """Boosting with seeds 42, 123, 2024: AUROC per seed, then mean and population std."""
     from vitalgrid.operators.metrics import seed_summary
     train, test = train_test(spark, d)
-    runs = MD.seed_robustness(train, test, COLS14, Y,
+    runs = MD.seed_robustness(training_rows(train), test, COLS14, Y,
                               lambda tr, cols, y, seed: MD.fit_boosting(tr, cols, y, max_iter=150, seed=seed),
                               [42, 123, 2024])
     return rounded(seed_summary(runs.withColumn("setup", F.lit("boosting")), "setup", ["auroc", "prauc"]))
 
 
 def _search(spark, d, kind: str):
+    """The untuned forest and the tuned model side by side: parameters, CV AUROC
+    (none for the untuned one), test AUROC and PR-AUC."""
     train, test = train_test(spark, d, sustained=True)
-    best, table = MD.random_search(train, COLS14, Y, kind=kind, n_iter=4, folds=3, seed=42, key="event_id")
-    pred = MD.score(best, test, COLS14)
-    ev = MD.evaluate(pred, Y, f"tuned {kind}")
-    best_cv = table.agg(F.max("cv_auroc").alias("cv_auroc"))
-    return rounded(side_by_side(ev, best_cv))
+    sample = training_rows(train, SEARCH_ROWS)
+    best, table = MD.random_search(sample, COLS14, Y, kind=kind, n_iter=SEARCH_DRAWS, folds=SEARCH_FOLDS, seed=42,
+                                   key="event_id")
+    won = table.first()
+    untuned = MD.fit_forest(sample, COLS14, Y, num_trees=100, max_depth=14)
+    rows = [MD.evaluate(MD.score(m, test, COLS14), Y, name).withColumns(
+                {"cv_auroc": F.lit(cv).cast("double"), "params": F.lit(params)})
+            for m, name, cv, params in [(untuned, "untuned rf", None, "{'n_estimators': 100, 'max_depth': 14}"),
+                                        (best, f"tuned {kind}", won["cv_auroc"], won["params"])]]
+    return rounded(reduce(DataFrame.unionByName, rows))
 
 
 @query("random_search_rf")
 def q_random_search_rf(spark, d):
-    """Forest search over the reference space (4 draws x 3 row folds on the
-    sustained label): best CV AUROC, test AUROC and PR-AUC."""
+    """Forest search over the reference space (15 draws x 3 row folds on a
+    sample of the sustained label), beside the untuned forest."""
     return _search(spark, d, "rf")
 
 
 @query("random_search_gb")
 def q_random_search_gb(spark, d):
-    """Boosting search over the reference space (4 draws x 3 row folds)."""
+    """Boosting search over the reference space (15 draws x 3 row folds on a
+    sample of the sustained label), beside the untuned forest."""
     return _search(spark, d, "gb")
 
 
@@ -233,8 +240,8 @@ def q_serving_table(spark, d):
     """The whole serving job on P-raw: final forest -> last 3 days of every
     entity -> risk, uncertainty, leading factors -> 1-day bins."""
     from vitalgrid.operators.serving import serving_table
-    m = final_forest(spark, d)
     feats = labelled(spark, d)
+    m = final_forest(split_by_entity(feats, E, 0.25, seed=42)[0])
     out = serving_table(feats, m, E, "ts", SIG, COLS21, days=3, bin_size="1 day",
                         names={"value": "Value", "k": "K"}, tie=["event_id"])
     return rounded(out)

@@ -247,10 +247,10 @@ def q_alert_history(spark, d):
 
 
 @query("entity_summary", LATEST_SERVE_SQL + """
-SELECT user_id, received_date AS last_update, printf('%.0f%%', round(risk_score * 100, 0)) AS risk_pct,
+SELECT user_id, received_date AS last_update, printf('%.0f%%', round_even(risk_score * 100, 0)) AS risk_pct,
        CASE WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk_band,
-       printf('%.0f%%', round((1 - uncertainty) * 100, 0)) AS confidence_pct,
-       round(value, 0) AS value_shown, round(k, 0) AS k_shown FROM lat""")
+       printf('%.0f%%', round_even((1 - uncertainty) * 100, 0)) AS confidence_pct,
+       round_even(value, 0) AS value_shown, round_even(k, 0) AS k_shown FROM lat""")
 def q_entity_summary(spark, d):
     return V.entity_summary(latest_serve(spark, d), E, R, vitals=["value", "k"])
 
