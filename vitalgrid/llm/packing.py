@@ -11,7 +11,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +20,44 @@ from vitalgrid.session import materialize
 #: Pieces per partition that is packed on its own, and rounds of exchange between partitions.
 PARTITION_PIECES = 16384
 ROUNDS = 3
-#: Entries of a worker's cache of tokenised words; it is emptied when full.
-CACHE = 300_000
+#: Entries of a worker's cache of tokenised words, and of that of their parts.
+CACHE = 600_000
 #: Blanks at which a text may be cut into words without changing its tokens.
 _BLANKS = re.compile(r"[ \t\n\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Words of these characters are in composed form and have a lower case of one character each.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
-# Fixed value: the pattern by which the tokenizer cuts a text.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Fixed value: the pattern by which the tokenizer cuts a text,
+# 's|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+ , for plain characters.
+_LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+
+
+class _Recent:
+    """A cache in two halves: when the newer one is full it takes the place of
+    the older one, and whatever is asked for again moves back to the newer. So
+    frequent words stay while words seen once go, and at most ``entries`` (or
+    what one request needs, if that is more) are held."""
+
+    def __init__(self, entries: int):
+        self.half = entries // 2
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> list[str]:
+        """Those of ``asked`` that are not known; the others are in ``now``
+        afterwards, with room for the missing ones."""
+        new = asked.difference(self.now)
+        if len(self.now) + len(new) > self.half:
+            self.old, self.now = self.now, {}
+            new = asked
+        out = []
+        for word in new:
+            if word in self.old:
+                self.now[word] = self.old[word]
+            else:
+                out.append(word)
+        return out
 
 
 class WordTokens:
@@ -48,8 +76,7 @@ class WordTokens:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.bytes = _ByteCharacters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Recent(CACHE), _Recent(CACHE)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -62,17 +89,15 @@ class WordTokens:
                 low = word.lower()
                 parts = [low] if low.isalpha() else _PARTS.findall(low)
                 cut.append((word, parts))
-                new.update(p for p in parts if p not in self.parts)
+                new.update(parts)
             else:
                 whole.append(word)
-        if len(self.parts) + len(new) > CACHE:
-            self.parts.clear()
-            new = {p for _, parts in cut for p in parts}
-        self._learn_parts(list(new))
+        self._learn_parts(self.parts.missing(new))
+        words, known = self.words.now, self.parts.now
         for word, parts in cut:
-            self.words[word] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+            words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         for word, ids in zip(whole, self._encode(self.tokenizer, whole), strict=True):
-            self.words[word] = np.array(ids, dtype="<u4").tobytes()
+            words[word] = np.array(ids, dtype="<u4").tobytes()
 
     def _learn_parts(self, parts: list[str]) -> None:
         """A line of parts is cut after the tokens that end one."""
@@ -85,7 +110,7 @@ class WordTokens:
                 raise ValueError("the vocabulary does not mark the end of every word")
             raw, stops = ids.tobytes(), (4 * stops).tolist()
             for part, a, b in zip(line, [0, *stops[:-1]], stops, strict=True):
-                self.parts[part] = raw[a:b]
+                self.parts.now[part] = raw[a:b]
 
     @staticmethod
     def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -95,14 +120,10 @@ class WordTokens:
         """Ids of some texts; words new to the cache are learned together."""
         # str.split also cuts at four control characters that the tokenizer takes for signs
         cut = [_BLANKS.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        words = set().union(*cut)
-        missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-            missing = list(words)
-        self._learn(missing)
+        self._learn(self.words.missing(set().union(*cut)))
+        known = self.words.now
         for x in cut:
-            yield b"".join([self.words[w] for w in x])
+            yield b"".join([known[w] for w in x])
 
 
 class _ByteCharacters(dict):
