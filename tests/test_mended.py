@@ -11,7 +11,8 @@ from vitalgrid.operators import grid as G
 from vitalgrid.operators import metrics as M
 from vitalgrid.operators import models as MD
 from vitalgrid.operators import splits as SP
-from vitalgrid.operators.sequence import rolling_mean
+from vitalgrid.operators.features import impute_entity_mean
+from vitalgrid.operators.sequence import flag_episodes, rolling_mean
 from vitalgrid.session import materialize, release
 from vitalgrid.sources import io as IO
 
@@ -117,3 +118,24 @@ def test_release_deletes_what_was_materialised(spark):
     assert release(spark) >= 1
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def test_episodes_of_a_hot_day_in_small_chunks(spark):
+    minutes = [0, 1, 2, 2, 3, 10, 11, 30, 31, 32, 33, 34]
+    df = spark.createDataFrame([(1, 60 * m) for m in minutes], "e int, s long").selectExpr(
+        "e", "timestamp_seconds(s) t", "true f")
+    for chunk_rows in (1, 2, 5, 1000):
+        got = flag_episodes(df, "e", "t", "f", chunk_rows=chunk_rows).orderBy("episode_start").collect()
+        assert [r["n_rows"] for r in got] == [5, 2, 5]
+
+
+def test_missing_raw_cells_get_the_entity_mean(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (1, None, None), (1, 4.0, None), (2, None, 7.0)],
+                               "e int, a double, b double")
+    rows = {(r["e"], r["a"], r["b"]) for r in impute_entity_mean(df, "e", ["a", "b"]).collect()}
+    assert rows == {(1, 2.0, None), (1, 3.0, None), (1, 4.0, None), (2, None, 7.0)}
+
+
+def test_folds_by_entity_share_none(spark):
+    df = spark.range(400).selectExpr("id", "id % 23 AS e").select("e", MD.fold_id("e", 3, 42).alias("f"))
+    assert df.distinct().count() == 23 and df.select("f").distinct().count() == 3

@@ -57,6 +57,16 @@ def derived_columns(signal: str) -> list[str]:
     return [signal, f"{signal}_zscore", f"{signal}_zscore_trend"]
 
 
+def impute_entity_mean(df: DataFrame, entity: str, signals: Sequence[str]) -> DataFrame:
+    """Missing cells of raw signals -> the entity's mean, where its z-score
+    is 0 (a signal the entity never has stays NULL). One row per entity is
+    joined back."""
+    means = df.groupBy(entity).agg(*[F.avg(F.col(s).cast("double")).alias(f"_mean_{s}") for s in signals])
+    d = df.join(means, entity, "left")
+    return d.withColumns({s: F.coalesce(F.col(s), F.col(f"_mean_{s}")) for s in signals}).drop(
+        *[f"_mean_{s}" for s in signals])
+
+
 def fill_features(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFrame:
     """Missing feature cells (z of a constant signal, no history) -> ``value``."""
     return df.fillna(value, subset=list(cols)).select(

@@ -84,13 +84,13 @@ class IsolationForestModel:
     sample_size: int
 
 
-def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int = 100,
-                         sample_size: int = 256, seed: int = 42) -> IsolationForestModel:
-    cols = list(cols)
+def tree_samples(df: DataFrame, cols: Sequence[str], key: str, n_trees: int = 100, sample_size: int = 256,
+                 seed: int = 42) -> tuple[DataFrame, int]:
+    """The rows that each tree is grown on (``key``, ``cols``, ``tree``) and
+    their number per tree: at most ``sample_size``, without replacement."""
     n = df.count()
     m = int(min(sample_size, n))
     rate = min(1.0, 4.0 * m / max(n, 1))
-    max_depth = max(1, math.ceil(math.log2(max(m, 2))))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     x = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     # one hash per row decides whether it can be in any tree (probability
@@ -102,7 +102,14 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees:
     cand = x.withColumn("tree", F.explode(F.filter(trees, lambda t: stable_uniform(key, t, seed) < cond)))
     cand = cand.withColumn("_u", stable_uniform(key, F.col("tree"), seed))
     w = Window.partitionBy("tree").orderBy("_u", key)
-    sample = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_u")
+    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_u"), m
+
+
+def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int = 100,
+                         sample_size: int = 256, seed: int = 42) -> IsolationForestModel:
+    cols = list(cols)
+    sample, m = tree_samples(df, cols, key, n_trees, sample_size, seed)
+    max_depth = max(1, math.ceil(math.log2(max(m, 2))))
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

@@ -74,6 +74,12 @@ def brier(df: DataFrame, prob: str, label: str, by=None, out: str = "brier") ->
     return df.groupBy(*_by(by)).agg(F.avg(d * d).alias(out))
 
 
+def uncertainty_summary(df: DataFrame, uncertainty: str = "uncertainty") -> DataFrame:
+    """One row: mean, min and max of the uncertainty."""
+    return df.agg(F.avg(uncertainty).alias("mean_uncertainty"), F.min(uncertainty).alias("min_uncertainty"),
+                  F.max(uncertainty).alias("max_uncertainty"))
+
+
 def accuracy(df: DataFrame, pred: str, label: str, by=None, out: str = "accuracy") -> DataFrame:
     return df.groupBy(*_by(by)).agg(
         F.avg((F.col(pred).cast("long") == F.col(label).cast("long")).cast("double")).alias(out))

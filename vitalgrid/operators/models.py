@@ -22,7 +22,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,21 +189,32 @@ def auroc_value(pred: DataFrame, label: str, score_col: str = "risk_score") -> f
 
 
 def ablation(train: DataFrame, test: DataFrame, signals: Sequence[str], cols: Sequence[str], label: str,
-             fit: Callable, derived: Callable[[str], Sequence[str]]) -> DataFrame:
+             fit: Callable, derived: Callable[[str], Sequence[str]], apply: Callable = score) -> DataFrame:
     """Refit without each signal and its derived columns; AUROC and the drop
-    against the full model, most important first (largest drop)."""
+    against the full model, most important first (largest drop).
+    ``apply(model, rows, columns)`` adds ``risk_score``."""
     spark = train.sparkSession
-    base = auroc_value(score(fit(train, cols, label), test, cols), label)
+    base = auroc_value(apply(fit(train, cols, label), test, cols), label)
     rows = []
     for s in signals:
         drop = set(derived(s))
         reduced = [c for c in cols if c not in drop]
-        a = auroc_value(score(fit(train, reduced, label), test, reduced), label)
+        a = auroc_value(apply(fit(train, reduced, label), test, reduced), label)
         rows.append((s, a, base - a))
     df = spark.createDataFrame(rows, "signal string, auroc double, auroc_drop double")
     return df.withColumn("baseline_auroc", F.lit(base)).orderBy(F.desc("auroc_drop"), "signal")
 
 
+def rank_ablation(table: DataFrame) -> DataFrame:
+    """``rank`` by AUROC drop (1 = most important, ties by name) and flags for
+    the most and least important signal, for a table with one row per signal."""
+    # one row per signal: a global window is fine here
+    w = Window.orderBy(F.desc("auroc_drop"), "signal")
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return (table.withColumn("rank", F.row_number().over(w)).withColumn("most_important", F.col("rank") == 1)
+                 .withColumn("least_important", F.col("rank") == n))
+
+
 def seed_robustness(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str,
                     fit: Callable, seeds: Sequence[int], return_best: bool = False):
     """One row per seed: AUROC and PR-AUC of the model fitted with that seed.
@@ -269,6 +280,12 @@ def _gb_params(est: GBTClassifier, draw: dict) -> dict:
             est.minInstancesPerNode: int(draw["min_samples_leaf"])}
 
 
+def fold_id(key: str, folds: int, seed: int) -> Column:
+    """Fold 0 .. ``folds`` - 1 of a row, from the seeded hash of ``key``: a row
+    key for folds of rows, the entity for folds that share no entity."""
+    return F.floor(stable_uniform(key, F.lit("fold"), seed) * folds).cast("int")
+
+
 def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str = "rf", n_iter: int = 15,
                   folds: int = 3, seed: int = 42, fold_by: str = "row", key: str | None = None,
                   entity: str | None = None, parallelism: int = 8):
@@ -281,7 +298,7 @@ def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str =
     d = assemble(train, cols)
     d = balanced_weights(d, label)
     fk = key if fold_by == "row" else entity
-    d = d.withColumn("_fold", F.floor(stable_uniform(fk, F.lit("fold"), seed) * folds).cast("int"))
+    d = d.withColumn("_fold", fold_id(fk, folds, seed))
     d = materialize(d.select(FEATURES, label, WEIGHT, "_fold"), "search")
     if kind == "rf":
         est, draws, params = forest(seed=seed, label=label), sample_space(RF_SPACE, n_iter, seed), _rf_params

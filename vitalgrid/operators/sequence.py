@@ -220,20 +220,21 @@ def sustained(df: DataFrame, entity: str, order, flag: str, rows: int = 15, out:
 
 
 def flag_episodes(df: DataFrame, entity: str, ts: str, flag: str, max_gap: str = "1 minute",
-                  bucket: str = "day") -> DataFrame:
+                  bucket: str = "day", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Intervals of flagged rows: a new episode starts when the time since the
     previous flagged row of the entity is more than ``max_gap``.
 
     Returns ``entity, episode_start, episode_end, n_rows``. The previous flagged
-    time is a carry across day chunks, so no task holds a whole entity.
+    time is a carry across chunks of ``chunk_rows`` numbered rows, so no task
+    holds a whole entity, nor a whole hot day of one.
     """
     f = df.filter(F.coalesce(F.col(flag), F.lit(False))).select(entity, ts)
-    f = f.withColumn("_ck", F.unix_micros(F.date_trunc(bucket, F.col(ts))))
-    f = carry_last(f.withColumn("_t", F.col(ts)), entity, "_ck", [ts], ["_t"], suffix="_before",
+    f = row_index(f, entity, [ts], bucket=bucket).withColumn("_ck", F.floor((F.col(RN) - 1) / chunk_rows))
+    f = carry_last(f.withColumn("_t", F.col(ts)), entity, "_ck", [RN], ["_t"], suffix="_before",
                    inclusive=False)
     gap = F.col(ts) > F.col("_t_before") + F.expr(f"INTERVAL {max_gap}")
     f = f.withColumn("_start", F.when(F.col("_t_before").isNull() | gap, F.col(ts)))
-    f = carry_last(f, entity, "_ck", [ts], ["_start"], suffix="_ep")
+    f = carry_last(f, entity, "_ck", [RN], ["_start"], suffix="_ep")
     return (f.groupBy(entity, F.col("_start_ep").alias("episode_start"))
              .agg(F.max(ts).alias("episode_end"), F.count(F.lit(1)).alias("n_rows")))
 

@@ -27,13 +27,18 @@ def entity_ranks(df: DataFrame, entity: str, seed: int, hash_digits: int = 3) ->
     return ranked.withColumn("_n", n).drop("_h")
 
 
+def test_entities(df: DataFrame, entity: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
+    """The ``ceil(test_size * n)`` entities that go to test."""
+    r = entity_ranks(df, entity, seed)
+    return r.filter(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_size))).select(entity)
+
+
 def split_by_entity(df: DataFrame, entity: str, test_size: float = 0.25, seed: int = 42
                     ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with no entity on both sides; ``ceil(test_size * n)``
     entities go to test. The entity tables hold one row per entity; AQE
     broadcasts them while they are small."""
-    r = entity_ranks(df, entity, seed)
-    test_ids = r.filter(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_size))).select(entity)
+    test_ids = test_entities(df, entity, test_size, seed)
     return df.join(test_ids, entity, "left_anti"), df.join(test_ids, entity, "left_semi")
 
 

@@ -11,24 +11,15 @@ from vitalgrid.operators import filters as FL
 from vitalgrid.operators import metrics as M
 from vitalgrid.operators import splits as SP
 from vitalgrid.operators.aggregates import median_split
+from vitalgrid.plans.common import auroc_sql
 from vitalgrid.plans.registry import query, rounded
+from vitalgrid.session import materialize
 from vitalgrid.sources import fixtures as X
 
 E = "user_id"
 SEEDS = [1, 2, 3, 4, 5]
 
 
-def _auroc_sql(src: str, by: str = "") -> str:
-    """Exact AUROC in plain SQL over ``src(score, label[, by])`` (oracle side)."""
-    part = f"PARTITION BY {by} " if by else ""
-    sel = f"{by}, " if by else ""
-    grp = f"GROUP BY {by}" if by else ""
-    return f"""(SELECT {sel}sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auroc FROM (
-      SELECT *, sum(neg) OVER ({part}ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS below FROM (
-        SELECT {sel}score, sum(label) AS pos, sum(1 - label) AS neg FROM {src}
-        WHERE score IS NOT NULL GROUP BY {sel}score)) {grp})"""
-
-
 def _ap_sql(src: str, by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     sel = f"{by}, " if by else ""
@@ -41,7 +32,7 @@ def _ap_sql(src: str, by: str = "") -> str:
 
 
 # ------------------------------------------------------------------ metrics
-@query("auroc", X.Y_EVENT_SQL + "\nSELECT round(auroc, 6) AS auroc FROM " + _auroc_sql("y_event"))
+@query("auroc", X.Y_EVENT_SQL + "\nSELECT round(auroc, 6) AS auroc FROM " + auroc_sql("y_event"))
 def q_auroc(spark, d):
     return rounded(M.auroc(X.y_event(spark, d), "score", "label"))
 
@@ -59,6 +50,13 @@ def q_brier(spark, d):
     return rounded(M.brier(y, "prob", "label"))
 
 
+@query("uncertainty_summary_serving", X.P_SERVE_SQL + """
+SELECT round(avg(uncertainty), 6) AS mean_uncertainty, round(min(uncertainty), 6) AS min_uncertainty,
+       round(max(uncertainty), 6) AS max_uncertainty FROM p_serve""")
+def q_uncertainty_summary_serving(spark, d):
+    return rounded(M.uncertainty_summary(X.p_serve(spark, d)))
+
+
 @query("accuracy", X.Y_EVENT_SQL + """
 SELECT round(avg(CASE WHEN CAST(score > 90 AS INTEGER) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM y_event""")
@@ -113,7 +111,7 @@ def q_union_results(spark, d):
 
 @query("model_table", LONG_SQL + """
 SELECT a.model, round(a.auroc, 6) AS auroc, round(p.prauc, 6) AS prauc
-FROM """ + _auroc_sql("lng", "model") + " a JOIN " + _ap_sql("lng", "model") + " p USING (model)")
+FROM """ + auroc_sql("lng", "model") + " a JOIN " + _ap_sql("lng", "model") + " p USING (model)")
 def q_model_table(spark, d):
     return rounded(M.model_table(long_predictions(spark, d), "model", "score", "label"))
 
@@ -206,18 +204,16 @@ rk AS (SELECT s.seed, e.user_id, row_number() OVER (PARTITION BY s.seed
           count(*) OVER (PARTITION BY s.seed) AS n FROM seeds s, ents e),
 te AS (SELECT seed, user_id FROM rk WHERE r <= ceil(0.25 * n)),
 rows AS (SELECT te.seed, y.score, y.label FROM y_event y JOIN te USING (user_id)),
-res AS """ + _auroc_sql("rows", "seed") + """
+res AS """ + auroc_sql("rows", "seed") + """
 SELECT 'value' AS setup, count(*) AS n_runs, round(avg(auroc), 6) AS auroc_mean,
        round(stddev_pop(auroc), 6) AS auroc_std FROM res""")
 def q_seed_summary(spark, d):
     """Test-split AUROC of the ``value`` score for five seeds of the entity
     split, then mean and population std over the seeds."""
     y = X.y_event(spark, d)
-    runs = []
-    for s in SEEDS:
-        _, test = SP.split_by_entity(y, E, 0.25, seed=s)
-        runs.append(M.auroc(test, "score", "label").withColumn("seed", F.lit(s)))
-    results = reduce(DataFrame.unionByName, runs).withColumn("setup", F.lit("value"))
+    ids = materialize(y.select(E).distinct(), "entities")  # one row per entity; every seed ranks these
+    tests = reduce(DataFrame.unionByName, [SP.test_entities(ids, E, 0.25, seed=s).withColumn("seed", F.lit(s)) for s in SEEDS])
+    results = M.auroc(y.join(tests, E), "score", "label", by="seed").withColumn("setup", F.lit("value"))
     return rounded(M.seed_summary(results, "setup", ["auroc"]))
 
 

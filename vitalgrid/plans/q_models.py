@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import models as MD
-from vitalgrid.operators.features import build_features, derived_columns, feature_columns
+from vitalgrid.operators.baselines import entity_stats, zscore
+from vitalgrid.operators.features import build_features, derived_columns, feature_columns, impute_entity_mean
 from vitalgrid.functions.scalar import any_exceeds_expr
 from vitalgrid.operators.splits import sample_n, split_by_entity
-from vitalgrid.plans.common import flag_sql
+from vitalgrid.plans.common import auroc_sql, flag_sql
 from vitalgrid.plans.registry import query, rounded
 from vitalgrid.session import materialize
 from vitalgrid.sources import fixtures as X
@@ -45,7 +46,7 @@ def labelled(spark, d, sustained: bool = False) -> DataFrame:
         f = build_features(p, E, ORD, SIG, z_threshold=1.0, trend_rows=5, horizon=6, sustained_rows=2)
     else:
         f = build_features(p, E, ORD, SIG, z_threshold=2.0, trend_rows=5, horizon=6)
-    return materialize(f, "features")
+    return materialize(impute_entity_mean(f, E, SIG), "features")
 
 
 def train_test(spark, d, sustained: bool = False):
@@ -119,11 +120,10 @@ def q_tree_uncertainty(spark, d):
 def q_uncertainty_summary(spark, d):
     """Mean, min and max of the per-tree spread on the test entities, with
     AUROC, PR-AUC and Brier of the final forest."""
-    from vitalgrid.operators.metrics import brier
+    from vitalgrid.operators.metrics import brier, uncertainty_summary
     _, s = final_scores(spark, d)
     s = materialize(s, "scored")
-    u = s.agg(F.avg("uncertainty").alias("mean_uncertainty"), F.min("uncertainty").alias("min_uncertainty"),
-              F.max("uncertainty").alias("max_uncertainty"))
+    u = uncertainty_summary(s)
     ev = MD.evaluate(s, Y, "final")
     return rounded(side_by_side(ev, u, brier(s, "risk_score", Y)))
 
@@ -172,16 +172,60 @@ def q_ablation(spark, d):
     """Refit boosting without each signal and its z / trend columns: AUROC,
     drop against the full model, rank by drop (1 = most important) and flags
     for the most and least important signal."""
-    from pyspark.sql import Window
     train, test = train_test(spark, d)
     t = MD.ablation(training_rows(train), test, SIG, COLS14, Y,
                     lambda tr, cols, y: MD.fit_boosting(tr, cols, y, max_iter=150), derived_columns)
-    # the ablation table has one row per signal: a global window is fine here
-    w = Window.orderBy(F.desc("auroc_drop"), "signal")
-    t = t.withColumn("rank", F.row_number().over(w))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return rounded(t.withColumn("most_important", F.col("rank") == 1)
-                    .withColumn("least_important", F.col("rank") == n))
+    return rounded(MD.rank_ablation(t))
+
+
+def rule_score(zcols, rows: DataFrame, cols) -> DataFrame:
+    """Risk of a rule without a fit: the largest |z| of its signals."""
+    return rows.withColumn("risk_score", F.array_max(F.array(*[F.coalesce(F.abs(c), F.lit(0.0)) for c in zcols])))
+
+
+@query("ablation_rule", flag_sql(2.0) + """,
+f AS (SELECT coalesce(abs(value_zscore), 0) AS zv, coalesce(abs(k_zscore), 0) AS zk,
+             CAST(max(CAST(risk_event_now AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                  ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS INTEGER) AS label FROM flagged),
+vb AS (SELECT greatest(zv, zk) AS score, label FROM f), vv AS (SELECT zk AS score, label FROM f),
+vk AS (SELECT zv AS score, label FROM f),
+b AS """ + auroc_sql("vb") + """,
+t AS (SELECT 'value' AS signal, auroc FROM """ + auroc_sql("vv") + """
+      UNION ALL SELECT 'k', auroc FROM """ + auroc_sql("vk") + """),
+r AS (SELECT signal, t.auroc, b.auroc - t.auroc AS auroc_drop, b.auroc AS baseline_auroc,
+             CAST(row_number() OVER (ORDER BY b.auroc - t.auroc DESC, signal) AS INTEGER) AS rank FROM t, b)
+SELECT signal, round(auroc, 6) AS auroc, round(auroc_drop, 6) AS auroc_drop, round(baseline_auroc, 6) AS baseline_auroc,
+       rank, rank = 1 AS most_important, rank = 2 AS least_important FROM r""")
+def q_ablation_rule(spark, d):
+    """The ablation ranking for a rule score (largest |z|) with one signal left out at a time."""
+    feats = labelled(spark, d)
+    t = MD.ablation(feats, feats, SIG, COLS14, Y, lambda _, cols, __: [c for c in cols if c.endswith("_zscore")],
+                    derived_columns, apply=rule_score)
+    return rounded(MD.rank_ablation(t))
+
+
+@query("entity_folds", X.P_RAW_SQL + """
+SELECT event_id, user_id, CAST(floor(('0x' || substr(md5(CAST(user_id AS VARCHAR) || ':fold:42'), 1, 8))::BIGINT
+                                     / 4294967296.0 * 3) AS INTEGER) AS fold FROM p_raw""")
+def q_entity_folds(spark, d):
+    """Cross-validation folds that share no entity (``random_search(fold_by='entity')``)."""
+    return X.p_raw(spark, d).select("event_id", E, MD.fold_id(E, SEARCH_FOLDS, 42).alias("fold"))
+
+
+# Fixed value: training rows of the query below end before this time.
+TRAIN_END = "2024-01-15"
+
+
+@query("zscore_train_stats", X.P_RAW_SQL + f""",
+s AS (SELECT user_id, avg(value) AS mv, stddev_samp(value) AS sv, avg(k) AS mk, stddev_samp(k) AS sk
+      FROM p_raw WHERE ts < TIMESTAMP '{TRAIN_END}' GROUP BY user_id)
+SELECT event_id, round((value - mv) / nullif(sv, 0), 6) AS value_zscore, round((k - mk) / nullif(sk, 0), 6) AS k_zscore
+FROM p_raw LEFT JOIN s USING (user_id)""")
+def q_zscore_train_stats(spark, d):
+    """Z-scores whose statistics come from training rows alone (no leak of later rows)."""
+    p = X.p_raw(spark, d)
+    stats = entity_stats(p.filter(F.col("ts") < F.lit(TRAIN_END).cast("timestamp")), E, SIG)
+    return rounded(zscore(p, E, SIG, stats=stats).select("event_id", "value_zscore", "k_zscore"))
 
 
 @query("seed_robustness")
@@ -235,6 +279,22 @@ def q_isolation_forest(spark, d):
     return rounded(score_isolation_forest(iso, test, COLS14).select(E, "event_id", Y, "anomaly_score"))
 
 
+@query("isolation_sample", X.P_RAW_SQL + """,
+n AS (SELECT least(256, count(*)) AS m, least(1.0, 4.0 * least(256, count(*)) / greatest(count(*), 1)) AS rate FROM p_raw),
+a AS (SELECT m, rate, least(1.0, 100 * rate) AS p_any FROM n),
+c AS (SELECT event_id, tree, m, rate / p_any AS cond,
+             ('0x' || substr(md5(event_id || ':' || tree || ':42'), 1, 8))::BIGINT / 4294967296.0 AS u
+      FROM p_raw, a, (SELECT CAST(range AS INTEGER) AS tree FROM range(100))
+      WHERE ('0x' || substr(md5(event_id || ':any:42'), 1, 8))::BIGINT / 4294967296.0 < p_any)
+SELECT event_id, tree FROM (SELECT event_id, tree, m, row_number() OVER (PARTITION BY tree ORDER BY u, event_id) AS r
+                            FROM c WHERE u < cond) WHERE r <= m""")
+def q_isolation_sample(spark, d):
+    """The rows on which each tree of the isolation forest is grown."""
+    from vitalgrid.operators.isolation import tree_samples
+    return tree_samples(X.p_raw(spark, d), SIG, "event_id", n_trees=100, sample_size=256, seed=42)[0].select(
+        "event_id", "tree")
+
+
 @query("serving_table")
 def q_serving_table(spark, d):
     """The whole serving job on P-raw: final forest -> last 3 days of every
