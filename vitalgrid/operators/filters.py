@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import (coerce_numeric_expr, relabel_expr, risk_band_expr,
@@ -57,11 +57,17 @@ def date_range(df: DataFrame, entity: str, ts: str, start=None, end=None, defaul
     bounds default per entity: ``end`` = last date, ``start`` = date of
     ``max(first ts, last ts - default_days)``."""
     b = df.groupBy(entity).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
+    d = df.join(b, entity, "inner")
+    return d.filter(in_date_range(ts, start, end, default_days)).drop("_t0", "_t1")
+
+
+def in_date_range(ts: str, start=None, end=None, default_days: int = 7) -> Column:
+    """The condition of ``date_range`` for rows that hold their entity's first
+    and last time as ``_t0`` and ``_t1``."""
     back = F.timestamp_micros(F.unix_micros(F.col("_t1")) - F.lit(default_days * 86_400_000_000))
     lo = F.to_date(F.lit(start)) if start is not None else F.to_date(F.greatest(F.col("_t0"), back))
     hi = F.to_date(F.lit(end)) if end is not None else F.to_date(F.col("_t1"))
-    d = df.join(b, entity, "inner")
-    return d.filter(F.to_date(F.col(ts)).between(lo, hi)).drop("_t0", "_t1")
+    return F.to_date(F.col(ts)).between(lo, hi)
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

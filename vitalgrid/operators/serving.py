@@ -113,16 +113,25 @@ def signal_card(df: DataFrame, entity: str, ts: str, signals: Sequence[str], dig
     return long.select(entity, "signal", *[F.round(c, digits).alias(c) for c in ("mean", "std", "last_value")])
 
 
-def personal_band(df: DataFrame, entity: str, signals: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``<sig>_band_low/high`` = mean -/+ sample std of the entity's full
-    history (``stats_from``, default ``df``), also when ``df`` is a filtered view."""
-    src = stats_from if stats_from is not None else df
+def _band_aggs(signals: Sequence[str]) -> list[Column]:
     aggs = []
     for s in signals:
         x = F.col(s).cast("double")
         aggs += [(F.avg(x) - F.stddev_samp(x)).alias(f"{s}_band_low"),
                  (F.avg(x) + F.stddev_samp(x)).alias(f"{s}_band_high")]
-    return df.join(src.groupBy(entity).agg(*aggs), entity, "left")
+    return aggs
+
+
+def _span_aggs(signals: Sequence[str]) -> list[Column]:
+    return [agg(F.col(s).cast("double")).alias(f"_{s}_{name}") for s in signals
+            for agg, name in ((F.min, "min"), (F.max, "max"))]
+
+
+def personal_band(df: DataFrame, entity: str, signals: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
+    """Adds ``<sig>_band_low/high`` = mean -/+ sample std of the entity's full
+    history (``stats_from``, default ``df``), also when ``df`` is a filtered view."""
+    src = stats_from if stats_from is not None else df
+    return df.join(src.groupBy(entity).agg(*_band_aggs(signals)), entity, "left")
 
 
 def minmax_normalise(df: DataFrame, entity: str, signals: Sequence[str], stats_from: DataFrame | None = None,
@@ -131,11 +140,10 @@ def minmax_normalise(df: DataFrame, entity: str, signals: Sequence[str], stats_f
     divides by 1. Band columns ``<sig>_band_low/high``, when present, are
     normalised the same way."""
     src = stats_from if stats_from is not None else df
-    aggs = []
-    for s in signals:
-        aggs += [F.min(F.col(s).cast("double")).alias(f"_{s}_min"),
-                 F.max(F.col(s).cast("double")).alias(f"_{s}_max")]
-    d = df.join(src.groupBy(entity).agg(*aggs), entity, "left")
+    return _normalise(df.join(src.groupBy(entity).agg(*_span_aggs(signals)), entity, "left"), signals, suffix)
+
+
+def _normalise(d: DataFrame, signals: Sequence[str], suffix: str = "_norm") -> DataFrame:
     for s in signals:
         lo = F.col(f"_{s}_min")
         span = F.coalesce(F.nullif(F.col(f"_{s}_max") - lo, F.lit(0.0)), F.lit(1.0))
@@ -198,11 +206,13 @@ def trend_view(df: DataFrame, entity: str, ts: str, signals: Sequence[str], star
                threshold: float = RISK_HIGH) -> DataFrame:
     """Rows of the chosen date range (default: last 7 days per entity) with
     score, band limits, threshold, risk band, and each signal with its personal
-    band, raw and min-max normalised; band statistics use the full history."""
-    from vitalgrid.operators.filters import date_range
-    view = date_range(df, entity, ts, start, end)
-    view = personal_band(view, entity, signals, stats_from=df)
-    view = minmax_normalise(view, entity, signals, stats_from=df)
+    band, raw and min-max normalised; band statistics use the full history.
+    Dates, bands and spans come from one aggregate, joined to the rows once."""
+    from vitalgrid.operators.filters import in_date_range
+    stats = df.groupBy(entity).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"), *_band_aggs(signals),
+                                   *_span_aggs(signals))
+    view = df.join(stats, entity, "inner").filter(in_date_range(ts, start, end)).drop("_t0", "_t1")
+    view = _normalise(view, signals)
     view = risk_band_limits(view, score, uncertainty)
     return (view.withColumn("threshold", F.lit(threshold))
                 .withColumn("risk_band", risk_band_expr(score, RISK_MEDIUM, RISK_HIGH)))
