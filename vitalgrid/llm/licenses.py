@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ SENTENCES = {
     "the software is provided as is without warranty of any kind express or implied including but not limited to the "
     "warranties of merchantability fitness for a particular purpose and noninfringement": "MITasis",
     "licensed under the apache license version #": "ApacheRef",
+    "licensed under the apache license version # the license": "ApacheRef",
+    "this project is licensed under the apache license version # the license": "ApacheRef",
     "this project is licensed under the apache license version #": "ApacheRef",
     "you may not use this file except in compliance with the license": "ApacheUse",
     "you may obtain a copy of the license at @": "ApacheCopy",
@@ -69,12 +72,15 @@ SENTENCES = {
     "disclaimed": "BSDasis",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
     "provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
     "all rights reserved": "AllRights",
 }
-# Licence rules, tried in this order at each place; "?" marks an identifier that may be missing.
+# Licence rules, tried in this order at each place; "?" marks an identifier that may be missing. The
+# copyright line of BSD headers ends in "All rights reserved".
 RULES = [
-    ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis?"]),
-    ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDasis?"]),
+    ("BSD-3-Clause", ["AllRights?", "BSDgrant", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis?"]),
+    ("BSD-2-Clause", ["AllRights?", "BSDgrant", "BSDsource", "BSDbinary", "BSDasis?"]),
     ("MIT", ["MITref?", "MITgrant", "MITnotice?", "MITasis?"]),
     ("GPL-#-or-later", ["GPLgrantOrLater-#", "GPLnowarranty?", "GPLsee?"]),
     ("GPL-#-only", ["GPLgrant-#", "GPLnowarranty?", "GPLsee?"]),
@@ -94,62 +100,105 @@ RULES = [
     ("Public-Domain", ["PublicDomain"]),
     ("Proprietary", ["AllRights"]),
 ]
-#: A line is looked at only if it holds one of these, which every known sentence does.
-CUES = ("license", "licence", "licensed", "permission", "copyright", "redistribut", "warrant", "public domain",
-        "rights reserved", "apache", "gnu ", "neither the name")
+#: A text is looked at only if it holds one of these, which every known sentence does. Single words, since line ends
+#: and comment marks may stand between two.
+CUES = ("license", "licence", "licensed", "permission", "copyright", "redistribut", "warrant", "public", "rights",
+        "apache", "gnu", "neither")
 
-_END = re.compile(r"(?<=[.!?;:])\s+|\n+|\s*\*\s+|//+|#+\s")
+#: Places where a known sentence may begin or end; it may also run over them.
+_CUT = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+|\*\s+|(?<!:)//+|#+\s")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_URL = re.compile(r"https?://\S+")
 _VERSION = re.compile(r"\d+(?:\.\d+)*")
-_OTHER = re.compile(r"[^a-z0-9.]+")
+_WORD = re.compile(r"[a-z0-9.]+")
+
+
+def words_of(piece: str) -> list[str]:
+    """Lower-cased words and version numbers; everything else goes."""
+    out = []
+    for word in _WORD.findall(piece.lower()):
+        word = word.strip(".")
+        if "." in word and not _VERSION.fullmatch(word):
+            out += [x for x in word.split(".") if x]
+        elif word:
+            out.append(word)
+    return out
+
 
+class Words:
+    """The words of a text, the places between them where it may be cut into
+    sentences (line ends, sentence marks, comment marks, ends of addresses) and
+    the place where the paragraph of each cut ends."""
 
-def normalise(sentence: str) -> str:
-    """Lower-cased words and version numbers, one blank apart; everything else goes."""
-    words = _OTHER.sub(" ", sentence.lower()).split()
-    bare = [w.strip(".") for w in words]
-    return " ".join(" ".join(w if _VERSION.fullmatch(w) else w.replace(".", " ") for w in bare).split())
+    def __init__(self, text: str):
+        self.words: list[str] = []
+        self.cuts: list[int] = []  # word numbers, rising; the last is the number of words
+        self.paragraphs: list[int] = []
+        for paragraph in _PARAGRAPH.split(_URL.sub(lambda m: m[0] + "\n", text)):
+            for piece in _CUT.split(paragraph):
+                got = words_of(piece)
+                if got:
+                    self.cuts.append(len(self.words))
+                    self.words += got
+            self.paragraphs.append(len(self.words))
+        self.cuts.append(len(self.words))
+        self.ends = set(self.cuts)
 
 
 class Recogniser:
-    """Normalised sentences -> identifiers, and identifier sequences -> licences."""
+    """Texts -> identifiers of known sentences, and identifier sequences -> licences."""
 
     def __init__(self, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None):
-        self.exact, self.open = {}, []
+        self.tree: dict = {}  # word -> the words that may follow; "" -> identifier of the sentence that ends here
         for known, name in (sentences or SENTENCES).items():
-            if "@" in known:
-                self.open.append((re.compile(re.escape(known).replace("@", ".+").replace("\\#", r"(\d+(?:\.\d+)*)")), name))
-            else:
-                self.exact[known] = name
+            node = self.tree
+            for word in known.split():
+                node = node.setdefault(word, {})
+            node[""] = name
         self.rules = rules or RULES
 
-    def identify(self, sentence: str) -> str | None:
-        """Identifier of a normalised sentence; its version number follows after a hyphen."""
-        name = self.exact.get(sentence)
-        if name:
-            return name
-        version = None
-
-        def cut(m: re.Match) -> str:
-            nonlocal version
-            version = m[0]
-            return "#"
+    def match(self, doc: Words, at: int, node: dict, version: str = "") -> tuple[int, str] | None:
+        """(end, identifier) of the longest known sentence whose words go on from
+        word ``at`` and that ends at a cut; its version number follows after a hyphen."""
+        best = None
+        while True:
+            if "" in node and at in doc.ends:
+                best = at, node[""] + (f"-{version}" if version else "")
+            if "@" in node:
+                best = self.open_match(doc, at, node["@"], version) or best
+            word = doc.words[at] if at < len(doc.words) else ""
+            if word in node and word:
+                node = node[word]
+            elif "#" in node and _VERSION.fullmatch(word):
+                node, version = node["#"], word
+            else:
+                return best
+            at += 1
 
-        name = self.exact.get(_VERSION.sub(cut, sentence, count=1))
-        if name:
-            return f"{name}-{version}"
-        return next((n for p, n in self.open if p.fullmatch(sentence)), None)
+    def open_match(self, doc: Words, at: int, node: dict, version: str) -> tuple[int, str] | None:
+        """As ``match``, after a run of one word or more: up to the next cut if
+        the known sentence ends with the run, else up to its further words in the paragraph."""
+        if "" in node:
+            end = bisect_right(doc.cuts, at)
+            return (doc.cuts[end], node[""] + (f"-{version}" if version else "")) if end < len(doc.cuts) else None
+        last = doc.paragraphs[min(bisect_right(doc.paragraphs, at), len(doc.paragraphs) - 1)]
+        for start in range(at + 1, last):
+            if doc.words[start] in node and (got := self.match(doc, start, node, version)):
+                return got
+        return None
 
     def sentences(self, text: str) -> list[str]:
-        """Identifiers of the known sentences of a text, in order. A sentence may
-        run over several lines: each run of lines with a cue is also read as one."""
-        found = []
-        for part in re.split(r"\n\s*\n", text):
-            low = part.lower()
-            if not any(c in low for c in CUES):
-                continue
-            whole = [x for x in map(self.identify, map(normalise, re.split(r"(?<=[.!?;:])\s+", part))) if x]
-            lines = [x for x in map(self.identify, map(normalise, _END.split(part))) if x]
-            found += whole if len(whole) >= len(lines) else lines
+        """Identifiers of the known sentences of a text, in order. A sentence
+        begins and ends at a cut and may run over others, so it may stand in
+        several lines, hold sentence marks, or fill one line without any."""
+        low = text.lower()
+        if not any(c in low for c in CUES):
+            return []
+        doc, found, free = Words(text), [], 0
+        for at in doc.cuts[:-1]:
+            if at >= free and doc.words[at] in self.tree and (got := self.match(doc, at, self.tree)):
+                free = got[0]
+                found.append(got[1])
         return found
 
     def licences(self, ids: list[str]) -> tuple[list[str], int]:
@@ -194,9 +243,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Licences named in every document's whole text.
 
-    The text is cut into sentences (at sentence ends and at line ends),
-    normalised sentences are looked up among the known licence sentences, and
-    the identifiers found, in their order, are matched against ordered rules.
+    Known licence sentences are looked up word by word from every place where
+    a sentence may begin (after sentence marks, line ends and comment marks) to
+    every place where one may end, whatever marks and line ends lie between.
+    The identifiers found, in their order, are matched against ordered rules.
 
     Returns ``doc_id, licenses`` (comma-separated, in order of first place,
     empty if none), ``sentence_ids`` (all identifiers in order), ``n_sentences``
