@@ -127,3 +127,12 @@ def test_other_sentences_do_not_match():
                  "Neither the name of this town is known.\n\nNor the names of its contributors may be used.",
                  "You may obtain a copy of the license at", "The public has rights.", ""):
         assert known.sentences(text) == []
+
+
+def test_both_readings_of_a_paragraph_are_kept():
+    known = Recogniser()
+    grant = MIT.split("\n\n")[2]
+    ids = known.sentences(grant + "\nLicensed under CC BY 4.0\nanother line without a full stop")
+    assert known.licences(ids) == (["MIT", "CC-BY-4.0"], 0)
+    assert known.sentences("This work is dedicated to the public\ndomain") == ["PublicDomain"]
+    assert known.sentences("# All rights\n# reserved.") == ["AllRights"]
