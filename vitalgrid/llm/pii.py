@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for validated numbers, dates and addresses.
 
-Every value becomes an array of digits with a radix each (a phone number's
+Every value becomes an array of digits with a radix each (a real phone number's
 first area digit has radix 8, an IPv4 part radix 256, a calendar day the two
 factors of the days of a 400-year cycle, ...). A keyed Feistel network adds to
 each half, digit by digit, a hash of the other half: a permutation of all
@@ -17,16 +17,28 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-# Formats. NB: Java regular expressions, tried in this order.
+# Formats with their valid ranges, so that what matches is valid. NB: Java regular expressions, tried in
+# this order.
 EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\\.)+[A-Za-z]{2,}"
-DATE = "(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
-SSN = "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-PHONE = "(?<![0-9A-Za-z(+])(?:\\+?1[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
-IPV4 = "(?<![0-9A-Za-z.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\\.[0-9])"
-CARD = "(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])"
-KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IPV4, "card": CARD}
+_YEAR = "(?:1[6-9]|2[0-3])"
+_DAY = ("[0-9]{2}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|"
+        "02-(?:0[1-9]|1[0-9]|2[0-8]))")
+_LEAP_DAY = f"(?:{_YEAR}(?:0[48]|[2468][048]|[13579][26])|1600|2000)-02-29"
+DATE = f"(?<![0-9A-Za-z-])(?:{_YEAR}{_DAY}|{_LEAP_DAY})(?![0-9A-Za-z-])"
+SSN = "(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
+# A country code or brackets make any area code but 1xx and any exchange code certain; without them both start with 2 to 9.
+_CERTAIN = "(?:(?:\\+?1[ .-]?)?\\([02-9][0-9]{2}\\) ?|(?:\\+1[ .-]?|1[ .-])[02-9][0-9]{2}[ .-])[0-9]{3}"
+PHONE = f"(?<![0-9A-Za-z(+])(?:{_CERTAIN}|(?:\\+?1)?[2-9][0-9]{{2}}[ .-][2-9][0-9]{{2}})[ .-][0-9]{{4}}(?![0-9A-Za-z])"
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+IPV4 = f"(?<![0-9A-Za-z.])(?:{_BYTE}\\.){{3}}{_BYTE}(?![0-9A-Za-z]|\\.[0-9])"
+KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IPV4}
 #: Any of the formats.
 FOUND = "|".join(f"(?:{x})" for x in KINDS.values())
+#: A run of digit groups that may hold payment card numbers of 13 to 19 digits among other numbers.
+RUN = ("(?<![0-9A-Za-z-])(?=(?:[ -]?[0-9]){13})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+(?!-[0-9])")
+#: Digit groups in which cards are written.
+CARD_GROUPS = ("^(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{1,3})?|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|"
+               "[0-9]{4}-[0-9]{4}-[0-9]{5}|[0-9]{4}(?:-[0-9]{3}){3})$")
 #: Days of a 400-year cycle of the calendar, as two radices (189 * 773 = 146097).
 CYCLE = (189, 773)
 _EPOCH = "1600-01-01"
@@ -104,29 +116,97 @@ def _plus(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: x + sign * y)
 
 
-def _card(m: Column, key: str) -> Column:
-    """The first digit (the scheme) and the length stay, the check digit is made anew."""
+def _card(d: Column, key: str) -> Column:
+    """Digits of a card: the first one (the scheme) and the length stay, the check digit is made anew."""
 
     def new(d: Column) -> Column:
         n = F.size(d)
         body = F.slice(d, 2, n - 2)
         name = F.concat(F.lit("card"), n.cast("string"), F.get(d, F.lit(0)).cast("string"))
         mixed = F.concat(F.slice(d, 1, 1), feistel(body, F.array_repeat(F.lit(10).cast("long"), n - 2), name, key))
-        return let(mixed, lambda x: _filled(m, F.concat(x, F.array(F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10))))))
+        return let(mixed, lambda x: F.concat(x, F.array(F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10)))))
 
-    return let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, new(d)))
+    return let(d, new)
+
+
+def _cards(run: Column, key: str) -> Column:
+    """(text, number of cards) of a ``RUN``. Cards begin and end at its digit
+    groups and have a right Luhn sum. From the left, the longest one at each
+    group is taken, those in ``CARD_GROUPS`` before others that overlap them."""
+
+    def span(g: Column, first: Column, last: Column) -> Column:
+        return F.slice(g, first + 1, last - first + 1)
+
+    def fits(g: Column, first: Column) -> Column:
+        ends = F.sequence(first, F.least(first + 18, F.size(g) - 1))
+        texts = F.transform(ends, lambda last: F.struct(F.array_join(span(g, first, last), "-").alias("s"),
+                                                        last.alias("last")))
+        valid = F.filter(texts, lambda x: let(F.regexp_replace(x["s"], "-", ""), lambda t: F.length(t).between(13, 19)
+                                              & F.when(F.length(t).between(13, 19), luhn_sum(_digits(t)) % 10 == 0)))
+        return F.array_max(F.transform(valid, lambda x: F.struct(x["s"].rlike(CARD_GROUPS).alias("usual"),
+                                                                 x["last"].alias("last"), first.alias("first"))))
+
+    def pick(best: Column) -> Column:
+        start = F.struct(F.lit(0).alias("free"), F.filter(best, lambda b: F.lit(False)).alias("picked"))
+
+        def step(acc: Column, b: Column) -> Column:
+            free = b.isNotNull() & (b["first"] >= acc["free"])
+            later = F.slice(best, b["first"] + 2, b["last"] - b["first"])
+            take = free & (b["usual"] | ~F.exists(later, lambda x: F.coalesce(x["usual"], F.lit(False))))
+            return F.when(take, F.struct((b["last"] + 1).alias("free"),
+                                         F.concat(acc["picked"], F.array(b)).alias("picked"))).otherwise(acc)
+
+        return F.aggregate(best, start, step, lambda acc: acc["picked"])
+
+    def put(g: Column, picked: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("d"))
+        plain = lambda first, last: _digits(F.array_join(span(g, first, last), ""))
+
+        def step(acc: Column, p: Column) -> Column:
+            return F.struct((p["last"] + 1).alias("at"), F.concat(
+                acc["d"], plain(acc["at"], p["first"] - 1), _card(plain(p["first"], p["last"]), key)).alias("d"))
+
+        digits = F.aggregate(picked, start, step, lambda acc: F.concat(acc["d"], plain(acc["at"], F.size(g) - 1)))
+        return F.struct(F.when(F.size(picked) > 0, _filled(run, digits)).otherwise(run).alias("text"),
+                        F.size(picked).alias("n"))
+
+    def new(g: Column) -> Column:
+        best = F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda first: fits(g, first))
+        return let(let(best, pick), lambda picked: put(g, picked))
+
+    return let(F.split(run, "[ -]"), new)
+
+
+def _without_cards(piece: Column, key: str) -> Column:
+    """(text, kinds replaced) of a text between other values."""
+    runs = F.transform(F.regexp_extract_all(piece, F.lit(RUN), F.lit(0)), lambda run: _cards(run, key))
+
+    def weave(new: Column) -> Column:
+        text = F.array_join(F.zip_with(F.split(piece, RUN, -1), new, lambda a, b: F.concat(
+            a, F.coalesce(b["text"], F.lit("")))), "")
+        n = F.aggregate(new, F.lit(0), lambda acc, x: acc + x["n"])
+        return F.struct(text.alias("text"), F.array_repeat(F.lit("card"), n).alias("kinds"))
+
+    plain = F.struct(piece.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    return F.when(piece.rlike(RUN), let(runs, weave)).otherwise(plain)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A country code 1 stays; area and exchange codes start with 2 to 9."""
-    low, radix = _longs(2, 0, 0, 2, 0, 0, 0, 0, 0, 0), _longs(8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
+    """A country code 1 stays. Area and exchange codes that start with 2 to 9 keep doing so; a first digit 0 of the
+    area and a first digit 0 or 1 of the exchange, which no real number has, stay such digits."""
 
     def new(d: Column) -> Column:
         lead = F.size(d) - 10
         national = F.slice(d, lead + 1, 10)
-        ok = (F.get(national, F.lit(0)) >= 2) & (F.get(national, F.lit(3)) >= 2)
-        mixed = _plus(feistel(_plus(national, low, -1), radix, F.lit("phone"), key), low)
-        return F.when(ok, _filled(m, F.concat(F.slice(d, 1, lead), mixed)))
+        area, exchange = F.get(national, F.lit(0)) >= 2, F.get(national, F.lit(3)) >= 2
+        first = lambda real, others: (F.when(real, 2).otherwise(0).cast("long"),
+                                      F.when(real, 8).otherwise(others).cast("long"))
+        (low_a, radix_a), (low_e, radix_e) = first(area, 1), first(exchange, 2)
+        low = F.concat(F.array(low_a), _longs(0, 0), F.array(low_e), _longs(*[0] * 6))
+        radix = F.concat(F.array(radix_a), _longs(10, 10), F.array(radix_e), _longs(*[10] * 6))
+        name = F.concat(F.lit("phone"), F.when(area, "").otherwise("a"), F.when(exchange, "").otherwise("e"))
+        mixed = _plus(feistel(_plus(national, low, -1), radix, name, key), low)
+        return _filled(m, F.concat(F.slice(d, 1, lead), mixed))
 
     return let(_digits(m), new)
 
@@ -188,7 +268,7 @@ def _email(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """(kind, new value) of a match of ``FOUND``; a null value if it is not valid."""
-    makers = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+    makers = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip}
     full = {k: f"^(?:{v})$" for k, v in KINDS.items()}
     kind = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
@@ -204,6 +284,8 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     Looks for e-mail addresses (local part), ISO dates, US social security and
     phone numbers, IPv4 addresses and payment card numbers in the whole text.
     A value that is not valid in its format (Luhn sum, calendar, ranges) stays.
+    Phone numbers with a country code or brackets may have any area code but
+    1xx; cards are also found beside other digit groups, at group bounds.
     Values are compared by their digits, so separators do not matter: equal
     values get equal pseudonyms in every document under one ``key``, different
     values of a format different ones.
@@ -220,9 +302,14 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     rows = rows.withColumn("_found", F.coalesce(found, none))
     rows = rows.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
     values = F.zip_with("_found", "_new", lambda m, n: F.coalesce(n["value"], m))
-    between = F.split("text", FOUND, -1)
-    woven = F.array_join(F.zip_with(between, values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = F.filter("_new", lambda n: n["value"].isNotNull())
-    return rows.select("doc_id", F.when(F.size("_found") > 0, woven).otherwise(F.col("text")).alias("text"),
-                       F.size(done).alias("n_replaced"),
-                       F.array_join(F.transform(done, lambda n: n["kind"]), ",").alias("kinds"))
+    pieces = F.transform(F.split("text", FOUND, -1), lambda piece: _without_cards(piece, key))
+    new = F.zip_with("_found", "_new", lambda m, n: F.struct(
+        F.coalesce(n["value"], m).alias("text"),
+        F.when(n["value"].isNotNull(), F.array(n["kind"])).otherwise(none).alias("kinds")))
+    rows = rows.withColumn("_all", F.when(some, F.zip_with(pieces, new, lambda a, b: F.struct(
+        F.concat(a["text"], F.coalesce(b["text"], F.lit(""))).alias("text"),
+        F.concat(a["kinds"], F.coalesce(b["kinds"], none)).alias("kinds")))))
+    rows = rows.withColumn("_kinds", F.coalesce(F.flatten(F.transform("_all", lambda x: x["kinds"])), none))
+    woven = F.array_join(F.transform("_all", lambda x: x["text"]), "")
+    return rows.select("doc_id", F.when(F.size("_kinds") > 0, woven).otherwise(F.col("text")).alias("text"),
+                       F.size("_kinds").alias("n_replaced"), F.array_join("_kinds", ",").alias("kinds"))
