@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.session import materialize
 
-#: Branches whose composite importance is below this are removed.
+#: Nodes whose text has an importance below this are removed.
 MIN_IMPORTANCE = 0.2
 #: A branch inside a declared article is judged only on a site of this many pages: on fewer, copies of one article
 #: look like a repeated notice.
@@ -33,6 +33,12 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html"
           "main", "blockquote", "td", "th", "form", "select"}
 # Elements, ARIA roles and class or id words by which markup declares a part that is no article.
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "select", "head", *RAW}
+# Elements and states whose declaration holds for all that is in them; that of others can end.
+STRONG_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head", *RAW}
+# Words that inside an article name a subject as well: only links in such an element are no article text.
+SUBJECT_WORDS = {"discussion", "related", "social", "promotion", "search", "share", "sharing", "legal", "notice", "header"}
+#: Share of a page's text from which a declared element is a wrapper of the page, not a part of it.
+WRAPPER = 0.8
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog",
                    "alert", "menu", "menubar", "toolbar"}
 FURNITURE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor",
@@ -48,23 +54,68 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_ABOUT = re.compile(r"(?<![a-z])(?:has|have|no|with|without|hide|show)[-_ ]+[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def declared_furniture(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether the markup itself declares the element to be no article text. A
-    header inside an article is the article's own heading."""
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
+
+
+def _named(attrs: dict[str, str]) -> set[str]:
+    """Words of class and id; ``has-sidebar`` and the like describe other elements."""
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", attrs.get("class", "") + " " + attrs.get("id", "")).lower()
+    return set(_WORD.findall(_ABOUT.sub(" ", words))) & FURNITURE_WORDS
+
+
+def declared_furniture(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
+    """How the markup itself declares the element to be no article text: ``"strong"``
+    for it and all in it, ``"weak"`` for a declaration that can end, ``"links"`` for
+    links only, else empty. A header inside an article is the article's own heading."""
+    if tag in STRONG_TAGS:
+        return "strong"
     if tag in FURNITURE_TAGS and not (tag == "header" and inside_article):
-        return True
+        return "weak"
+    if _hidden(attrs):
+        return "" if tag in ("body", "html", "main", "article") else "strong"
     if tag in ("body", "html", "main", "article"):
-        return False
-    if attrs.get("role", "").lower() in FURNITURE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if _HIDDEN.search(attrs.get("style", "")):
-        return True
-    named = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", attrs.get("class", "") + " " + attrs.get("id", ""))
-                              .lower()))
-    return bool(named & FURNITURE_WORDS) and not (inside_article and named <= {"header", "notice", "legal"})
+        return ""
+    if attrs.get("role", "").lower() in FURNITURE_ROLES:
+        return "weak"
+    named = _named(attrs)
+    if inside_article and named <= {"header", "notice", "legal"}:
+        return ""
+    return "links" if inside_article and named and named <= SUBJECT_WORDS else "weak" if named else ""
+
+
+def _judged(found: list[tuple[str, tuple, int | None, str]]) -> list[tuple[str, bool, str]]:
+    """Blocks with whether a declaration holds for them. Of a block are known its
+    declarations from the outside in, as (number, strong), and how many of them
+    lie outside its article or main part.
+
+    Weak declarations around an article end at it if the page has no article
+    outside declarations and less other undeclared text; a weak declaration
+    around nearly the whole page ends unless an article lies outside.
+    """
+    size = sum(len(text) for *_, text in found)
+    free = sum(len(text) for _, chain, _, text in found if not chain)
+    has_article = any(outer == 0 for _, _, outer, _ in found)
+    if not has_article:
+        inner = [bool(outer) and not any(strong for _, strong in chain[:outer]) for _, chain, outer, _ in found]
+        if sum(len(x[3]) for x, y in zip(found, inner, strict=True) if y) > free:
+            found = [(path, chain[outer:], 0, text) if y else (path, chain, outer, text)
+                     for (path, chain, outer, text), y in zip(found, inner, strict=True)]
+            has_article = True
+    while not has_article:
+        share: dict[tuple[int, bool], int] = {}
+        for _, chain, _, text in found:
+            if chain and not chain[0][1]:
+                share[chain[0]] = share.get(chain[0], 0) + len(text)
+        wrapper = next((k for k, n in share.items() if n >= WRAPPER * size), None)
+        if wrapper is None:
+            break
+        found = [(path, chain[1:] if chain[:1] == (wrapper,) else chain, outer, text) for path, chain, outer, text in found]
+    return [(path, bool(chain), text) for path, chain, _, text in found]
 
 
 def blocks(page: str) -> list[tuple[str, bool, str]]:
@@ -75,18 +126,29 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     browsers do in the common cases; character references are decoded; white
     space inside a block becomes one space.
     """
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, furniture
+    out: list[tuple[str, tuple, int | None, str]] = []
+    # tag, path, declarations, how many of them lie outside the article, whether only its links are furniture
+    stack: list[tuple[str, str, tuple, int | None, bool]] = [("", "", (), None, False)]
     text: list[str] = []
-    articles = 0
+    articles = declared = plain = 0
 
     def flush() -> None:
+        nonlocal plain
         if text:
             joined = _BLANK.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                _, path, furniture = next(x for x in reversed(stack) if x[0] not in INLINE)
-                out.append((path, furniture or stack[-1][2], joined))
+                _, path, chain, outer, links = next(x for x in reversed(stack) if x[0] not in INLINE)
+                chain = max(chain, stack[-1][2], key=len)
+                if links and not plain and not chain:
+                    chain = ((0, True),)
+                out.append((path, chain, outer, joined))
+            plain = 0
+
+    def add(chunk: str) -> None:
+        nonlocal plain
+        text.append(chunk)
+        plain += bool(chunk.strip()) and not any(x[0] == "a" for x in stack)
 
     def pop() -> None:
         nonlocal articles
@@ -96,10 +158,10 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            text.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            text.append(page[at:m.start()])
+            add(page[at:m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -138,21 +200,28 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
                 break
         attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3] or "")}
         parent = stack[-1]
-        furniture = parent[2] or declared_furniture(tag, attrs, articles > 0)
+        kind = declared_furniture(tag, attrs, articles > 0)
+        chain, outer = parent[2], parent[3]
+        if kind in ("strong", "weak"):
+            declared += 1
+            chain += ((declared, kind == "strong"),)
+        starts = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+        if starts and outer is None and not _hidden(attrs) and (tag == "main" or not _named(attrs)):
+            outer = len(chain)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if furniture != parent[2]:
+        if chain != parent[2]:
             flush()
         style = tag if tag in INLINE else f"{parent[1]}>{tag}" + "".join(
             "." + c for c in sorted(attrs.get("class", "").lower().replace(">", "_").split())[:4])
         if (m[3] or "").rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append((tag, parent[1] if tag in INLINE else style, furniture))
+        stack.append((tag, parent[1] if tag in INLINE else style, chain, outer, parent[4] or kind == "links"))
         articles += tag == "article"
     flush()
-    return out
+    return _judged(out)
 
 
 def _digest(value: str) -> int:
@@ -163,17 +232,18 @@ def _digest(value: str) -> int:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every page as rows of its style tree: (host, style node, feature, times).
     The feature of a block is a digest of its text; the children an element is
-    made of in this page give the presentation feature of the element. A block
-    that the markup declares to be furniture has the declaration as its feature
-    in place of its words, since that is what all pages share."""
+    made of in this page give the presentation feature of the element. Blocks
+    that the markup declares to be furniture have no content feature: they go
+    anyway, and must not weigh on others of the same style."""
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             seen: dict[tuple[str, str, int], int] = {}
             children: dict[str, set[str]] = {}
             for path, furniture, text in blocks(page or ""):
-                key = (path, "declared", 0) if furniture else (path, "content", _digest(text))
-                seen[key] = seen.get(key, 0) + 1
+                if not furniture:
+                    key = (path, "content", _digest(text))
+                    seen[key] = seen.get(key, 0) + 1
                 while path:
                     path, _, child = path.rpartition(">")
                     children.setdefault(path, set()).add(child)
@@ -194,7 +264,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     Content importance of a node is one minus the mean entropy of its features,
     where a feature seen n_p times in page p has the entropy of n_p / sum n_p to
     the base of the host's number of pages: text that every page repeats has
-    entropy 1, text of one page 0. Declared furniture has entropy 1. Node
+    entropy 1, text of one page 0. Declared furniture does not count. Node
     presentation importance is the entropy of the child sequences that the
     element has over the pages that hold it (one page: 1). The composite
     importance of a node is its content importance if it holds text of its own,
@@ -218,10 +288,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     node = sums.join(sites, F.col("host") == F.col("site")).drop("site")
     style = F.col("kind") == "style"
     text = F.col("kind") == "content"
-    declared = F.col("kind") == "declared"
-    # a declared feature adds entropy 1; on a site of one page other features add none
-    spread = F.sum(F.when(text, F.coalesce(F.col("bits") / base, F.lit(0.0))).when(declared, F.col("features")))
-    count = F.sum(F.when(~style, F.col("features")))
+    # on a site of one page features add no entropy
+    spread = F.sum(F.when(text, F.coalesce(F.col("bits") / base, F.lit(0.0))))
+    count = F.sum(F.when(text, F.col("features")))
     variety = F.max(F.when(style, F.when(F.col("pages") > 1, (F.log2("pages") - F.col("plp") / F.col("pages")) / base)
                            .otherwise(1.0)))
     out = node.groupBy("host", "path").agg((1 - spread / count).alias("content"), variety.alias("presentation"),
@@ -240,27 +309,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
             drop = set(low or ())
             text.append(" ".join(t for path, furniture, t in blocks(page or "")
-                                 if not furniture and not _below(path, drop)))
+                                 if not furniture and path not in drop))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()),
              pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _below(path: str, drop: set[str]) -> bool:
-    """Whether the node or a branch above it was removed."""
-    while drop and path:
-        if path in drop:
-            return True
-        path = path.rpartition(">")[0]
-    return False
-
-
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html",
                       min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """Main text of every page: blocks left after low-importance branches go.
+    """Main text of every page: blocks left after low-importance nodes go.
 
-    The pages of a host form a style tree (``style_tree``); branches whose
-    nodes hold text of an importance below ``min_importance`` are removed from
+    The pages of a host form a style tree (``style_tree``); text in nodes of an
+    importance below ``min_importance`` and declared furniture are removed from
     each page, and the text blocks left are joined by one space in page order.
     Importance is judged per style node, never per passage, so an article that
     many pages of a site repeat stays whole; branches inside a declared article
