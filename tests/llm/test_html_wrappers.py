@@ -45,3 +45,34 @@ def test_wrapped_site(spark):
     rows = [(i, f"http://h.com/{i}", page.format(i)) for i in range(6)]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Story {i} begins and ends {i}" for i in range(6)}
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/a?utm_source={i}", html) for i, (host, html) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_pages_that_a_site_repeats(spark):
+    div = "<body><nav>Menu {1}</nav><div class='box'>We use many words</div><div class='text'><p>Story {0} begins</p><p>ends {0}</p></div>"
+    one = "<body><nav>Menu {0}</nav><div class='text'><p>Story begins</p><p>and ends</p></div>"
+    art = ("<body>Seen {1} times<article><p>Story {0} begins here and goes on</p><p>it ends {0}</p>"
+           "<div class='box'>Write to us</div></article>")
+    parts = [f"Part {k} that both copies have in common." for k in range(12)]
+    near = "<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in parts) + "<p>Version {0}</p></article>"
+    five = "<div class='a b c d {0}'>{1}</div>"
+    pages = [("two.com", one.format(i)) for i in range(2)]
+    pages += [("mixed.com", div.format(min(i, 2), i)) for i in range(6)]
+    pages += [("small.com", art.format(i, i)) for i in range(2)]
+    pages += [("many.com", art.format(max(i - 9, 0), i)) for i in range(12)]
+    pages += [("near.com", near.format(i)) for i in range(2)]
+    pages += [("five.com", "<body>" + five.format("e", f"Story {i}") + five.format("f", "Notice") * 3) for i in range(4)]
+    got = iter(extracted(spark, pages))
+    story = "Story {0} begins here and goes on it ends {0}"
+    assert [next(got) for _ in range(2)] == ["Story begins and ends"] * 2
+    assert [next(got) for _ in range(6)] == [f"Story {min(i, 2)} begins ends {min(i, 2)}" for i in range(6)]
+    assert [next(got) for _ in range(2)] == [f"Seen {i} times " + story.format(i) for i in range(2)]
+    assert [next(got) for _ in range(12)] == [f"Seen {i} times " + story.format(max(i - 9, 0)) for i in range(12)]
+    assert [next(got) for _ in range(2)] == [f"Title {' '.join(parts)} Version {i}" for i in range(2)]
+    assert [next(got) for _ in range(4)] == [f"Story {i}" for i in range(4)]

@@ -15,10 +15,6 @@ from vitalgrid.session import materialize
 
 #: Nodes whose text has an importance below this are removed.
 MIN_IMPORTANCE = 0.2
-#: A branch inside a declared article is judged only on a site of this many pages: on fewer, copies of one article
-#: look like a repeated notice.
-ARTICLE_PAGES = 10
-_IN_ARTICLE = ">(article|main)([.>]|$)"
 
 # HTML element kinds.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,6 +51,7 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 _ABOUT = re.compile(r"(?<![a-z])(?:has|have|no|with|without|hide|show)[-_ ]+[a-z]+")
+_ARTICLE = re.compile(">(?:article|main)(?:[.>]|$)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -215,7 +212,7 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if chain != parent[2]:
             flush()
         style = tag if tag in INLINE else f"{parent[1]}>{tag}" + "".join(
-            "." + c for c in sorted(attrs.get("class", "").lower().replace(">", "_").split())[:4])
+            "." + c for c in sorted(attrs.get("class", "").lower().replace(">", "_").split()))
         if (m[3] or "").rstrip().endswith("/") and tag in INLINE:
             continue
         stack.append((tag, parent[1] if tag in INLINE else style, chain, outer, parent[4] or kind == "links"))
@@ -230,37 +227,46 @@ def _digest(value: str) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every page as rows of its style tree: (host, style node, feature, times).
-    The feature of a block is a digest of its text; the children an element is
-    made of in this page give the presentation feature of the element. Blocks
-    that the markup declares to be furniture have no content feature: they go
-    anyway, and must not weigh on others of the same style."""
+    """Every page as rows of its style tree: (host, style node, feature, times,
+    body). The feature of a block is a digest of its text; the children an
+    element is made of in this page give the presentation feature of the
+    element. Blocks that the markup declares to be furniture have no content
+    feature: they go anyway, and must not weigh on others of the same style. The
+    body is a digest of all other blocks of the page's article, without one of
+    all others on the page, by which copies of a page are known; one row of kind ``page`` stands for the page itself."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             seen: dict[tuple[str, str, int], int] = {}
             children: dict[str, set[str]] = {}
+            texts: dict[bool, list[str]] = {True: [], False: []}
             for path, furniture, text in blocks(page or ""):
                 if not furniture:
                     key = (path, "content", _digest(text))
                     seen[key] = seen.get(key, 0) + 1
+                    texts[bool(_ARTICLE.search(path))].append(text)
                 while path:
                     path, _, child = path.rpartition(">")
                     children.setdefault(path, set()).add(child)
             for path, kids in children.items():
                 seen[path, "style", _digest("|".join(sorted(kids)))] = 1
+            if children:
+                seen["", "page", 0] = 1
+            body = _digest("\n".join(texts[True] or texts[False]))
             for (path, kind, feature), n in seen.items():
-                for c, x in zip(cols, (host, path, kind, feature, n), strict=True):
+                for c, x in zip(cols, (host, path, kind, feature, n, body), strict=True):
                     c.append(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
-             pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["host", "path", "kind", "feature", "n"])
+             *[pa.array(c, pa.int64()) for c in cols[3:]]], ["host", "path", "kind", "feature", "n", "body"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """Site style trees: for every host and style node its importance.
 
-    ``pages``: ``host, html``. All pages of a host are merged by style path.
+    ``pages``: ``host, html``. All pages of a host are merged by style path;
+    pages with the same undeclared texts in the article (without one: in the
+    page) are copies and count as one page.
     Content importance of a node is one minus the mean entropy of its features,
     where a feature seen n_p times in page p has the entropy of n_p / sum n_p to
     the base of the host's number of pages: text that every page repeats has
@@ -270,11 +276,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     importance of a node is its content importance if it holds text of its own,
     else its presentation importance. Returns ``host, path, content,
     presentation, pages, importance``. Features are counted per page before the
-    shuffle and summed by (host, node, feature), so a host with a third of all
-    pages is spread by its features.
+    shuffle, copies fall together by (host, node, feature, body) and the rest is
+    summed by (host, node, feature), so a host with a third of all pages is
+    spread by its features and a repeated feature by its pages.
     """
     seen = pages.select("host", "html").mapInArrow(
-        _features, "host string, path string, kind string, feature long, n long")
+        _features, "host string, path string, kind string, feature long, n long, body long")
+    seen = seen.groupBy("host", "path", "kind", "feature", "body").agg(F.max("n").alias("n"))
     # entropy of n_p / s over pages: log2 s - sum(n_p log2 n_p) / s
     per = seen.groupBy("host", "path", "kind", "feature").agg(
         F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.log2("n")).alias("nl"), F.count("*").alias("pages"))
@@ -282,10 +290,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.count("*").alias("features"), F.sum(F.log2("s") - F.col("nl") / F.col("s")).alias("bits"),
         F.sum("s").alias("all"), F.sum("pages").alias("pages"),
         F.sum(F.col("pages") * F.log2("pages")).alias("plp")), "style-nodes")
-    sites = sums.filter((F.col("path") == "") & (F.col("kind") == "style")).select(
-        F.col("host").alias("site"), F.col("pages").alias("m"))
+    sites = sums.filter("kind = 'page'").select(F.col("host").alias("site"), F.col("pages").alias("m"))
     base = F.when(F.col("m") > 1, F.log2("m"))
-    node = sums.join(sites, F.col("host") == F.col("site")).drop("site")
+    node = sums.filter("kind <> 'page'").join(sites, F.col("host") == F.col("site")).drop("site")
     style = F.col("kind") == "style"
     text = F.col("kind") == "content"
     # on a site of one page features add no entropy
@@ -307,14 +314,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = []
         for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            drop = set(low or ())
-            text.append(" ".join(t for path, furniture, t in blocks(page or "")
-                                 if not furniture and path not in drop))
+            text.append(" ".join(_left([(path, t) for path, furniture, t in blocks(page or "") if not furniture],
+                                       set(low or ()))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()),
              pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _left(found: list[tuple[str, str]], drop: set[str]) -> list[str]:
+    """Texts outside the removed nodes, and all of the article if the larger part
+    of it would go: it is then told again by other pages, not full of notices."""
+    article = [(path, len(t)) for path, t in found if _ARTICLE.search(path)]
+    whole = 2 * sum(n for path, n in article if path in drop) > sum(n for _, n in article)
+    return [t for path, t in found if path not in drop or (whole and _ARTICLE.search(path))]
+
+
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html",
                       min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """Main text of every page: blocks left after low-importance nodes go.
@@ -322,19 +336,18 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     The pages of a host form a style tree (``style_tree``); text in nodes of an
     importance below ``min_importance`` and declared furniture are removed from
     each page, and the text blocks left are joined by one space in page order.
-    Importance is judged per style node, never per passage, so an article that
-    many pages of a site repeat stays whole; branches inside a declared article
-    are judged only on sites of ``ARTICLE_PAGES`` pages or more.
+    Importance is judged per style node, never per passage, inside articles as
+    elsewhere. Copies of a page count once, so a page that a site repeats keeps
+    its text, and an article keeps all of it if the larger part would go.
 
     Returns ``page_id, url, text, n_chars`` (code points), one row per input
     row; null or empty html gives an empty text. Pages without a host form one
-    site. Repeated pages are pages like any other. An empty table gives an
+    site. Repeated pages give equal results. An empty table gives an
     empty result; other columns are ignored.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    low = style_tree(rows).filter((F.col("content") < min_importance) & (F.col("path") != "")
-                                  & (~F.col("path").rlike(_IN_ARTICLE) | (F.col("pages") >= ARTICLE_PAGES)))
+    low = style_tree(rows).filter((F.col("content") < min_importance) & (F.col("path") != ""))
     # one row per host with its removed nodes; its size on disk decides whether Spark broadcasts it
     low = materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
                       .withColumnRenamed("host", "site"), "low-branches")
