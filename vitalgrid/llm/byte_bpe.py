@@ -20,26 +20,24 @@ ROWS, HELD = 200_000, 3_000_000
 #: Bytes of text, and tokens, that are worked on at a time.
 TEXT_BYTES, DECODE_TOKENS = 4 << 20, 500_000
 #: Words a task remembers.
-KNOWN = 200_000
+KNOWN = 400_000
 
 # Token rows (w word, p byte position, np that of the next row, tok, nxt next token or null). A step finds each word's
-# minimum-rank pair, leftmost first, and contracts it: the row of its left token takes the merged token, that of its
-# right token ("hole") goes, and the row before sees the merged token next. Words without a pair leave the recursion;
-# a word's last rows are its tokens.
+# minimum-rank pair, leftmost first, and contracts it: the row of its left token goes, that of its right token ("hole")
+# takes the merged token and the left one's position, and the row before sees the merged token next. Words without a
+# pair leave the recursion; a word's last rows are its tokens.
 CONTRACT = """
 WITH RECURSIVE t AS (
   SELECT w, p, np, tok, nxt, m, 0 AS step FROM rows_in LEFT JOIN merges ON pair = (tok << 32) | nxt
   UNION ALL
   SELECT w, p, np, s.tok, s.nxt, merges.m, step FROM (
-    SELECT t.w, t.p, t.step + 1 AS step,
-           CASE WHEN t.p = h.p THEN h.after ELSE t.np END AS np,
-           CASE WHEN t.p = h.p THEN h.m ELSE t.tok END AS tok,
-           CASE WHEN t.p = h.p THEN h.after_tok WHEN t.np = h.p THEN h.m ELSE t.nxt END AS nxt
-    FROM t JOIN (
-      SELECT a.w, a.p, a.m, b.p AS hole, b.np AS after, b.nxt AS after_tok
-      FROM (SELECT w, min((m << 32) | p) AS least FROM t WHERE m IS NOT NULL GROUP BY w) x
-      JOIN t a ON a.w = x.w AND a.p = (x.least & 4294967295) JOIN t b ON b.w = a.w AND b.p = a.np
-    ) h ON t.w = h.w AND t.p <> h.hole
+    SELECT t.w, t.np, t.step + 1 AS step,
+           CASE WHEN t.p = h.hole THEN h.least & 4294967295 ELSE t.p END AS p,
+           CASE WHEN t.p = h.hole THEN h.least >> 32 ELSE t.tok END AS tok,
+           CASE WHEN t.np = (h.least & 4294967295) THEN h.least >> 32 ELSE t.nxt END AS nxt
+    FROM t JOIN (SELECT w, min((m << 32) | p) AS least, arg_min(np, (m << 32) | p) AS hole
+                 FROM t WHERE m IS NOT NULL GROUP BY w) h ON t.w = h.w
+    WHERE t.p <> (h.least & 4294967295)
   ) s LEFT JOIN merges ON pair = (s.tok << 32) | s.nxt)
 SELECT w, tok, false AS more FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p"""
 
@@ -86,7 +84,7 @@ class _Vocabulary:
                 if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*cuts, strict=True))
         unsafe = np.union1d(left[merged <= left], right[merged <= right])
-        self.cut = regex.compile(pattern)
+        self.cut, self.whole = regex.compile(pattern), {t: np.uint32(i).tobytes() for t, i in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # no spill folder: what a query holds is bounded by ROWS, HELD and DECODE_TOKENS
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -133,8 +131,15 @@ class _Vocabulary:
         return out
 
     def learn(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Adds the token ids of ``words`` to ``known``, short words apart from long ones."""
-        raw = [(len(x), x, word) for word in words for x in (word.encode(),)]
+        """Adds the token ids of ``words`` to ``known``: a vocabulary entry is one
+        token as it stands; the others are contracted, short words apart from long ones."""
+        raw = []
+        for word in words:
+            x = word.encode()
+            if x in self.whole:
+                known[word] = self.whole[x]
+            else:
+                raw.append((len(x), x, word))
         for some in ([r for r in raw if r[0] <= SHORT], [r for r in raw if r[0] > SHORT]):
             at = 0
             while at < len(some):
@@ -226,8 +231,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     match is left out. Of each word's bytes the pair whose joined bytes have the
     lowest rank is contracted, the leftmost first, until no pair is in the
     vocabulary: token-position rows of the distinct words of a few megabytes of
-    text meet the merge table in a recursive DuckDB query inside the task. No
-    special tokens. One narrow stage, no shuffle.
+    text meet the merge table in a recursive DuckDB query inside the task. A
+    word that is itself in the vocabulary is that one token. No special tokens. One narrow stage, no shuffle.
 
     Returns one row per row of ``docs``: ``doc_id, ids`` (array of int) and with
     ``decoded`` also ``decoded``, the bytes that ``decode`` gives for the ids.
