@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from vitalgrid.llm.packing import pack
 from vitalgrid.llm.pii import pseudonymise
 from vitalgrid.llm.simhash import simhash_groups
 from vitalgrid.llm.url_graph import DAMPING, LINK, MAX_DISTRUST, ROUNDS, judge_urls
+from vitalgrid.llm.vector_codes import compress
+from vitalgrid.session import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -177,3 +180,44 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _codebook_sql(rounds: int) -> str:
+    """k-means unrolled: entries c0 .. c<rounds>, assignments a0 .. a<rounds>."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT row, p, min((d, e)) AS near FROM (
+  SELECT row, x.p, e, list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM x JOIN c{k} c ON x.p = c.p) GROUP BY row, p)""")
+        if k < rounds:
+            out.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+    SELECT p, near[2] AS e, j, sum(v[j])::BIGINT AS s, count(*) AS n
+    FROM a{k} JOIN x USING (row, p), (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS j) GROUP BY ALL)
+  GROUP BY p, e) m USING (p, e))""")
+    return ",\n".join(out)
+
+
+@query("op13_vector_codes", f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, embedding::DOUBLE[] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, z -> z IS NULL OR NOT isfinite(z))) = 0),
+x AS MATERIALIZED (
+  SELECT row, p, list_transform(v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)], z -> floor(4096 * z)::BIGINT) AS v
+  FROM k, (SELECT unnest(range(8)) AS p)),
+c0 AS (SELECT p, row - 1 AS e, v FROM x WHERE row <= 16),
+{_codebook_sql(6)},
+r AS (SELECT row, string_agg(printf('%02x', near[2]), '' ORDER BY p) AS code, sum(near[1])::BIGINT AS error
+      FROM a6 GROUP BY row),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN r USING (row), b""")
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, books = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    kept = materialize(kept, "vector-codes")
+    sums = kept.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return kept.join(sums, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
