@@ -187,7 +187,7 @@ def _codebook_sql(rounds: int) -> str:
     out = []
     for k in range(rounds + 1):
         out.append(f"""a{k} AS MATERIALIZED (SELECT row, p, min((d, e)) AS near FROM (
-  SELECT row, x.p, e, list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  SELECT row, x.p, e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
   FROM x JOIN c{k} c ON x.p = c.p) GROUP BY row, p)""")
         if k < rounds:
             out.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (
@@ -202,9 +202,9 @@ def _codebook_sql(rounds: int) -> str:
 WITH k AS MATERIALIZED (
   SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, embedding::DOUBLE[] AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, z -> z IS NULL OR NOT isfinite(z))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
 x AS MATERIALIZED (
-  SELECT row, p, list_transform(v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)], z -> floor(4096 * z)::BIGINT) AS v
+  SELECT row, p, list_transform(v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)], lambda z: floor(4096 * z)::BIGINT) AS v
   FROM k, (SELECT unnest(range(8)) AS p)),
 c0 AS (SELECT p, row - 1 AS e, v FROM x WHERE row <= 16),
 {_codebook_sql(6)},
