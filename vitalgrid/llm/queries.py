@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.byte_bpe import encode
+from vitalgrid.llm.conversations import repair_damaged
 from vitalgrid.llm.embedding_dedup import embedding_groups
 from vitalgrid.llm.exact_dedup import content_sort
 from vitalgrid.llm.html_extract import extract_main_text
@@ -172,6 +173,69 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+# crc32 by its table (made from the polynomial); the repair by states: written so far nothing (S), s (T), ..ua (C), ..u (O).
+@query("op11_conversation_repair", r"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT b, b, 0 FROM (SELECT unnest(range(256))::BIGINT AS b)
+  UNION ALL SELECT b, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                            lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+w AS (SELECT o.*, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                                  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS what FROM o, crc),
+d AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy FROM w WHERE what <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), sha256(text), copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS ini, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd'
+                     WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+dp(conv_id, i, state, way) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 'S', (0::BIGINT, '') FROM f
+  UNION ALL
+  SELECT conv_id, i, state, min(way) FROM (
+    SELECT g.conv_id, f.i, e.a[1] AS state, (g.cost + e.a[2]::BIGINT, g.audit || e.a[3]) AS way
+    FROM (SELECT conv_id, i, state, way[1] AS cost, way[2] AS audit FROM dp
+          UNION ALL SELECT conv_id, i, CASE WHEN state = 'O' THEN 'C' ELSE 'O' END, way[1] + 2, way[2] || 'I' FROM dp) g
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i + 1,
+    LATERAL (SELECT unnest([
+      [g.state, '3', 'D'],
+      CASE WHEN f.fault IN ('b', 'd') THEN NULL WHEN g.state = 'S' AND f.ini = 's' THEN ['T', f.fault = 't', 'K'] END,
+      CASE WHEN f.fault IN ('b', 'd') THEN NULL
+           WHEN g.state = 'O' THEN ['C', ((CASE WHEN f.ini = 'a' THEN 0 ELSE 2 END) + (f.fault = 't')::INT)::VARCHAR,
+                                    CASE WHEN f.ini = 'a' THEN 'K' ELSE 'R' END]
+           ELSE ['O', ((CASE WHEN f.ini = 'u' THEN 0 ELSE 2 END) + (f.fault = 't')::INT)::VARCHAR,
+                 CASE WHEN f.ini = 'u' THEN 'K' ELSE 'R' END] END]) AS a) e
+    WHERE e.a IS NOT NULL) GROUP BY conv_id, i, state),
+best AS (SELECT conv_id, min(CASE state WHEN 'O' THEN (way[1] + 2, way[2] || 'I')
+                                        WHEN 'T' THEN (way[1] + 4, way[2] || 'II') ELSE way END) AS way
+         FROM dp JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) l
+           ON dp.conv_id IS NOT DISTINCT FROM l.conv_id AND dp.i = l.i GROUP BY dp.conv_id),
+e AS (SELECT conv_id, k, edit, sum((edit <> 'I')::INT) OVER o AS i, sum((edit <> 'D')::INT) OVER o AS place
+      FROM (SELECT conv_id, unnest(string_split(way[2], '')) AS edit, unnest(range(length(way[2]))) AS k FROM best)
+      WINDOW o AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT e.*, f.role, f.text,
+             max((place = 1 AND edit = 'K' AND ini = 's')::INT) OVER (PARTITION BY e.conv_id) AS system
+      FROM e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i AND edit <> 'I'),
+r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user'
+                                      ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS lines
+      FROM t WHERE edit <> 'D' GROUP BY conv_id),
+j AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+             count(*) FILTER (WHERE fault = 't') AS truncated,
+             count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way[1], 0) AS cost,
+       coalesce(way[2], '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_byte_bpe")
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
