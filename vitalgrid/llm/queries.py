@@ -202,22 +202,22 @@ dp(conv_id, i, state, way) AS (
     JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i + 1,
     LATERAL (SELECT unnest([
       [g.state, '3', 'D'],
-      CASE WHEN f.fault IN ('b', 'd') THEN NULL WHEN g.state = 'S' AND f.ini = 's' THEN ['T', f.fault = 't', 'K'] END,
+      CASE WHEN f.fault IN ('b', 'd') THEN NULL WHEN g.state = 'S' AND f.ini = 's' THEN ['T', (f.fault = 't')::INT::VARCHAR, 'K'] END,
       CASE WHEN f.fault IN ('b', 'd') THEN NULL
            WHEN g.state = 'O' THEN ['C', ((CASE WHEN f.ini = 'a' THEN 0 ELSE 2 END) + (f.fault = 't')::INT)::VARCHAR,
                                     CASE WHEN f.ini = 'a' THEN 'K' ELSE 'R' END]
            ELSE ['O', ((CASE WHEN f.ini = 'u' THEN 0 ELSE 2 END) + (f.fault = 't')::INT)::VARCHAR,
                  CASE WHEN f.ini = 'u' THEN 'K' ELSE 'R' END] END]) AS a) e
     WHERE e.a IS NOT NULL) GROUP BY conv_id, i, state),
-best AS (SELECT conv_id, min(CASE state WHEN 'O' THEN (way[1] + 2, way[2] || 'I')
+best AS (SELECT dp.conv_id, min(CASE state WHEN 'O' THEN (way[1] + 2, way[2] || 'I')
                                         WHEN 'T' THEN (way[1] + 4, way[2] || 'II') ELSE way END) AS way
          FROM dp JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) l
            ON dp.conv_id IS NOT DISTINCT FROM l.conv_id AND dp.i = l.i GROUP BY dp.conv_id),
 e AS (SELECT conv_id, k, edit, sum((edit <> 'I')::INT) OVER o AS i, sum((edit <> 'D')::INT) OVER o AS place
       FROM (SELECT conv_id, unnest(string_split(way[2], '')) AS edit, unnest(range(length(way[2]))) AS k FROM best)
       WINDOW o AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT e.*, f.role, f.text,
-             max((place = 1 AND edit = 'K' AND ini = 's')::INT) OVER (PARTITION BY e.conv_id) AS system
+t AS (SELECT e.conv_id, e.k, e.edit, e.place, f.role, f.text,
+             max((e.place = 1 AND e.edit = 'K' AND f.ini = 's')::INT) OVER (PARTITION BY e.conv_id) AS system
       FROM e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i AND edit <> 'I'),
 r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user'
                                       ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS lines
