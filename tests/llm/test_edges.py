@@ -112,7 +112,11 @@ def test_mix(docs, empty):
     assert got[3]["source_size"] == got[7]["source_size"] == 3  # the null source
     assert sorted(map(str, rows)) == sorted(map(str, mix(docs).collect()))
     assert mix(empty).count() == 0
-    assert repeat(mix(docs, keep=docs.columns)).select(*docs.columns).count() == sum(r["epochs"] for r in rows)
+    all_ = repeat(mix(docs, keep=docs.columns), docs.columns)
+    assert all_.columns == docs.columns and all_.count() == sum(r["epochs"] for r in rows)
+    odd = docs.withColumn("epochs", F.lit("clash")).withColumn("mix_epochs", F.lit("clash")).withColumn("col", F.lit(1))
+    assert repeat(mix(odd, keep=odd.columns), odd.columns).count() == all_.count()
+    assert repeat(mix(empty, keep=docs.columns), docs.columns).count() == 0
 
 
 def test_embeddings(spark):

@@ -229,7 +229,7 @@ def test_url_graph_against_power_iteration(spark):
 
     for k, h in enumerate(hosts):
         assert got[h]["trust"] == pytest.approx(rank(w, "t.org")[k]) and got[h]["distrust"] == pytest.approx(rank(w.T, "s.net")[k])
-    assert [got[h]["verdict"] for h in hosts] == ["block", "block", "block", "allow", "allow", "allow"]
+    assert [got[h]["verdict"] for h in hosts] == ["block", "block", "allow", "allow", "allow", "allow"]
     edges = spark.createDataFrame([], "src string, dst string, n long")
     assert personalised_pagerank(edges, edges.selectExpr("src host")).count() == 0
 
@@ -303,15 +303,15 @@ def test_licenses(spark):
 
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         a, b = queries.QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
         cols = sorted(a.columns)
-        key = [c for c in ("doc_id", "page_id", "vec_id") if c in cols]
+        key = [c for c in ("doc_id", "page_id", "vec_id", "conv_id") if c in cols]
         a, b = (x[cols].sort_values(key).reset_index(drop=True) for x in (a, b))
         pd.testing.assert_frame_equal(a, b, check_dtype=False)
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
 
 
 def test_pipeline_against_brute_force(spark, documents):
@@ -338,3 +338,18 @@ def test_pipeline_against_brute_force(spark, documents):
     assert mixed.max() <= 3 and set(mixed.index) <= set(want.values())
     packed = kept["packing"]
     assert (packed[packed.start == 0].doc_id.value_counts().sort_index() == mixed.sort_index()).all()
+
+
+def test_parts_of_any_text_against_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    whole, mine = Tokenizer.from_file(path), packing.WordTokens(path)
+    draw = random.Random(4)
+    letters = "aBzéÄßſŽ0²9'.,<|>\t\n \x0b\x0c\x1c\x85\xa0  İΣς“—日ﬁ́­ªº¼µstreVEll"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(0, 60))) for _ in range(400)]
+    texts += ["they're we'll I'D 'S don''t <|endoftext|>x", "", " "]
+    begin, ids = mine.ids(texts, {})
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [
+        e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]

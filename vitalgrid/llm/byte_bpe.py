@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +154,7 @@ class _Vocabulary:
     def encode(self, texts: list[str], known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the end of the last), and all ids."""
         cut = [self.cut.findall(t) for t in texts]
-        flat = pa.array([word for words in cut for word in words], pa.string()).dictionary_encode()
+        flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
         words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
         new = [word for word in words if word not in known]
         if len(known) + len(new) > KNOWN:
@@ -164,7 +165,7 @@ class _Vocabulary:
         values, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
         begin, taken = (np.cumsum(sizes) - sizes)[index], sizes[index]
         upto = np.concatenate([[0], np.cumsum(taken)])
-        out = values[np.repeat(begin - upto[:-1], taken) + np.arange(upto[-1])]
+        out = values[np.repeat((begin - upto[:-1]).astype(np.int32), taken) + np.arange(upto[-1], dtype=np.int32)]
         return upto[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)], out
 
     def decode(self, begin: np.ndarray, ids: np.ndarray) -> list[bytes]:

@@ -74,7 +74,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     that holds a third of all rows is never sorted in one task.
 
     Returns the ``keep`` columns (default: ``doc_id``) and ``_row, size,
-    source_size, target, epochs, taken``. Null or blank texts have size 0 and
+    source_size, target, epochs, taken``; a result column whose name is among
+    the kept ones is called by that name with ``mix_`` in front (as often as
+    needed, see ``result_name``). Null or blank texts have size 0 and
     take no part in the fractional sample; documents with equal ``doc_id``
     share a hash and are ordered by row. An empty table gives an empty
     result. Columns of other names are ignored.
@@ -121,8 +123,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
                                       | F.coalesce((F.col("_s1") == F.col("_e1")) & (F.col("_s2") < F.col("_e2")),
                                                    F.lit(False)) | F.coalesce("_last", F.lit(False)))
     times = F.when(F.col("_size") > 0, F.col("epochs") + sampled.cast("long")).otherwise(0)
-    return out.select(*[F.col(n).alias(c) for c, n in carried.items()], "_row", F.col("_size").alias("size"),
-                      "source_size", "target", times.alias("epochs"), (times * F.col("_size")).alias("taken"))
+    found = {"_row": F.col("_row"), "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
+             "epochs": times, "taken": times * F.col("_size")}
+    return out.select(*[F.col(n).alias(c) for c, n in carried.items()],
+                      *[c.alias(result_name(name, keep)) for name, c in found.items()])
+
+
+def result_name(name: str, kept: list[str]) -> str:
+    """``name``, with ``mix_`` in front until it is none of the ``kept`` names."""
+    while name in kept:
+        name = f"mix_{name}"
+    return name
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None, how: str = "inner") -> DataFrame:
@@ -144,7 +155,13 @@ def _crossing(slices: DataFrame, goals: DataFrame, keys: list[str], slice_col: s
     return materialize(least.select(*keys, "_m.*"), "mix-slice")
 
 
-def repeat(mixed: DataFrame) -> DataFrame:
-    """One row per time a document is taken (documents not taken go)."""
-    return mixed.filter(F.col("epochs") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
+def repeat(mixed: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of ``mix(..., keep=keep)``, one row per time a document is taken.
+
+    Documents not taken go (size 0, or beyond the target), so do all rows of an
+    empty table; nulls, ties and repeated rows are as in ``mix``. Kept columns
+    may have any names."""
+    times = F.col(result_name("epochs", keep)).cast("int")
+    some = mixed.filter(times > 0)
+    copies = F.explode(F.sequence(F.lit(1), times))
+    return some.select(F.struct(*keep).alias("_kept"), copies).select("_kept.*")

@@ -7,10 +7,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,54 +22,30 @@ from vitalgrid.session import materialize
 #: Pieces per partition that is packed on its own, and rounds of exchange between partitions.
 PARTITION_PIECES = 16384
 ROUNDS = 3
-#: Entries of a worker's cache of tokenised words, and of that of their parts.
-CACHE = 600_000
+#: Parts of words that a task remembers, and bytes of text whose parts are numbered together.
+KNOWN, TEXT_BYTES = 300_000, 4 << 20
 #: Blanks at which a text may be cut into words without changing its tokens.
 _BLANKS = re.compile(r"[ \t\n\r]+")
+# str.split also cuts at four control characters that the tokenizer takes for signs
 _CONTROL = re.compile("[\x1c-\x1f]")
-#: Words of these characters are in composed form and have a lower case of one character each.
-_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+#: Plain characters are in composed form and have a lower case of one character each.
+_PLAIN = "!-~\u00a1-\u012f\u0131-\u017f"
+_PLAIN_WORD, _OTHER = re.compile(f"[{_PLAIN}]+"), re.compile(f"[^{_PLAIN} \\t\\n\\r]|<[|]")
 # Fixed value: the pattern by which the tokenizer cuts a text,
 # 's|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+ , for plain characters.
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
-
-
-class _Recent:
-    """A cache in two halves: when the newer one is full it takes the place of
-    the older one, and whatever is asked for again moves back to the newer. So
-    frequent words stay while words seen once go, and at most ``entries`` (or
-    what one request needs, if that is more) are held."""
-
-    def __init__(self, entries: int):
-        self.half = entries // 2
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, asked: set[str]) -> list[str]:
-        """Those of ``asked`` that are not known; the others are in ``now``
-        afterwards, with room for the missing ones."""
-        new = asked.difference(self.now)
-        if len(self.now) + len(new) > self.half:
-            self.old, self.now = self.now, {}
-            new = asked
-        out = []
-        for word in new:
-            if word in self.old:
-                self.now[word] = self.old[word]
-            else:
-                out.append(word)
-        return out
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \\t\\n\\r{_LETTER}{_NUMBER}]+")
 
 
 class WordTokens:
-    """Token ids of whole texts, by words: the tokenizer drops white space and
-    never joins tokens over it, so a text's ids are those of its words in a
-    row. Words recur, so their ids (as little-endian 32-bit bytes) are cached,
-    and so are those of the parts (letter runs, digits, signs) that the
-    tokenizer cuts a word into. Words of plain Latin characters are cut here by
-    the tokenizer's own pattern, and their parts go to its BPE model many to a
-    line; all other words go through the whole tokenizer one by one."""
+    """Token ids of whole texts, by the parts (letter runs, digits, signs) into
+    which the tokenizer cuts them: it drops white space and never joins tokens
+    over parts, so a text's ids are those of its parts in a row. Plain Latin
+    text is cut here by the tokenizer's own pattern; of other text the plain
+    words are, and each other word is one part that goes through the whole
+    tokenizer. The parts of a few megabytes of text are numbered by Arrow, only
+    the different ones are looked up, and new ones go to the BPE model many to a
+    line. A task remembers the ids (little-endian, 32 bits) of at most ``KNOWN``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -76,31 +54,20 @@ class WordTokens:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.bytes = _ByteCharacters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
-        self.words, self.parts = _Recent(CACHE), _Recent(CACHE)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
-    def _learn(self, missing: list[str]) -> None:
-        cut, whole, new = [], [], set()
-        for word in missing:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                low = word.lower()
-                parts = [low] if low.isalpha() else _PARTS.findall(low)
-                cut.append((word, parts))
-                new.update(parts)
-            else:
-                whole.append(word)
-        self._learn_parts(self.parts.missing(new))
-        words, known = self.words.now, self.parts.now
-        for word, parts in cut:
-            words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        for word, ids in zip(whole, self._encode(self.tokenizer, whole), strict=True):
-            words[word] = np.array(ids, dtype="<u4").tobytes()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """A line of parts is cut after the tokens that end one."""
+    def learn(self, missing: list[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of ``missing`` to ``known``."""
+        self._parts([p for p in missing if p[0] != " "], known)
+        other = [p for p in missing if p[0] == " "]
+        for word, ids in zip(other, self._encode(self.tokenizer, [w[1:] for w in other]), strict=True):
+            known[word] = np.array(ids, dtype="<u4").tobytes()
+
+    def _parts(self, parts: list[str], known: dict[str, bytes]) -> None:
+        """Ids of plain parts; a line of parts is cut after the tokens that end one."""
         lines = [parts[i:i + 64] for i in range(0, len(parts), 64)]
         shown = [" ".join([p if p.isascii() else p.translate(self.bytes) for p in line]) for line in lines]
         for line, got in zip(lines, self._encode(self.model, shown), strict=True):
@@ -110,20 +77,41 @@ class WordTokens:
                 raise ValueError("the vocabulary does not mark the end of every word")
             raw, stops = ids.tobytes(), (4 * stops).tolist()
             for part, a, b in zip(line, [0, *stops[:-1]], stops, strict=True):
-                self.parts.now[part] = raw[a:b]
+                known[part] = raw[a:b]
 
     @staticmethod
     def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of some texts; words new to the cache are learned together."""
-        # str.split also cuts at four control characters that the tokenizer takes for signs
-        cut = [_BLANKS.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        self._learn(self.words.missing(set().union(*cut)))
-        known = self.words.now
-        for x in cut:
-            yield b"".join([known[w] for w in x])
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """Parts of a text; a word of other than plain characters is one part, marked by a blank in front."""
+        if not _OTHER.search(text):
+            return _PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in _BLANKS.split(text) if _CONTROL.search(text) else text.split():
+            if _PLAIN_WORD.fullmatch(word) and "<|" not in word:
+                out.extend(_PARTS.findall(word.lower()))
+            elif word:
+                out.append(f" {word}")
+        return out
+
+    def ids(self, texts: list[str], known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin (and the last ones end), and all ids."""
+        cut = [self.cut(t) for t in texts]
+        flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        words, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = words
+        self.learn(new, known)
+        found = [known[w] for w in words]
+        values, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        begin, taken = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        upto = np.concatenate([[0], np.cumsum(taken)])
+        out = values[np.repeat((begin - upto[:-1]).astype(np.int32), taken) + np.arange(upto[-1], dtype=np.int32)]
+        return upto[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)], out
 
 
 class _ByteCharacters(dict):
@@ -138,41 +126,40 @@ class _ByteCharacters(dict):
         return shown
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def _groups(texts: pa.Array, most: int = 64, chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in order, up to ``most`` and about ``chars`` characters at a time; null as empty."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text.as_py() or "")
-        size += len(some[-1])
-        if len(some) == most or size >= chars:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def _ranges(texts: pa.Array, weight: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``weight`` bytes (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + weight, "right")))
+        yield at, end
+        at = end
 
 
 def _pieces(path: str, size: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens, known = _tokens(path), {}
         for batch in batches:
-            out: list[tuple] = []
-            for i, ids in enumerate(x + end for some in _groups(batch.column("_text")) for x in tokens.ids(some)):
-                for k, lo in enumerate(range(0, len(ids), 4 * size)):
-                    cut = ids[lo:lo + 4 * size]
-                    out.append((i, k, lo // 4, len(cut) // 4, zlib.crc32(cut)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            at = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at, stop in _ranges(batch.column("_text")):
+                some = batch.column("_text").slice(at, stop - at).to_pylist()
+                begin, ids = tokens.ids([t or "" for t in some], known)
+                out: list[tuple] = []
+                for i in range(stop - at):
+                    raw = ids[begin[i]:begin[i + 1]].tobytes() + end
+                    for k, lo in enumerate(range(0, len(raw), 4 * size)):
+                        cut = raw[lo:lo + 4 * size]
+                        out.append((at + i, k, lo // 4, len(cut) // 4, zlib.crc32(cut)))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()),
+                     *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -248,7 +235,7 @@ _PLACED = f"{_PIECE}, sequence_id long, offset long, n_bins long, bound long, bi
 
 def _pack_once(pieces: DataFrame, count: int, size: int, tag: int, partition_pieces: int) -> DataFrame:
     buckets = max(1, round(count / partition_pieces))
-    dealt = pieces.withColumn("bucket", F.least(F.floor(F.rand(1000 + tag) * buckets), F.lit(buckets - 1)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(tag)), F.lit(buckets)))
     return materialize(dealt.groupBy("bucket").applyInPandas(_packed(size, tag), _PLACED), f"packed-{tag}")
 
 
