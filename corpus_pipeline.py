@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document as many times as the mix takes it."""
-    return repeat(mix(docs, max_epochs=3, period=3, seed=42, keep=docs.columns)).select(*docs.columns)
+    return repeat(mix(docs, max_epochs=3, period=3, seed=42, keep=docs.columns), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
