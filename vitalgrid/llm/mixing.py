@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     weigh 1, 2, ... ``period``, repeating; ``water_fill`` gives their targets.
     With r = target / size of the source, every document is taken floor(r)
     times whole, and for the fractional part documents are taken once more in
-    the order of a seeded hash until the source's target is reached: the last
-    of them only if that brings the sum nearer. Hash slices (two levels of
+    the order of a seeded hash as long as they fit the target; what the first
+    one that does not fit leaves open is filled with the longest documents that
+    fit, and with one more if that brings the sum nearer. Hash slices (two levels of
     ``SLICES``) are summed per source before any rows are ordered, so a source
     that holds a third of all rows is never sorted in one task.
 
@@ -110,18 +113,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     # level 2: only the rows of one slice of one slice are put in order
     last = _same(in1.select("_source", "_s2", "_h", "_row", "_size"), edge2, ["_source"], F.col("_s2") == F.col("_e2"))
     w = Window.partitionBy("_source").orderBy("_h", "_row")
-    before = F.sum("_size").over(w) - F.col("_size")
-    extra = materialize(last.withColumn("_b", before).filter(
-        (F.col("_size") > 0) & (F.col("_goal") - F.col("_b") >= F.col("_size") / 2))
-        .select("_row", F.lit(True).alias("_last")), "mix-last")
+    extra = materialize(last.withColumn("_b", F.sum("_size").over(w)).filter((F.col("_size") > 0) & (F.col("_b") <= F.col("_goal")))
+                        .select("_row"), "mix-last")
 
-    g = goals.select(F.col("source").alias("_source"), "source_size", "target", "epochs")
+    g = goals.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "goal")
     edges = _same(g, edge1.select("_source", "_e1"), ["_source"], None, "left")
-    edges = _same(edges, edge2.select("_source", "_e2"), ["_source"], None, "left")
-    out = _same(rows, materialize(edges, "mix-edges"), ["_source"], None).join(extra, "_row", "left")
-    sampled = (F.col("_size") > 0) & (F.coalesce(F.col("_s1") < F.col("_e1"), F.lit(False))
-                                      | F.coalesce((F.col("_s1") == F.col("_e1")) & (F.col("_s2") < F.col("_e2")),
-                                                   F.lit(False)) | F.coalesce("_last", F.lit(False)))
+    edges = materialize(_same(edges, edge2.select("_source", "_e2"), ["_source"], None, "left"), "mix-edges")
+    before = (F.col("_size") > 0) & (F.col("_e1").isNull() & (F.col("goal") > 0)
+                                     | F.coalesce(F.col("_s1") < F.col("_e1"), F.lit(False))
+                                     | F.coalesce((F.col("_s1") == F.col("_e1"))
+                                                  & (F.col("_e2").isNull() | (F.col("_s2") < F.col("_e2"))), F.lit(False)))
+    narrow = _same(rows.select("_source", "_s1", "_s2", "_size", "_h", "_row"), edges.select("_source", "goal", "_e1", "_e2"),
+                   ["_source"], None).join(extra.withColumn("_in", F.lit(True)), "_row", "left")
+    narrow = materialize(narrow.select("_source", "_s1", "_size", "_h", "_row", "goal",
+                                       (before | F.coalesce("_in", F.lit(False))).alias("_first")), "mix-first")
+    more = materialize(_fill_rest(narrow).unionByName(extra).withColumn("_more", F.lit(True)), "mix-more")
+    out = _same(rows, edges, ["_source"], None).join(more, "_row", "left")
+    sampled = before | F.coalesce("_more", F.lit(False))
     times = F.when(F.col("_size") > 0, F.col("epochs") + sampled.cast("long")).otherwise(0)
     found = {"_row": F.col("_row"), "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
              "epochs": times, "taken": times * F.col("_size")}
@@ -136,6 +144,43 @@ def result_name(name: str, kept: list[str]) -> str:
     return name
 
 
+def _fill_rest(narrow: DataFrame) -> DataFrame:
+    """Documents (``_row``) that fill what the hash order left of each source's goal.
+
+    Of the documents not taken yet, the longest that still fits is taken, again
+    and again; at the end one document more if that brings the sum nearer. The
+    choice is made on the number of documents of each size (one row per source
+    and size, none longer than twice what is left); of equally long documents the
+    first by hash are taken, put in order within one hash slice only."""
+    size = F.col("_size")
+    left = narrow.groupBy("_source").agg((F.max("goal") - F.coalesce(F.sum(F.when(F.col("_first"), size)), F.lit(0))).alias("_left"))
+    rest = narrow.filter(~F.col("_first") & (size > 0)).drop("goal")
+    sizes = _same(rest.groupBy("_source", "_size").agg(F.count("*").alias("_n")), left, ["_source"],
+                  size < 2 * F.col("_left"))
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_size", ascending=False, ignore_index=True)
+        goal, take = float(frame["_left"].iloc[0]), np.zeros(len(frame), np.int64)
+        for i, (s, n) in enumerate(zip(frame["_size"].tolist(), frame["_n"].tolist(), strict=True)):
+            take[i] = min(n, int(goal // s))
+            goal -= int(take[i]) * s
+        free = np.flatnonzero(take < frame["_n"].to_numpy())
+        if len(free) and frame["_size"].iloc[free[-1]] - goal < goal:
+            take[free[-1]] += 1
+        return frame.assign(_goal=take)[["_source", "_size", "_n", "_goal"]][take > 0]
+
+    wanted = materialize(sizes.groupBy("_source").applyInPandas(
+        choose, "_source string, _size long, _n long, _goal long"), "mix-wanted")
+    keys = ["_source", "_size"]
+    some = _same(rest, wanted, keys, None)
+    edge = _crossing(some.groupBy(*keys, "_s1").agg(F.count("*").alias("_n")), wanted.drop("_n"), keys, "_s1")
+    some = _same(some, edge.select(*keys, F.col("_s1").alias("_e"), F.col("_before").alias("_b")), keys, None, "left")
+    whole = some.filter(F.col("_e").isNull() | (F.col("_s1") < F.col("_e"))).select("_row")
+    w = Window.partitionBy(*keys).orderBy("_h", "_row")
+    part = some.filter(F.col("_s1") == F.col("_e")).withColumn("_k", F.row_number().over(w) + F.col("_b"))
+    return whole.unionByName(part.filter(F.col("_k") <= F.col("_goal")).select("_row"))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None, how: str = "inner") -> DataFrame:
     """Null-safe join on ``keys`` (a null source is a source)."""
     r = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])

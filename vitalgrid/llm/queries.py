@@ -143,7 +143,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sources in the order of cap / weight; the level is right at the first source whose cap is not reached.
 @query("op9_mixing", """
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
                   ('0x' || substr(md5('42|' || doc_id), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap,
@@ -158,11 +158,28 @@ g AS (SELECT source, source_size, CASE WHEN clamped THEN cap::DOUBLE
              ELSE weight::DOUBLE * rest::DOUBLE / l.weights::DOUBLE END AS target FROM c, l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
 o AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS goal,
-             sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN size > 0 AND goal - before >= size / 2 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM o""")
+             size > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)
+                          <= e.target - e.epochs * e.source_size AS taken_first
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+n AS (SELECT source, size, count(*) AS n FROM o WHERE NOT taken_first AND size > 0 GROUP BY source, size),
+z(source, rest, size, k, n) AS (
+  SELECT source, max(goal) - coalesce(sum(size) FILTER (WHERE taken_first), 0), NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM o GROUP BY source
+  UNION ALL
+  SELECT z.source, z.rest - n.size * least(n.n, floor(z.rest / n.size)::BIGINT), n.size,
+         least(n.n, floor(z.rest / n.size)::BIGINT), n.n
+  FROM z JOIN n ON z.source IS NOT DISTINCT FROM n.source AND n.size <= z.rest AND (z.size IS NULL OR n.size < z.size)
+  QUALIFY row_number() OVER (PARTITION BY z.source ORDER BY n.size DESC) = 1),
+y AS (SELECT source, min(rest) AS rest FROM z GROUP BY source),
+x AS (SELECT n.source, min(n.size) AS size FROM n LEFT JOIN z ON n.source IS NOT DISTINCT FROM z.source AND n.size = z.size
+      WHERE coalesce(z.k, 0) < n.n GROUP BY n.source),
+q AS (SELECT source, size, sum(k) AS k FROM (
+        SELECT source, size, k FROM z WHERE size IS NOT NULL
+        UNION ALL SELECT x.source, x.size, 1 FROM x JOIN y ON x.source IS NOT DISTINCT FROM y.source AND x.size - y.rest < y.rest)
+      GROUP BY source, size),
+p AS (SELECT o.*, row_number() OVER (PARTITION BY source, size, taken_first ORDER BY h, doc_id) AS place FROM o)
+SELECT doc_id, p.size, source_size, target, (p.size * (epochs + CASE WHEN p.size > 0 AND (taken_first OR place <= q.k)
+                                                                     THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p LEFT JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.size = q.size""")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), max_epochs=3, period=3, seed=42).select(
         "doc_id", "size", "source_size", "target", "taken")
