@@ -23,7 +23,7 @@ from vitalgrid.session import materialize
 PARTITION_PIECES = 16384
 ROUNDS = 3
 #: Parts of words that a task remembers, and bytes of text whose parts are numbered together.
-KNOWN, TEXT_BYTES = 300_000, 4 << 20
+KNOWN, TEXT_BYTES = 200_000, 2 << 20
 #: Blanks at which a text may be cut into words without changing its tokens.
 _BLANKS = re.compile(r"[ \t\n\r]+")
 # str.split also cuts at four control characters that the tokenizer takes for signs
