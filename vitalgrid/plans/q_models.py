@@ -173,8 +173,7 @@ def q_ablation(spark, d):
     drop against the full model, rank by drop (1 = most important) and flags
     for the most and least important signal."""
     train, test = train_test(spark, d)
-    t = MD.ablation(training_rows(train), test, SIG, COLS14, Y,
-                    lambda tr, cols, y: MD.fit_boosting(tr, cols, y, max_iter=150), derived_columns)
+    t = MD.ablation_boosting(training_rows(train), test, SIG, COLS14, Y, derived_columns, max_iter=150)
     return rounded(MD.rank_ablation(t))
 
 
