@@ -16,9 +16,7 @@ importances run in the JVM.
 
 from __future__ import annotations
 
-import json
 import pickle
-import uuid
 from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.features import fill_features
-from vitalgrid.session import checkpoint_dir, materialize
+from vitalgrid.operators.trees import NODES, ensemble
+from vitalgrid.session import materialize
 
 #: Rows of a block, bins of a feature, and trees between two writes of the blocks' scores.
 BLOCK_ROWS = 1 << 16
@@ -396,8 +395,8 @@ class Fitted:
     bounds: list[np.ndarray]
 
     def spark_model(self, spark) -> GBTClassificationModel:
-        """Writes the trees in Spark ML's model format and loads them. Its logistic loss doubles the margin, so values
-        are halved; the start is a tree of one leaf; inner bounds are the thresholds (left: value <= threshold)."""
+        """The ensemble as a Spark ML model, whose logistic loss doubles the margin, so values are halved; the start
+        is a tree of one leaf. Bin bounds are the thresholds."""
         place = {c: i for i, c in enumerate(_columns(self.spec, len(self.bounds)).tolist())}
         root = Tree()
         root.add(self.start, 1.0)
@@ -405,27 +404,11 @@ class Fitted:
         for t, tree in enumerate([root, *self.trees]):
             for n in range(len(tree.feature)):
                 leaf = tree.left[n] < 0
-                split = (-1, [], -1) if leaf else (place[tree.feature[n]], [float(self.bounds[tree.feature[n]][tree.bin[n]])], -1)
                 count = max(float(tree.rows[n]), 1.0)
-                rows.append((t, (n, tree.value[n] / 2, 0.0, [count, 0.0, 0.0], int(count),
-                                 -1.0 if leaf else tree.gain[n] / count, tree.left[n], tree.right[n], split)))
-        meta = {"timestamp": 0, "sparkVersion": spark.version, "uid": f"boosting_{uuid.uuid4().hex[:12]}", "paramMap": {},
-                "defaultParamMap": {"impurity": "variance", "featuresCol": "features", "labelCol": "label",
-                                    "predictionCol": "prediction", "rawPredictionCol": "rawPrediction", "probabilityCol": "probability", "leafCol": ""}}
-        path = f"{checkpoint_dir(spark).rstrip('/')}/models/boosting-{uuid.uuid4().hex}"
-        whole = {**meta, "class": "org.apache.spark.ml.classification.GBTClassificationModel",
-                 "numFeatures": len(place), "numTrees": len(self.trees) + 1}
-        spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/metadata")
-        tree_meta = json.dumps({**meta, "class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel",
-                                "defaultParamMap": {"impurity": "variance", "featuresCol": "features",
-                                                    "labelCol": "label", "predictionCol": "prediction", "leafCol": ""}})
-        spark.createDataFrame([(t, tree_meta, 1.0) for t in range(len(self.trees) + 1)],
-                              "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
-        spark.createDataFrame(rows, "treeID int, nodeData struct<id:int, prediction:double, impurity:double, "
-                              "impurityStats:array<double>, rawCount:long, gain:double, leftChild:int, rightChild:int, "
-                              "split:struct<featureIndex:int, leftCategoriesOrThreshold:array<double>, numCategories:int>>"
-                              ).write.parquet(f"{path}/data")
-        return GBTClassificationModel.load(path)
+                rows.append((t, n, -1 if leaf else place[tree.feature[n]],
+                             -1.0 if leaf else float(self.bounds[tree.feature[n]][tree.bin[n]]), tree.left[n], tree.right[n],
+                             tree.value[n] / 2, count, -1.0 if leaf else tree.gain[n] / count))
+        return ensemble(spark.createDataFrame(rows, NODES), "boosting", len(place), len(self.trees) + 1)
 
 
 def fit_many(train: DataFrame, cols: Sequence[str], label: str, specs: Sequence[Spec], weight: str,

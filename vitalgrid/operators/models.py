@@ -1,37 +1,32 @@
 """Models on Spark ML: rule baseline, logistic regression, forests, boosting,
 scores, per-tree spread, importances, ablation, seed runs and random search.
 
-Training runs as Spark ML jobs on executors (tree aggregation, L-BFGS); only
-the model itself (coefficients, tree nodes: bounded by the parameters) lives
-on the driver. Per-tree uncertainty uses the forest's ``leafCol`` (leaf index
-per tree, computed JVM-side) and a broadcast table of leaf probabilities read
-from the model's own saved node data; an Arrow ``pandas_udf`` turns the leaf
-indices into the mean and mean square of the tree probabilities.
+Training runs as Spark jobs on executors (tree aggregation, L-BFGS, histogram
+sums); only the model itself (coefficients, tree nodes: bounded by the
+parameters) lives on the driver. Scores and the per-tree spread come from
+Spark ML's tree walk in the JVM.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitalgrid.operators.baselines import any_exceeds, zscore
 from vitalgrid.operators.boosting import Spec, fit_many
 from vitalgrid.operators.features import fill_features
 from vitalgrid.operators.metrics import auroc, ranking_metrics
 from vitalgrid.functions.scalar import stable_uniform
-from vitalgrid.session import checkpoint_dir, materialize
+from vitalgrid.operators.trees import ensemble, node_table
+from vitalgrid.session import materialize
 
 FEATURES = "features"
 WEIGHT = "weight"
@@ -117,57 +112,24 @@ def score(model, df: DataFrame, cols: Sequence[str], out: str = "risk_score") ->
 
 
 # ------------------------------------------------------------------ per-tree spread
-def _leaf_probabilities(model) -> np.ndarray:
-    """[tree, leaf] -> class-1 probability of that leaf, leaves numbered
-    left-first (the numbering of Spark's ``leafCol``). Read from the model's
-    saved node table, whose node ids are preorder (left subtree first), so a
-    tree's leaves sorted by id are in left-first order. Size is bounded by
-    numTrees * 2**maxDepth."""
-    from pyspark.sql import SparkSession
-    ss = SparkSession.getActiveSession()
-    path = os.path.join(checkpoint_dir(ss), "models", f"forest-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    stats = F.col("nodeData.impurityStats")
-    total = F.aggregate(stats, F.lit(0.0), lambda acc, x: acc + x)
-    p1 = F.when(F.size(stats) > 1, stats[1] / F.nullif(total, F.lit(0.0)))
-    leaves = (ss.read.parquet(os.path.join(path, "data"))
-                .filter(F.col("nodeData.leftChild") < 0)
-                .select("treeID", F.col("nodeData.id").alias("id"), F.coalesce(p1, F.lit(0.0)).alias("p"))
-                .toPandas().sort_values(["treeID", "id"]))
-    leaves["leaf"] = leaves.groupby("treeID").cumcount()
-    trees = np.sort(leaves["treeID"].unique())
-    pos = np.searchsorted(trees, leaves["treeID"].to_numpy())
-    table = np.zeros((len(trees), int(leaves["leaf"].max()) + 1))
-    table[pos, leaves["leaf"].to_numpy()] = leaves["p"].to_numpy()
-    return table
-
-
 def tree_uncertainty(model, df: DataFrame, cols: Sequence[str], out_score: str = "risk_score",
                      out_unc: str = "uncertainty") -> DataFrame:
     """Forest probability and the population std of the per-tree
-    probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. One pass, each tree walked
-    once: the JVM computes leaf indices only, an Arrow UDF looks them up in the
-    broadcast leaf table; the mean of the trees is the forest's probability."""
-    table = _leaf_probabilities(model)
-    sc = df.sparkSession.sparkContext
-    b_table = sc.broadcast(table)
-
-    @F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sq", T.DoubleType())]))
-    def moments(leaves: pd.Series) -> pd.DataFrame:
-        tab = b_table.value
-        idx = np.stack(leaves.to_numpy()).astype(np.int64)  # rows x trees
-        p = tab[np.arange(tab.shape[0])[None, :], idx]
-        return pd.DataFrame({"mean": p.mean(axis=1), "sq": (p * p).mean(axis=1)})
-
+    probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. The mean of the squares is
+    the prediction of the same trees with squared leaf values
+    (``trees.ensemble``), so both come from Spark ML's tree walk: no Python
+    worker, no leaf table on the driver."""
+    nodes = node_table(model, df.sparkSession)
+    squares = ensemble(nodes.withColumn("value", F.col("value") * F.col("value")), "mean", model.numFeatures,
+                       len(model.treeWeights))
+    squares.setFeaturesCol(FEATURES).setPredictionCol("_sq")
     m = model.copy()
-    m.setLeafCol("_leaves")
-    m.setProbabilityCol("").setRawPredictionCol("").setPredictionCol("")
-    scored = m.transform(assemble(df, cols))
-    scored = scored.withColumn("_m", moments(vector_to_array(F.col("_leaves"))))
-    var = F.col("_m.sq") - F.col("_m.mean") * F.col("_m.mean")
-    return (scored.withColumn(out_score, F.col("_m.mean"))
-                  .withColumn(out_unc, F.sqrt(F.greatest(var, F.lit(0.0))))
-                  .drop(FEATURES, "_leaves", "_m"))
+    m.setFeaturesCol(FEATURES).setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
+    scored = squares.transform(m.transform(assemble(df, cols)))
+    p = F.coalesce(F.get(vector_to_array(F.col("_prob")), F.lit(1)), F.lit(0.0))
+    return (scored.withColumn(out_score, p)
+                  .withColumn(out_unc, F.sqrt(F.greatest(F.col("_sq") - F.col(out_score) * F.col(out_score), F.lit(0.0))))
+                  .drop(FEATURES, "_prob", "_sq"))
 
 
 def signal_importance(model, cols: Sequence[str], signals: Sequence[str],

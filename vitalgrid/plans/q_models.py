@@ -20,6 +20,7 @@ from vitalgrid.operators.baselines import entity_stats, zscore
 from vitalgrid.operators.features import build_features, derived_columns, feature_columns, impute_entity_mean
 from vitalgrid.functions.scalar import any_exceeds_expr
 from vitalgrid.operators.splits import sample_n, split_by_entity
+from vitalgrid.operators.trees import NODES, ensemble
 from vitalgrid.plans.common import auroc_sql, flag_sql
 from vitalgrid.plans.registry import query, rounded
 from vitalgrid.session import materialize
@@ -306,6 +307,98 @@ def q_serving_table(spark, d):
     return rounded(out)
 
 
+# ------------------------------------------------------------------ a given ensemble
+# An ensemble given by a rule (as one trained elsewhere would be given by its node table), so that SQL can walk the same
+# trees: complete trees of depth 3 over the z-scores and trends (columns 2 .. 5), nodes k = 1 .. 15 as in a heap.
+GIVEN_TREES = 12
+
+
+def given_forest(spark):
+    """The given ensemble as a Spark ML forest: t and k decide feature, threshold, gain, rows and leaf value."""
+    rows = []
+    for t in range(GIVEN_TREES):
+        number = {}
+
+        def walk(k: int) -> None:
+            number[k] = len(number)
+            if k < 8:
+                walk(2 * k)
+                walk(2 * k + 1)
+
+        walk(1)
+        for k, n in number.items():
+            count = float(8 >> (k.bit_length() - 1))
+            rows.append((t, n, 2 + (t + k) % 4, ((5 * t + 3 * k) % 13 - 6) / 5, number[2 * k], number[2 * k + 1], 0.5, count,
+                         ((2 * t + k) % 7 + 1) / 10) if k < 8 else
+                        (t, n, -1, -1.0, -1, -1, ((7 * t + 5 * k) % 17) / 16.7, count, -1.0))
+    return ensemble(spark.createDataFrame(rows, NODES), "forest", len(COLS21), GIVEN_TREES)
+
+
+def _step(k: str) -> str:
+    return f"2 * {k} + CAST(x[1 + (t + {k}) % 4] > ((5 * t + 3 * {k}) % 13 - 6) / 5.0 AS INTEGER)"
+
+
+GIVEN_SQL = flag_sql(2.0) + f""",
+feats AS (SELECT user_id, ts, event_id, coalesce(value, value_mean) AS value, coalesce(k, k_mean) AS k,
+                 value_zscore, k_zscore, avg(value_zscore) OVER w AS value_zscore_trend, avg(k_zscore) OVER w AS k_zscore_trend
+          FROM flagged LEFT JOIN st USING (user_id)
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+walk AS (SELECT user_id, event_id, t, {_step("k2")} AS leaf FROM (
+           SELECT *, {_step("k1")} AS k2 FROM (
+             SELECT *, {_step("1")} AS k1 FROM (
+               SELECT user_id, event_id, [coalesce(value_zscore, 0), coalesce(k_zscore, 0), coalesce(value_zscore_trend, 0),
+                                          coalesce(k_zscore_trend, 0)] AS x FROM feats), range({GIVEN_TREES}) r(t)))),
+scored AS (SELECT user_id, event_id, avg(p) AS risk_score, sqrt(greatest(avg(p * p) - avg(p) * avg(p), 0)) AS uncertainty
+           FROM (SELECT user_id, event_id, ((7 * t + 5 * leaf) % 17) / 16.7::DOUBLE AS p FROM walk) GROUP BY user_id, event_id),
+nodes AS (SELECT t, 2 + (t + k) % 4 AS feature, ((2 * t + k) % 7 + 1) / 10.0 * (8 >> CAST(floor(log2(k)) AS INTEGER)) AS gain
+          FROM range({GIVEN_TREES}) a(t), range(1, 8) b(k)),
+importance AS (SELECT CASE WHEN feature % 2 = 0 THEN 'value' ELSE 'k' END AS signal, sum(share) / {GIVEN_TREES} AS importance
+               FROM (SELECT feature, gain / sum(gain) OVER (PARTITION BY t) AS share FROM nodes) GROUP BY 1)"""
+
+
+@query("tree_uncertainty_given", GIVEN_SQL + """
+SELECT user_id, event_id, round(risk_score, 6) AS risk_score, round(uncertainty, 6) AS uncertainty FROM scored""")
+def q_tree_uncertainty_given(spark, d):
+    """Risk and per-tree spread of every row by a given ensemble of trees."""
+    s = MD.tree_uncertainty(given_forest(spark), labelled(spark, d), COLS21)
+    return rounded(s.select(E, "event_id", "risk_score", "uncertainty"))
+
+
+@query("signal_importance_given", GIVEN_SQL + """
+SELECT signal, round(importance, 6) AS importance FROM importance""")
+def q_signal_importance_given(spark, d):
+    """Importance of raw + z + trend per signal of a given ensemble, for the signals that have rows."""
+    imp = MD.signal_importance(given_forest(spark), COLS21, SIG)
+    here = X.p_raw(spark, d).agg(*[F.count(s).alias(s) for s in SIG])
+    told = here.select(F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(imp[s]).alias("importance"),
+                                                   F.col(s).alias("n")) for s in SIG])))
+    return rounded(told.filter("n > 0").select("signal", "importance"))
+
+
+@query("serving_table_given", GIVEN_SQL + """,
+recent AS (SELECT f.* FROM feats f JOIN (SELECT user_id, max(ts) AS tmax FROM feats GROUP BY user_id) USING (user_id)
+           WHERE ts >= tmax - INTERVAL 3 DAY),
+ranked AS (SELECT r.*, risk_score, uncertainty, coalesce(abs(value_zscore) * v.importance, -1) AS cv,
+                  coalesce(abs(k_zscore) * i.importance, -1) AS ck
+           FROM recent r JOIN scored USING (user_id, event_id), (SELECT importance FROM importance WHERE signal = 'value') v,
+                (SELECT importance FROM importance WHERE signal = 'k') i),
+named AS (SELECT *, CASE WHEN ck > cv THEN 'K' ELSE 'Value' END AS f1, CASE WHEN ck > cv THEN 'Value' ELSE 'K' END AS f2
+          FROM ranked),
+binned AS (SELECT user_id, date_trunc('day', ts) AS ts, avg(value) AS value, avg(k) AS k, avg(risk_score) AS risk_score,
+                  avg(uncertainty) AS uncertainty, arg_max(f1, (ts, event_id)) AS top_factor_1,
+                  arg_max(f2, (ts, event_id)) AS top_factor_2 FROM named GROUP BY 1, 2)
+SELECT user_id, ts, round(value, 6) AS value, round(k, 6) AS k, round(risk_score, 6) AS risk_score,
+       round(uncertainty, 6) AS uncertainty, top_factor_1, top_factor_2
+FROM binned WHERE value IS NOT NULL AND k IS NOT NULL""")
+def q_serving_table_given(spark, d):
+    """The whole serving job with a given ensemble: last 3 days of every entity -> risk, uncertainty, leading
+    factors -> 1-day bins."""
+    from vitalgrid.operators.serving import serving_table
+    out = serving_table(labelled(spark, d), given_forest(spark), E, "ts", SIG, COLS21, days=3, bin_size="1 day",
+                        names={"value": "Value", "k": "K"}, tie=["event_id"])
+    return rounded(out)
+
+
 @query("survey_models")
 def q_survey_models(spark, d):
     """Questionnaire workflow on Q-form: answers coerced to numbers, incomplete
