@@ -25,7 +25,7 @@ from vitalgrid.operators.boosting import Spec, fit_many
 from vitalgrid.operators.features import fill_features
 from vitalgrid.operators.metrics import auroc, ranking_metrics
 from vitalgrid.functions.scalar import stable_uniform
-from vitalgrid.operators.trees import ensemble, node_table
+from vitalgrid.operators.trees import squared
 from vitalgrid.session import materialize
 
 FEATURES = "features"
@@ -117,12 +117,9 @@ def tree_uncertainty(model, df: DataFrame, cols: Sequence[str], out_score: str =
     """Forest probability and the population std of the per-tree
     probabilities: ``sqrt(max(E[p^2] - E[p]^2, 0))``. The mean of the squares is
     the prediction of the same trees with squared leaf values
-    (``trees.ensemble``), so both come from Spark ML's tree walk: no Python
+    (``trees.squared``), so both come from Spark ML's tree walk: no Python
     worker, no leaf table on the driver."""
-    nodes = node_table(model, df.sparkSession)
-    squares = ensemble(nodes.withColumn("value", F.col("value") * F.col("value")), "mean", model.numFeatures,
-                       len(model.treeWeights))
-    squares.setFeaturesCol(FEATURES).setPredictionCol("_sq")
+    squares = squared(model, df.sparkSession).copy().setFeaturesCol(FEATURES).setPredictionCol("_sq")
     m = model.copy()
     m.setFeaturesCol(FEATURES).setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
     scored = squares.transform(m.transform(assemble(df, cols)))

@@ -90,7 +90,17 @@ def ensemble(nodes: DataFrame, kind: str, n_features: int, n_trees: int):
                        "numFeatures": n_features, "numClasses": 2})
     path = _model_path(spark)
     spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    spark.range(n_trees).select(F.col("id").cast("int").alias("_1"), F.lit(tree).alias("_2"),
+    spark.range(0, n_trees, 1, 1).select(F.col("id").cast("int").alias("_1"), F.lit(tree).alias("_2"),
                                 F.lit(1.0).alias("_3")).write.parquet(f"{path}/treesMetadata")
     data.write.parquet(f"{path}/data")
     return cls.load(path)
+
+
+def squared(model, spark) -> RandomForestRegressionModel:
+    """The forest's trees with squared leaf values, so that its prediction is the mean of the squared tree
+    probabilities; made once per model object."""
+    if getattr(model, "_squared", None) is None:
+        nodes = node_table(model, spark)
+        model._squared = ensemble(nodes.withColumn("value", F.col("value") * F.col("value")), "mean", model.numFeatures,
+                                  len(model.treeWeights))
+    return model._squared
