@@ -7,18 +7,18 @@ small size) give each bucket its offset:
 
 * ``hash_bucket`` — for keys ordered by an md5 hash: the leading hex digits of
   the hash are uniform, so buckets are balanced without sampling.
-* ``quantile_bucket`` — for arbitrary numeric keys: cut points from
-  ``approxQuantile`` (a bounded list of ``n`` numbers, computed once, the same
-  thing Spark's own range partitioner does) applied with ``Bucketizer``
-  (a JVM-side binary search per row). Callers pass tables of *distinct* keys
-  (pre-aggregated), so a hot key is one row and buckets stay balanced.
+* ``range_bucket`` — for any other key: Spark's own range partitioner deals the
+  rows (it samples them when the query runs, so building the plan runs no job),
+  and the partition is the bucket. Callers pass tables of *distinct* keys
+  (pre-aggregated), so a hot key is one row and buckets stay balanced. Rows and
+  bucket totals read the same exchange, so the input is read once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,24 +30,21 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def hash_bucket(md5_hex: Column, digits: int = 3) -> Column:
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits that give 16 buckets or more for every shuffle partition, the
+    setting that grows with the data (3 digits, 4096 buckets, at least)."""
+    return max(3, math.ceil(math.log(16 * default_buckets(df), 16)))
+
+
+def hash_bucket(md5_hex: Column, digits: int) -> Column:
     """Bucket from the leading hex digits of an md5 string (16**digits buckets)."""
-    return F.conv(F.substring(md5_hex, 1, digits), 16, 10).cast("int")
+    return F.conv(F.substring(md5_hex, 1, digits), 16, 10).cast("long")
 
 
-def quantile_bucket(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """Add ``_bucket`` (int, monotone in ``key``) with about equal rows per bucket."""
-    n = n or default_buckets(df)
-    x = df.withColumn("_qkey", F.col(key).cast("double"))
-    cuts: list[float] = []
-    if n > 1:
-        qs = x.stat.approxQuantile("_qkey", [i / n for i in range(1, n)], 1.0 / (4 * n))
-        cuts = sorted({q for q in qs if q == q})
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) == 2:
-        return x.drop("_qkey").withColumn(B, F.lit(0))
-    out = Bucketizer(splits=splits, inputCol="_qkey", outputCol="_qb", handleInvalid="keep").transform(x)
-    return out.withColumn(B, F.col("_qb").cast("int")).drop("_qkey", "_qb")
+def range_bucket(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """Add ``_bucket`` (int, monotone in ``keys``) with about equal rows per bucket. The
+    number of partitions is given, so adaptive execution never joins some of them."""
+    return df.repartitionByRange(n or default_buckets(df), *keys).withColumn(B, F.spark_partition_id())
 
 
 def _bucket_offsets(df: DataFrame, sums: dict[str, Column], descending: bool,
@@ -85,8 +82,11 @@ def running_totals(df: DataFrame, key: str, cols: Sequence[str], descending: boo
     inclusive running sums of ``cols`` in ``key`` order (``descending`` for
     high-to-low) within each group, as ``<prefix><col>``."""
     by = list(by)
-    d = quantile_bucket(df, key, n_buckets)
-    offs = _bucket_offsets(d, {c: F.sum(c) for c in cols}, descending, by)
+    d = range_bucket(df, [*by, key], n_buckets)
+    # a total that looks at all value columns needs the same columns as the rows, so both read one exchange
+    values = [c for c in df.columns if c not in (*by, key)]
+    there = F.greatest(*values).isNotNull() if len(values) > 1 else F.lit(True)
+    offs = _bucket_offsets(d, {c: F.sum(F.when(there, F.col(c))) for c in cols}, descending, by)
     order = F.col(key).desc() if descending else F.col(key).asc()
     w = Window.partitionBy(*by, B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(offs, [*by, B], "inner")

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalar import stable_hash_key, stable_uniform
-from vitalgrid.operators.ranking import global_row_number, hash_bucket
+from vitalgrid.operators.ranking import global_row_number, hash_bucket, hash_digits
 
 
-def entity_ranks(df: DataFrame, entity: str, seed: int, hash_digits: int = 3) -> DataFrame:
+def entity_ranks(df: DataFrame, entity: str, seed: int, digits: int | None = None) -> DataFrame:
     """Distinct entities with ``_rank`` = position in the seeded shuffle and
     ``_n`` = number of entities (a scalar subquery)."""
     ids = df.select(entity).distinct().withColumn("_h", stable_hash_key(entity, seed))
-    ranked = global_row_number(ids, [F.col("_h"), F.col(entity)], hash_bucket(F.col("_h"), hash_digits))
+    ranked = global_row_number(ids, [F.col("_h"), F.col(entity)], hash_bucket(F.col("_h"), digits or hash_digits(df)))
     n = df.select(F.count_distinct(entity)).scalar()
     return ranked.withColumn("_n", n).drop("_h")
 
@@ -49,7 +49,7 @@ def split_stratified(df: DataFrame, label: str, key: str, test_size: float = 0.2
     h = stable_hash_key(key, seed)
     d = df.withColumn("_h", h)
     ranked = global_row_number(d, [F.col(label), F.col("_h"), F.col(key)],
-                               F.struct(F.col(label), hash_bucket(F.col("_h"))).alias("_b"))
+                               F.struct(F.col(label), hash_bucket(F.col("_h"), hash_digits(d))).alias("_b"))
     # per-class rank = global rank minus the rows of lower classes
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_ny"))
     # one row per class: a window over the whole (tiny) class table is fine here
@@ -124,7 +124,7 @@ def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
     if n <= limit:
         w = Window.partitionBy(*by).orderBy("_h", *keys)
         return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_h", "_r")
-    ranked = global_row_number(d, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h")), out="_r",
+    ranked = global_row_number(d, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h"), hash_digits(d)), out="_r",
                                by=by)
     return ranked.filter(F.col("_r") <= n).drop("_h", "_r")
 
