@@ -143,6 +143,7 @@ class Words:
             self.paragraphs.append(len(self.words))
         self.cuts.append(len(self.words))
         self.ends = set(self.cuts)
+        self.tried: dict[int, tuple[int, list[int]]] = {}  # open node: places tried, those from which it goes on
 
 
 class Recogniser:
@@ -182,10 +183,18 @@ class Recogniser:
             end = bisect_right(doc.cuts, at)
             return (doc.cuts[end], node[""] + (f"-{version}" if version else "")) if end < len(doc.cuts) else None
         last = doc.paragraphs[min(bisect_right(doc.paragraphs, at), len(doc.paragraphs) - 1)]
-        for start in range(at + 1, last):
-            if doc.words[start] in node and (got := self.match(doc, start, node, version)):
-                return got
-        return None
+        # every place is tried once for a node, whatever place the run began at
+        tried, hits = doc.tried.get(id(node), (0, []))
+        known = bisect_right(hits, at)
+        if known == len(hits):
+            for start in range(tried, last):
+                tried = start + 1
+                if doc.words[start] in node and self.match(doc, start, node, version):
+                    hits.append(start)
+                    if start > at:
+                        break
+            doc.tried[id(node)] = tried, hits
+        return self.match(doc, hits[known], node, version) if known < len(hits) and hits[known] < last else None
 
     def sentences(self, text: str) -> list[str]:
         """Identifiers of the known sentences of a text, in order. A sentence
