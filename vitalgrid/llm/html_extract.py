@@ -33,6 +33,8 @@ FURNITURE_TAGS = {"nav", "footer", "aside", "form", "header", "menu", "dialog",
 STRONG_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head", *RAW}
 # Words that inside an article name a subject as well: only links in such an element are no article text.
 SUBJECT_WORDS = {"discussion", "related", "social", "promotion", "search", "share", "sharing", "legal", "notice", "header"}
+#: Characters from which the upper part of a style path is told by its digest.
+PATH_CHARS = 512
 #: Share of a page's text from which a declared element is a wrapper of the page, not a part of it.
 WRAPPER = 0.8
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog",
@@ -45,7 +47,7 @@ FURNITURE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "ad
                    "recommended", "recommendations", "pagination", "pager", "toolbar", "widget", "search", "copyright",
                    "legal", "skip"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)",
                     re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[a-z]+")
@@ -119,7 +121,8 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     """Text blocks of a page in order: (style path, lies in declared furniture, text).
 
     The style path names the elements from the root with their classes, which
-    is what pages of one site share. Unclosed and stray tags are closed as
+    is what pages of one site share (of a very deep element the upper part is
+    told by its digest, so paths stay short). Unclosed and stray tags are closed as
     browsers do in the common cases; character references are decoded; white
     space inside a block becomes one space.
     """
@@ -127,7 +130,9 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     # tag, path, declarations, how many of them lie outside the article, whether only its links are furniture
     stack: list[tuple[str, str, tuple, int | None, bool]] = [("", "", (), None, False)]
     text: list[str] = []
-    articles = declared = plain = 0
+    open_: dict[str, int] = {}  # elements of the stack by tag
+    block = [0]  # place in the stack of the innermost element that is not inline, for every element
+    declared = plain = 0
 
     def flush() -> None:
         nonlocal plain
@@ -135,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             joined = _BLANK.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                _, path, chain, outer, links = next(x for x in reversed(stack) if x[0] not in INLINE)
+                _, path, chain, outer, links = stack[block[-1]]
                 chain = max(chain, stack[-1][2], key=len)
                 if links and not plain and not chain:
                     chain = ((0, True),)
@@ -145,11 +150,16 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     def add(chunk: str) -> None:
         nonlocal plain
         text.append(chunk)
-        plain += bool(chunk.strip()) and not any(x[0] == "a" for x in stack)
+        plain += bool(chunk.strip()) and not open_.get("a")
+
+    def push(element: tuple[str, str, tuple, int | None, bool]) -> None:
+        open_[element[0]] = open_.get(element[0], 0) + 1
+        block.append(block[-1] if element[0] in INLINE else len(stack))
+        stack.append(element)
 
     def pop() -> None:
-        nonlocal articles
-        articles -= stack.pop()[0] == "article"
+        open_[stack.pop()[0]] -= 1
+        block.pop()
 
     at = 0
     while at < len(page):
@@ -166,15 +176,19 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if open_.get(tag) else 0, 0, -1):
                 if stack[i][0] == tag:
-                    if tag not in INLINE or all(x[0] in INLINE for x in stack[i:]):
+                    if tag not in INLINE or block[-1] < i:
                         if stack[i][2] != stack[i - 1][2]:
                             flush()
                         while len(stack) > i:
                             pop()
                     else:  # an inline element that blocks were opened in: it ends, they go on
-                        del stack[i]
+                        rest = stack[i + 1:]
+                        while len(stack) > i:
+                            pop()
+                        for element in rest:
+                            push(element)
                     break
                 if stack[i][0] in ("article", "body") and tag in ("p", "li", "b", "i", "span"):
                     break
@@ -189,15 +203,15 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if tag not in INLINE:
             flush()
         shut = CLOSES.get(tag, {"p"} if tag not in INLINE and tag not in RAW else set())
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if any(open_.get(x) for x in shut) else 0, 0, -1):
             if stack[i][0] in shut:
                 while len(stack) > i:
                     pop()
             elif stack[i][0] in SCOPES and not (tag in ("tr", "td", "th", "tbody") and stack[i][0] in ("td", "th")):
                 break
-        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3] or "")}
+        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] else {}
         parent = stack[-1]
-        kind = declared_furniture(tag, attrs, articles > 0)
+        kind = declared_furniture(tag, attrs, open_.get("article", 0) > 0)
         chain, outer = parent[2], parent[3]
         if kind in ("strong", "weak"):
             declared += 1
@@ -215,8 +229,9 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             "." + c for c in sorted(attrs.get("class", "").lower().replace(">", "_").split()))
         if (m[3] or "").rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append((tag, parent[1] if tag in INLINE else style, chain, outer, parent[4] or kind == "links"))
-        articles += tag == "article"
+        if len(style) > PATH_CHARS and tag not in INLINE:
+            style = f">{_digest(style):x}" + (">article" if _ARTICLE.search(style) else "")
+        push((tag, parent[1] if tag in INLINE else style, chain, outer, parent[4] or kind == "links"))
     flush()
     return _judged(out)
 
