@@ -26,12 +26,24 @@ _DAY = ("[0-9]{2}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)
 _LEAP_DAY = f"(?:{_YEAR}(?:0[48]|[2468][048]|[13579][26])|1600|2000)-02-29"
 DATE = f"(?<![0-9A-Za-z-])(?:{_YEAR}{_DAY}|{_LEAP_DAY})(?![0-9A-Za-z-])"
 SSN = "(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
-# A country code or brackets make any area code but 1xx and any exchange code certain; without them both start with 2 to 9.
-_CERTAIN = "(?:(?:\\+?1[ .-]?)?\\([02-9][0-9]{2}\\) ?|(?:\\+1[ .-]?|1[ .-])[02-9][0-9]{2}[ .-])[0-9]{3}"
+# A country code or brackets make any area and exchange code certain; without them both start with 2 to 9.
+_CERTAIN = "(?:(?:\\+?1[ .-]?)?\\([0-9]{3}\\) ?|(?:\\+1[ .-]?|1[ .-])[0-9]{3}[ .-])[0-9]{3}"
 PHONE = f"(?<![0-9A-Za-z(+])(?:{_CERTAIN}|(?:\\+?1)?[2-9][0-9]{{2}}[ .-][2-9][0-9]{{2}})[ .-][0-9]{{4}}(?![0-9A-Za-z])"
 _BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 IPV4 = f"(?<![0-9A-Za-z.])(?:{_BYTE}\\.){{3}}{_BYTE}(?![0-9A-Za-z]|\\.[0-9])"
-KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IPV4}
+# Dates of other layouts: 31/12/1999, 31.12.1999, 12/31/1999; Dec 31, 1999; 31 December 1999.
+_MONTH_DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
+NUMBER_DATE = "|".join(f"(?<![0-9A-Za-z/.-]){_MONTH_DAY}{x}{_MONTH_DAY}{x}{_YEAR}[0-9]{{2}}(?![0-9A-Za-z/-]|\\.[0-9])"
+                       for x in ("/", "\\."))
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+          "December")
+_MONTH = "(?:" + "|".join(f"{x[:3]}(?:{x[3:]})?" if x[3:] else x for x in MONTHS) + ")"
+NAME_DATE = (f"(?<![0-9A-Za-z-])(?:{_MONTH} {_MONTH_DAY}, {_YEAR}[0-9]{{2}}|{_MONTH_DAY} {_MONTH} {_YEAR}[0-9]{{2}})"
+             "(?![0-9A-Za-z-])")
+# Country, two check digits, 11 to 30 characters, solid or in groups of four.
+IBAN = ("(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,4})?)(?![0-9A-Za-z])")
+KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "number_date": NUMBER_DATE, "name_date": NAME_DATE, "ssn": SSN,
+         "phone": PHONE, "ip": IPV4}
 #: Any of the formats.
 FOUND = "|".join(f"(?:{x})" for x in KINDS.values())
 #: A run of digit groups that may hold payment card numbers of 13 to 19 digits among other numbers.
@@ -192,16 +204,15 @@ def _without_cards(piece: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A country code 1 stays. Area and exchange codes that start with 2 to 9 keep doing so; a first digit 0 of the
-    area and a first digit 0 or 1 of the exchange, which no real number has, stay such digits."""
+    """A country code 1 stays. Area and exchange codes that start with 2 to 9 keep doing so; a first digit 0 or 1,
+    which no real number has, stays one of these two."""
 
     def new(d: Column) -> Column:
         lead = F.size(d) - 10
         national = F.slice(d, lead + 1, 10)
         area, exchange = F.get(national, F.lit(0)) >= 2, F.get(national, F.lit(3)) >= 2
-        first = lambda real, others: (F.when(real, 2).otherwise(0).cast("long"),
-                                      F.when(real, 8).otherwise(others).cast("long"))
-        (low_a, radix_a), (low_e, radix_e) = first(area, 1), first(exchange, 2)
+        first = lambda real: (F.when(real, 2).otherwise(0).cast("long"), F.when(real, 8).otherwise(2).cast("long"))
+        (low_a, radix_a), (low_e, radix_e) = first(area), first(exchange)
         low = F.concat(F.array(low_a), _longs(0, 0), F.array(low_e), _longs(*[0] * 6))
         radix = F.concat(F.array(radix_a), _longs(10, 10), F.array(radix_e), _longs(*[10] * 6))
         name = F.concat(F.lit("phone"), F.when(area, "").otherwise("a"), F.when(exchange, "").otherwise("e"))
@@ -234,8 +245,9 @@ def _ip(m: Column, key: str) -> Column:
     return let(F.split(m, "\\.").cast("array<bigint>"), new)
 
 
-def _date(m: Column, key: str) -> Column:
-    """Valid days of the years 1600 to 2399, permuted within their 400-year cycle."""
+def _moved(since: Column, key: str, show: Callable[[Column], Column]) -> Column:
+    """``show`` of the day that takes the place of a day since 1600-01-01: valid days of the years 1600 to 2399,
+    permuted within their 400-year cycle."""
     days = CYCLE[0] * CYCLE[1]
 
     def new(day: Column) -> Column:
@@ -244,12 +256,88 @@ def _date(m: Column, key: str) -> Column:
         moved = let(feistel(values, _longs(*CYCLE), F.lit("date"), key),
                     lambda x: (day - within) + F.get(x, F.lit(0)) * CYCLE[1] + F.get(x, F.lit(1)))
         ok = day.isNotNull() & (day >= 0) & (day < 2 * days)
-        return F.when(ok, F.date_format(F.date_add(F.lit(_EPOCH).cast("date"), moved.cast("int")), "yyyy-MM-dd"))
+        return F.when(ok, let(F.date_add(F.lit(_EPOCH).cast("date"), moved.cast("int")), show))
 
-    since = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_EPOCH).cast("date"))
     return let(since.cast("long"), new)
 
 
+def _since(iso: Column) -> Column:
+    """Days from 1600-01-01 to a day as yyyy-MM-dd; null if there is no such day."""
+    return F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_EPOCH).cast("date"))
+
+
+def _date(m: Column, key: str) -> Column:
+    return _moved(_since(m), key, lambda d: F.date_format(d, "yyyy-MM-dd"))
+
+
+def _number_date(m: Column, key: str) -> Column:
+    """Day first, or month first where that is no day; digits are filled up with 0 where they were two."""
+
+    def new(part: Column) -> Column:
+        a, b, year = (F.get(part, F.lit(i)) for i in range(3))
+        iso = lambda month, day: F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        width = lambda old, x: F.when(F.length(old) == 2, F.lpad(x, 2, "0")).otherwise(x)
+        mark = F.when(m.contains("/"), "/").otherwise(".")
+        day, month = (lambda d: F.dayofmonth(d).cast("string")), (lambda d: F.month(d).cast("string"))
+
+        def shown(d: Column, first: Column, second: Column) -> Column:
+            return F.concat(width(a, first), mark, width(b, second), mark, F.date_format(d, "yyyy"))
+
+        return F.coalesce(_moved(_since(iso(b, a)), key, lambda d: shown(d, day(d), month(d))),
+                          _moved(_since(iso(a, b)), key, lambda d: shown(d, month(d), day(d))))
+
+    return let(F.split(m, "[/.]"), new)
+
+
+def _name_date(m: Column, key: str) -> Column:
+    """The order and the length of the month's name stay (May counts as a whole name)."""
+    name = F.regexp_extract(m, "[A-Za-z]+", 0)
+    short = (F.length(name) == 3) & (name != "May")
+    numbers = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+    number = F.array_position(F.array(*[F.lit(x[:3]) for x in MONTHS]), F.substring(name, 1, 3)).cast("string")
+    iso = F.concat_ws("-", F.get(numbers, F.lit(1)), F.lpad(number, 2, "0"), F.lpad(F.get(numbers, F.lit(0)), 2, "0"))
+
+    def show(d: Column) -> Column:
+        month = F.get(F.array(*[F.lit(x) for x in MONTHS]), F.month(d) - 1)
+        month = F.when(short, F.substring(month, 1, 3)).otherwise(month)
+        day = F.dayofmonth(d).cast("string")
+        day = F.when(F.length(F.get(numbers, F.lit(0))) == 2, F.lpad(day, 2, "0")).otherwise(day)
+        year = F.date_format(d, "yyyy")
+        return F.when(m.contains(","), F.concat(month, F.lit(" "), day, F.lit(", "), year)).otherwise(
+            F.concat_ws(" ", day, month, year))
+
+    return _moved(_since(iso), key, show)
+
+
+def _mod97(text: Column) -> Column:
+    """Capital letters (A = 10) and digits as one number, modulo 97."""
+    return F.aggregate(_chars(text), F.lit(0).cast("long"), lambda acc, c: F.when(
+        c.between("0", "9"), (acc * 10 + c.try_cast("long")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The country and which places hold letters stay, the check digits are made anew; not valid modulo 97: null."""
+
+    def new(solid: Column) -> Column:
+        country, account = F.substring(solid, 1, 2), F.substring(solid, 5, 40)
+        code = F.transform(_chars(account), lambda c: F.ascii(c).cast("long"))
+        low = F.transform(code, lambda c: F.when(c >= 65, 65).otherwise(48).cast("long"))
+        radix = F.transform(code, lambda c: F.when(c >= 65, 26).otherwise(10).cast("long"))
+        name = F.concat(F.lit("iban"), country, F.array_join(F.transform(low, lambda x: x.cast("string")), ","))
+        mixed = F.array_join(F.transform(_plus(feistel(_plus(code, low, -1), radix, name, key), low), lambda c: F.chr(c)), "")
+
+        def checked(account: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(country, check, account)
+
+        valid = _mod97(F.concat(account, F.substring(solid, 1, 4))) == 1
+        # blanks go back to where they were, after every fourth character
+        spaced = lambda x: F.when(m.contains(" "), F.trim(F.regexp_replace(x, "(.{4})", "$1 "))).otherwise(x)
+        return F.when(valid, spaced(let(mixed, checked)))
+
+    return let(F.regexp_replace(m, " ", ""), new)
+
+
 def _email(m: Column, key: str) -> Column:
     """Letters of the local part stay letters of their case, digits digits; the rest and the domain stay."""
     local, rest = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
@@ -268,12 +356,13 @@ def _email(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """(kind, new value) of a match of ``FOUND``; a null value if it is not valid."""
-    makers = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip}
+    makers = {"email": _email, "iban": _iban, "date": _date, "number_date": _number_date, "name_date": _name_date,
+              "ssn": _ssn, "phone": _phone, "ip": _ip}
     full = {k: f"^(?:{v})$" for k, v in KINDS.items()}
     kind = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
     for k in reversed(list(KINDS)):
-        kind = F.when(m.rlike(full[k]), k).otherwise(kind)
+        kind = F.when(m.rlike(full[k]), k.removeprefix("number_").removeprefix("name_")).otherwise(kind)
         value = F.when(m.rlike(full[k]), makers[k](m, key)).otherwise(value)
     return F.struct(kind.alias("kind"), value.alias("value"))
 
@@ -281,14 +370,17 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts with their validated personal values replaced by pseudonyms of the same format.
 
-    Looks for e-mail addresses (local part), ISO dates, US social security and
-    phone numbers, IPv4 addresses and payment card numbers in the whole text.
-    A value that is not valid in its format (Luhn sum, calendar, ranges) stays.
-    Phone numbers with a country code or brackets may have any area code but
-    1xx; cards are also found beside other digit groups, at group bounds.
-    Values are compared by their digits, so separators do not matter: equal
-    values get equal pseudonyms in every document under one ``key``, different
-    values of a format different ones.
+    Looks for e-mail addresses (local part), IBANs, dates (1999-12-31,
+    31/12/1999, 31.12.1999, 12/31/1999, Dec 31, 1999, 31 December 1999), US
+    social security and phone numbers, IPv4 addresses and payment card numbers
+    in the whole text. A value that is not valid in its format (Luhn sum, modulo
+    97, calendar, ranges) stays. Phone numbers with a country code or brackets
+    may have any area code; cards are also found beside other digit groups, at
+    group bounds. Values are compared by their digits, so separators do not
+    matter, and a day gets the same new day in every layout (of numbers alone
+    the first is the day unless there is no such day): equal values get equal
+    pseudonyms in every document under one ``key``, different values of a
+    format different ones.
 
     Returns one row per input row: ``doc_id, text`` (null stays null),
     ``n_replaced`` and ``kinds`` (names of the kinds replaced, in order). An
