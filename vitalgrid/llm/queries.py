@@ -19,7 +19,7 @@ from vitalgrid.llm.mixing import mix
 from vitalgrid.llm.packing import pack
 from vitalgrid.llm.pii import pseudonymise
 from vitalgrid.llm.simhash import simhash_groups
-from vitalgrid.llm.url_graph import DAMPING, LINK, MAX_DISTRUST, ROUNDS, judge_urls
+from vitalgrid.llm.url_graph import DAMPING, LINK, MAX_DISTRUST, TOLERANCE, judge_urls
 from vitalgrid.llm.vector_codes import compress
 from vitalgrid.session import materialize
 
@@ -58,19 +58,25 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
              ("allow", "org", "/fr/")]
 
 
+#: Rounds of the power iteration in SQL: as far as the query goes and further.
+RANK_ROUNDS = 150
+
+
 def _rank_sql(name: str, arcs: str, seeds: str) -> str:
-    """Power iteration unrolled: CTEs ``name``_0 .. ``name``_ROUNDS."""
-    out = [f"{name}_b AS MATERIALIZED (SELECT host, {1 - DAMPING} / count(*) OVER () AS base FROM ({seeds}))",
-           f"{name}_0 AS MATERIALIZED (SELECT host, base AS score FROM {name}_b)"]
-    for k in range(1, ROUNDS + 1):
-        out.append(f"{name}_{k} AS MATERIALIZED (SELECT host, sum(part) AS score FROM (SELECT host, base AS part FROM {name}_b "
-                   f"UNION ALL SELECT dst, w * score FROM {arcs} JOIN {name}_{k - 1} ON src = host) GROUP BY host)")
-    return ",\n".join(out)
+    """Power iteration as a recursive CTE ``name`` (k, host, score)."""
+    return f"""{name}_b AS MATERIALIZED (SELECT host, {1 - DAMPING} / count(*) OVER () AS base FROM ({seeds})),
+{name}(k, host, score) AS (
+  SELECT 0, host, base FROM {name}_b
+  UNION ALL
+  SELECT k, host, sum(part) FROM (
+    SELECT k + 1 AS k, dst AS host, w * score AS part FROM {name} JOIN {arcs} ON src = host
+    UNION ALL SELECT k + 1, b.host, base FROM {name}_b b, (SELECT DISTINCT k FROM {name}))
+  WHERE k <= {RANK_ROUNDS} GROUP BY k, host)"""
 
 
 _LINK_SQL = LINK.replace("'", "''")
 URL_SQL = f"""
-WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+WITH RECURSIVE u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
                                      '{_UPPER}', '{_LOWER}') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages),
 e AS (SELECT host AS src, dst, count(*) AS n FROM (
@@ -88,9 +94,10 @@ eb AS (SELECT dst AS src, src AS dst, {DAMPING} * n / sum(n) OVER (PARTITION BY
 m AS (SELECT page_id, max_by((f.rule, f.verdict), (length(f.rule), f.rule)) AS fit
       FROM u JOIN f ON u.host = f.host AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT u.page_id, u.host, u.path, fit[1] AS rule,
-       coalesce(fit[2], CASE WHEN coalesce(d.score, 0) > {MAX_DISTRUST} * (coalesce(t.score, 0) + coalesce(d.score, 0))
+       coalesce(fit[2], CASE WHEN coalesce(d.score, 0) > {MAX_DISTRUST} * (coalesce(t.score, 0) + coalesce(d.score, 0)) + {TOLERANCE}
                              THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN m USING (page_id) LEFT JOIN t_{ROUNDS} t ON u.host = t.host LEFT JOIN d_{ROUNDS} d ON u.host = d.host"""
+FROM u LEFT JOIN m USING (page_id) LEFT JOIN t ON u.host = t.host AND t.k = {RANK_ROUNDS}
+LEFT JOIN d ON u.host = d.host AND d.k = {RANK_ROUNDS}"""
 
 
 @query("op2_url_graph", URL_SQL)

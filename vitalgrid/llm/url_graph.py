@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from vitalgrid.session import materialize
 
-#: Share of a host's score that follows its links, and rounds of propagation at most.
+#: Share of a host's score that follows its links, change of all scores together below which propagation has settled
+#: (smaller scores count as none), and rounds between two looks at it.
 DAMPING = 0.85
-ROUNDS = 20
+TOLERANCE = 1e-6
+STRIDE = 5
 #: A host is blocked when distrust makes up more than this part of its trust and distrust.
 MAX_DISTRUST = 0.5
 
@@ -36,13 +38,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
+                          tolerance: float = TOLERANCE, stride: int = STRIDE) -> DataFrame:
     """Personalised PageRank ``host, score`` from the seeds (``host``, alike
     weighted, summing to 1) over weighted ``src, dst, n`` edges, by power
     iteration: score = (1 - damping) * seed + damping * what the hosts linking
-    here pass on by weight. What a host without links holds is lost. Stops
-    early when a round changes nothing. Every round is two joins and a
-    partially aggregated sum over hosts, written to the shared folder.
+    here pass on by weight. What a host without links holds is lost. Goes on
+    until ``stride`` rounds change the sum of all scores by less than ``tolerance``
+    (a change shrinks by ``damping`` a round, so that comes). A round is a join and
+    a partially aggregated sum over hosts; every ``stride`` rounds are written to
+    the shared folder.
     """
     whole = seeds.agg(F.count("*")).first()[0]
     base = seeds.select("host", F.lit((1 - damping) / max(1, whole)).alias("base"))
@@ -50,23 +55,25 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     arcs = materialize(edges.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("n") / F.col("all")).alias("w")),
                        "rank-arcs")
     score = materialize(base.select("host", F.col("base").alias("score")), "rank-score")
-    if arcs.isEmpty():
+    if whole == 0 or arcs.isEmpty():
         return score
-    for _ in range(rounds):
-        passed = arcs.join(score, arcs["src"] == score["host"]).select(
-            F.col("dst").alias("host"), (F.col("w") * F.col("score")).alias("part"))
-        new = materialize(passed.unionByName(base.select("host", F.col("base").alias("part"))).groupBy("host")
-                          .agg(F.sum("part").alias("score")), "rank-score")
-        old = score.select("host", F.col("score").alias("old"))
-        still = new.join(old, "host", "left").filter(~F.col("score").eqNullSafe(F.col("old"))).isEmpty()
+    while True:
+        new = score
+        for _ in range(stride):
+            passed = arcs.join(new, arcs["src"] == new["host"]).select(
+                F.col("dst").alias("host"), (F.col("w") * F.col("score")).alias("part"))
+            new = passed.unionByName(base.select("host", F.col("base").alias("part"))).groupBy("host").agg(
+                F.sum("part").alias("score"))
+        new = materialize(new, "rank-score")
+        # from the seeds alone scores only grow, so the change is the difference of the sums
+        change = new.agg(F.sum("score")).first()[0] - score.agg(F.sum("score")).first()[0]
         score = new
-        if still:
-            break
-    return score
+        if change < tolerance:
+            return score
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url",
-               html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS,
+               html: str = "html", damping: float = DAMPING, tolerance: float = TOLERANCE,
                max_distrust: float = MAX_DISTRUST) -> DataFrame:
     """Verdict on every page's url: the longest rule that fits, else its host's standing in the link graph.
 
@@ -77,7 +84,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str
     are blocked seeds. Trust is personalised PageRank from the trusted seeds
     over the links between hosts; distrust is the same from the blocked seeds
     over the reversed links. A page that no rule fits is blocked if distrust is
-    more than ``max_distrust`` of its host's trust and distrust together.
+    more than ``max_distrust`` of its host's trust and distrust together (by more
+    than ``tolerance``, to which scores are exact).
 
     Returns ``page_id, host, path, rule, verdict, trust, distrust``, one row per
     input row. A null url and one without ``://`` have an empty host and path
@@ -104,9 +112,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str
     fits = materialize(fits, "host-rules")
     trusted = fits.filter("verdict = 'allow'").select("host").distinct()
     blocked = fits.filter("verdict = 'block' and rule_path = '/'").select("host").distinct()
-    trust = personalised_pagerank(edges, trusted, damping, rounds).withColumnRenamed("score", "trust")
+    trust = personalised_pagerank(edges, trusted, damping, tolerance).withColumnRenamed("score", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_pagerank(back, blocked, damping, rounds).withColumnRenamed("score", "distrust")
+    distrust = personalised_pagerank(back, blocked, damping, tolerance).withColumnRenamed("score", "distrust")
     # longest first: array_sort puts the smallest (-length, rule) in front
     listed = fits.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(
         (-F.length("rule")).alias("order"), "rule", "rule_path", "verdict"))).alias("rules"))
@@ -115,7 +123,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str
     standing = materialize(standing.select(F.col("host").alias("site"), "rules", F.coalesce("trust", zero).alias("trust"),
                                            F.coalesce("distrust", zero).alias("distrust")), "host-standing")
     told = rows.join(standing, rows["host"] == standing["site"], "left")
-    bad = F.col("distrust") > F.lit(max_distrust) * (F.col("trust") + F.col("distrust"))
+    bad = F.col("distrust") > F.lit(max_distrust) * (F.col("trust") + F.col("distrust")) + F.lit(tolerance)
     # the first of a host's rules whose path the page's path starts with, or null
     told = told.withColumn("fit", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0)))
     return told.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
