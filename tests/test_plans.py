@@ -47,3 +47,18 @@ def test_feature_plan_shuffles_rows_twice(spark):
             row_keys.append(m.group(1))
     assert len(row_keys) == 2
     assert sum("_chunk" in k for k in row_keys) == 1 and sum("_sl" in k for k in row_keys) == 1
+
+
+def test_clean_panel_reads_its_input_three_times(spark):
+    """Bounds, rows and the carry's chunk edges; the rows are exchanged once, before the grid is filled up."""
+    import re
+    df = G.clean_panel(X.p_raw(spark, SF).dropDuplicates(["user_id", "ts"]), "user_id", "ts", X.P_RAW_SIGNALS, "1 day",
+                       on_duplicate="last", order=["event_id"])
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert len(re.findall("FileScan", final)) <= 3
+    full = G.clean_panel(X.p_day(spark, SF), "user_id", "ts", X.P_RAW_SIGNALS, "1 day", limit=5)
+    full.collect()
+    final = plan(full).split("Initial Plan")[0]
+    generate = final.index("Generate")
+    assert "Exchange" not in final[:generate].replace("ReusedExchange", "").replace("BroadcastExchange", "")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.sequence import carry_both, carry_last
@@ -186,14 +186,42 @@ def clean_panel(df: DataFrame, entity: str, ts: str, signals: Sequence[str], ste
     ``row_number``: also keep the 1-based position of each row in its entity's
     series under that name (= grid index + 1 on a regular grid), so ordered
     operators downstream need no row numbering pass."""
+    if mode not in ("prefix", "small_only"):
+        raise ValueError("mode must be 'prefix' or 'small_only'")
+    us = step_micros(step)
     keep = [entity, ts, *signals, *[o for o in (order or []) if o not in (entity, ts, *signals)]]
-    g = reindex_to_grid(df.select(*keep), entity, ts, step, on_duplicate, order, chunk_points,
-                        keep_index=True)
-    g = flag_missing(g, signals[0], before=True)
-    g = interpolate_limited(g, entity, ts, signals, limit, mode, step, chunk_points)
-    g = flag_missing(g, signals[0], before=False)
-    extra = [(F.col(K) + 1).alias(row_number)] if row_number else []
-    return g.select(entity, ts, *signals, "was_missing", "device_not_worn", *extra)
+    d = on_grid(df.select(*keep), entity, ts, step)
+    if on_duplicate == "last":
+        d = _dedupe(d, entity, order)
+    # every present row learns the next row and, per signal, the known readings around it: one carry over present rows
+    d = d.withColumns({"_ck": F.floor(F.col(K) / chunk_points).cast("long"), "_kx": F.col(K), **{
+        f"_p{i}": F.when(F.col(s).isNotNull(), F.struct(F.col(K).alias("k"), F.col(s).cast("double").alias("v")))
+        for i, s in enumerate(signals)}})
+    d = carry_both(d, entity, "_ck", [K], ["_kx", *[f"_p{i}" for i in range(len(signals))]], strictly_after=True)
+    following = F.coalesce(F.col("_kx_af"), F.col("_kend") + 1)
+    if on_duplicate == "error":
+        following = F.when(following == F.col(K), F.raise_error(F.concat(
+            F.lit("duplicate timestamp on the grid of entity "), F.col(entity).cast("string"))).cast("long")).otherwise(following)
+    # and emits its own grid point and the missing ones up to the next row, filled on the spot
+    last = F.greatest(F.col(K), following - 1)
+    d = d.withColumn("_last", last).withColumn("_from", F.explode(F.sequence(
+        F.col(K), F.col("_last"), F.lit(GAP_POINTS).cast("long"))))
+    d = d.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (GAP_POINTS - 1), F.col("_last")))))
+    at, here = F.col("_at"), F.col("_at") == F.col(K)
+
+    def filled(i: int, signal: str) -> Column:
+        before, after = F.col(f"_p{i}_bf"), F.col(f"_p{i}_af")
+        near = (at - before["k"]) <= limit if mode == "prefix" else (after["k"] - before["k"] - 1) <= limit
+        slope = (after["v"] - before["v"]) / (after["k"] - before["k"]).cast("double")
+        line = slope * (at - before["k"]).cast("double") + before["v"]
+        return F.when(here & F.col(signal).isNotNull(), F.col(signal)).when(after.isNotNull() & near, line)
+
+    stamp = F.when(here, F.col(ts)).otherwise(_ts_at(F.col("_t0"), at, us))
+    extra = [(at + 1).alias(row_number)] if row_number else []
+    d = d.select(entity, stamp.alias(ts), *[filled(i, s).alias(s) for i, s in enumerate(signals)],
+                 (~here | F.col(signals[0]).isNull()).alias("was_missing"), *extra)
+    return flag_missing(d, signals[0], before=False).select(entity, ts, *signals, "was_missing", "device_not_worn",
+                                                            *([row_number] if row_number else []))
 
 
 def flag_missing(df: DataFrame, first_signal: str, before: bool) -> DataFrame:

@@ -270,10 +270,10 @@ def trend_and_label(df: DataFrame, entity: str, rn: str, trend_cols: Sequence[st
 
 
 def carry_both(df: DataFrame, entity: str, chunk: str, order: Sequence[str], cols: Sequence[str],
-               before_suffix: str = "_bf", after_suffix: str = "_af") -> DataFrame:
+               before_suffix: str = "_bf", after_suffix: str = "_af", strictly_after: bool = False) -> DataFrame:
     """For each row and column: the last non-NULL value at or before the row
     (``<col><before_suffix>``) and the first at or after it
-    (``<col><after_suffix>``), within ``entity`` in ``order`` order.
+    (``<col><after_suffix>``; ``strictly_after``: after it), within ``entity`` in ``order`` order.
 
     The rows are partitioned once by (entity, chunk); the ascending and the
     descending window run on that partitioning (one sort each, no second
@@ -287,7 +287,8 @@ def carry_both(df: DataFrame, entity: str, chunk: str, order: Sequence[str], col
     shuffled = df.repartition(entity, chunk)
     part = Window.partitionBy(entity, chunk)
     w_up = part.orderBy(*[F.col(o).asc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    w_dn = part.orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    w_dn = part.orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding,
+                                                                       -1 if strictly_after else 0)
     out = shuffled.select("*", *[F.last(F.col(c), ignorenulls=True).over(w_up).alias(f"_lb_{c}") for c in cols])
     out = out.select("*", *[F.last(F.col(c), ignorenulls=True).over(w_dn).alias(f"_la_{c}") for c in cols])
     summ = shuffled.groupBy(entity, chunk).agg(
