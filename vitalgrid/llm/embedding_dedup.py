@@ -62,6 +62,7 @@ def _assign(shared, blocks: dict, reach: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
+        norms: dict[tuple[int, int], np.ndarray] = {}  # |c|^2 of a label's centroids
         for batch in batches:
             label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
             rep, vec = batch.column("rep").to_numpy(), batch.column("vec")
@@ -77,15 +78,19 @@ def _assign(shared, blocks: dict, reach: float):
                     home_row.append(np.ones(len(at), bool))
                     continue
                 x = _unit(vec.take(pa.array(at)).to_pylist(), key[1])
-                near = x @ c.T
-                home = np.argmax(near, axis=1)
-                gap = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
-                visit = near[np.arange(len(at)), home][:, None] - near <= reach * gap[home] + 1e-9
-                visit &= np.arange(len(c))[None, :] >= home[:, None]
-                r, k = np.nonzero(visit)
-                src.append(at[r])
-                cell.append(k)
-                home_row.append(k == home[r])
+                if key not in norms:
+                    norms[key] = (c * c).sum(axis=1)
+                # rows in strips, so that strip x cells numbers are held at a time, never cells x cells
+                for lo in range(0, len(at), STRIP):
+                    near = x[lo:lo + STRIP] @ c.T
+                    home = np.argmax(near, axis=1)
+                    gap = np.sqrt(np.maximum(0.0, norms[key][home][:, None] + norms[key] - 2 * (c[home] @ c.T)))
+                    visit = near[np.arange(len(near)), home][:, None] - near <= reach * gap + 1e-9
+                    visit &= np.arange(len(c))[None, :] >= home[:, None]
+                    r, k = np.nonzero(visit)
+                    src.append(at[lo:lo + STRIP][r])
+                    cell.append(k)
+                    home_row.append(k == home[r])
             if not src:
                 continue
             s, k, h = np.concatenate(src), np.concatenate(cell), np.concatenate(home_row)
