@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.sources import io as IO
@@ -72,3 +73,34 @@ def test_alert_stream_exactly_once(spark):
     assert run_alert_stream(spark, src + "/*", log, SCHEMA, checkpoint=ck) == 0    # latest row is low risk
     got = sorted((r["user_id"], r["risk_score"]) for r in IO.read_alerts(spark, log).collect())
     assert got == [(1, 0.75), (2, 0.9)]
+
+
+def test_panel_files_follow_the_bytes(spark, tmp_path):
+    """A third of the rows are one entity's, and many of them share one time: no file is much larger than asked for."""
+    import os
+    n = 120_000
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500)
+    ts = F.when(F.col("id") % 6 == 0, 0).otherwise(F.col("id"))
+    df = spark.range(n).select(hot.alias("user_id"), F.timestamp_seconds(ts).alias("ts"), F.sha2(F.col("id").cast("string"), 256)
+                               .alias("value"))
+    for size in (300_000, 1 << 30):
+        out = str(tmp_path / f"panel-{size}")
+        IO.write_panel(df, out, "user_id", "ts", file_bytes=size)
+        sizes = [os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".parquet")]
+        assert max(sizes) < 2 * size and spark.read.parquet(out).count() == n
+        assert len(sizes) == 1 if size > 10 ** 9 else len(sizes) > 10
+
+
+def test_reports_run_their_input_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            runs.add(1)
+            yield batch
+
+    df = spark.range(0, 10, 1, 1).mapInArrow(count, "id long")
+    IO.write_report(df, str(tmp_path), "r")
+    IO.write_panel(df.withColumn("ts", F.current_timestamp()), str(tmp_path / "p"), "id", "ts")
+    assert runs.value == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "r_csv")).count() == 10

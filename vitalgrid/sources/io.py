@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.functions.scalar import nan_to_null
+from vitalgrid.session import materialize
+
+#: Bytes of a file that ``write_panel`` aims at, and rows up to which a table of keys is broadcast by a hint.
+FILE_BYTES = 128 << 20
+BROADCAST_ROWS = 10_000
 
 # The two timestamp layouts of the reference inputs.
 TS_DAY_FIRST = "dd/MM/yyyy HH:mm:ss"
@@ -81,18 +86,28 @@ def drop_leading_rows(df: DataFrame, order: str | Sequence[str], n: int) -> Data
     if n <= 0:
         return df
     first = df.select(*order).orderBy(*order).limit(n)
-    return df.join(F.broadcast(first), order, "left_anti")
+    return df.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, order, "left_anti")
 
 
 def write_panel(df: DataFrame, path: str, entity: str, ts: str, fmt: str = "parquet",
-                partition_by: Sequence[str] = (), files: int | None = None, mode: str = "overwrite") -> None:
+                partition_by: Sequence[str] = (), files: int | None = None, mode: str = "overwrite",
+                file_bytes: int = FILE_BYTES) -> None:
     """Write a panel clustered by (entity, ts): range partitioning on both keys
     splits a hot entity over several files by time (a hash on the entity alone
     would put it in one file), and sorting inside each file keeps Parquet
-    min/max statistics tight for entity and time filters."""
-    n = files or df.sparkSession.sparkContext.defaultParallelism
-    out = df.repartitionByRange(n, entity, ts).sortWithinPartitions(entity, ts)
-    w = out.write.mode(mode)
+    min/max statistics tight for entity and time filters.
+
+    The rows are written once to the shared folder (so ``df`` runs once, not
+    again for the range bounds), and their measured bytes give the number of
+    files: about ``file_bytes`` each. Rows of one (entity, ts) cannot be cut by
+    ranges, so a file also ends at the rows that ``file_bytes`` hold on average."""
+    spark = df.sparkSession
+    held = materialize(df, "panel")
+    size, rows = bytes_of(spark, held.inputFiles()), held.count()
+    n = files or max(1, -(-size // file_bytes))
+    most = max(1, int(rows * file_bytes / size)) if size else 1
+    out = held.repartitionByRange(n, entity, ts).sortWithinPartitions(entity, ts)
+    w = out.write.mode(mode).option("maxRecordsPerFile", most)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
@@ -101,9 +116,18 @@ def write_panel(df: DataFrame, path: str, entity: str, ts: str, fmt: str = "parq
         w.format(fmt).save(path)
 
 
+def bytes_of(spark: SparkSession, files: Sequence[str]) -> int:
+    """Bytes of files of any file system (one listing of their folders)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    return sum(path(f).getFileSystem(conf).getContentSummary(path(f)).getLength() for f in folders)
+
+
 def write_report(df: DataFrame, path: str, name: str, nested: dict[str, Sequence[str]] | None = None) -> None:
     """A result table twice: flat CSV with header, and JSON where ``nested``
-    groups columns into structs (``{"random_forest": ["auroc", ...]}``)."""
+    groups columns into structs (``{"random_forest": ["auroc", ...]}``). ``df`` runs once."""
+    df = materialize(df, "report")
     df.write.mode("overwrite").option("header", True).csv(os.path.join(path, f"{name}_csv"))
     cols = []
     used = set()
@@ -126,7 +150,6 @@ def append_alerts(new: DataFrame, path: str, entity: str = "user_id", ts: str =
         old = read_alerts(spark, path)
         fresh = new.join(old.select(entity, ts), [entity, ts], "left_anti")
     fresh = fresh.dropDuplicates([entity, ts])
-    from vitalgrid.session import materialize
     fresh = materialize(fresh, "alerts-batch")
     n = fresh.count()
     if n:
