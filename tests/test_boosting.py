@@ -74,7 +74,7 @@ def test_equals_a_plain_loop(spark, rows, spec, monkeypatch):
 def test_blocks_and_many_models_equal_single_fits(spark, rows):
     df = rows[0]
     specs = [B.Spec(max_iter=4, left_out=0), B.Spec(max_iter=12, step=0.2, min_leaf=10, l2=0.1, left_out=1, max_depth=4),
-             B.Spec(max_iter=3, columns=(0, 2))]
+             B.Spec(max_iter=3, columns=(0, 2)), B.Spec(max_iter=60, step=0.5, min_leaf=5, patience=3, seed=5)]
     one, held_one = B.fit_many(df, COLS, "y", specs, "w", fold="f")
     jobs, held_jobs = B.fit_many(df, COLS, "y", specs, "w", fold="f", block_rows=250)
     for a, b in zip(one, jobs, strict=True):
@@ -89,6 +89,7 @@ def test_blocks_and_many_models_equal_single_fits(spark, rows):
         x = sorted((r["label"], round(r["risk_score"], 9)) for r in held_one.filter(F.col("model") == m).collect())
         assert x == sorted((r["label"], round(r["risk_score"], 9)) for r in held_jobs.filter(F.col("model") == m).collect())
         assert len(x) == (0 if spec.left_out is None else 300)
+    assert len(one[3].trees) < 60  # noise stops it
     model = one[1].spark_model(spark)
     held = MD.score(model, df.filter("f = 1"), COLS)
     assert sorted((r["y"], round(r["risk_score"], 9)) for r in held.collect()) == sorted(
@@ -118,3 +119,11 @@ def test_search_applies_every_axis(spark, rows, monkeypatch):
     assert len(got) == 4 and all(0.5 < r["cv_auroc"] <= 1 for r in got)
     assert set(MD.GB_SPACE) == {"max_iter", "max_depth", "learning_rate", "min_samples_leaf", "l2_regularization"}
     assert best.getNumTrees in (4, 6)
+
+
+def test_seeds_draw_the_rows_held_back(spark, rows):
+    got, _ = B.fit_many(rows[0], COLS, "y", [B.Spec(max_iter=30, patience=5, seed=s) for s in (1, 2, 1)], "w")
+    one, two, again = ([t.bin for t in f.trees] for f in got)
+    assert one == again != two
+    assert B.enough(B.Spec(patience=2), [3, 2, 2, 2]) and not B.enough(B.Spec(patience=2), [3, 2, 2, 1.9])
+    assert not B.enough(B.Spec(), [1, 2, 3, 4]) and not B.enough(B.Spec(patience=3), [1, 2, 3])

@@ -43,7 +43,8 @@ MIN_HESSIAN = 1e-3
 class Spec:
     """One model: ``max_iter`` trees of at most ``leaves`` leaves and ``max_depth`` levels (None: any), steps of
     ``step``, at least ``min_leaf`` rows a leaf, L2 penalty ``l2``; fitted on ``columns`` (positions; None: all) of
-    the rows outside fold ``left_out`` (None: all rows)."""
+    the rows outside fold ``left_out`` (None: all rows). With ``patience`` a tenth of these rows, drawn by ``seed``, are
+    held back, and growth stops when their loss has not improved for that many trees."""
 
     max_iter: int = 100
     step: float = 0.1
@@ -53,6 +54,8 @@ class Spec:
     leaves: int = 31
     columns: tuple[int, ...] | None = None
     left_out: int | None = None
+    patience: int = 0
+    seed: int = 42
 
 
 @dataclass
@@ -93,7 +96,8 @@ def histogram(bins: np.ndarray, rows: np.ndarray, sums: np.ndarray, columns: np.
 
 
 def best_split(hist: np.ndarray, spec: Spec) -> tuple[float, int, int] | None:
-    """(gain, column, last bin to the left) of the best split, the first one in a tie."""
+    """(gain, column, last bin to the left) of the best split, the first one in a tie. Gains that agree to nine digits
+    are a tie: sums of the same rows in another order differ in the last ones."""
     total = hist[0].sum(axis=0)
     left = hist.cumsum(axis=1)[:, :-1]
     right = total - left
@@ -104,8 +108,11 @@ def best_split(hist: np.ndarray, spec: Spec) -> tuple[float, int, int] | None:
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gl * gl / (hl + spec.l2) + gr * gr / (hr + spec.l2) - total[0] ** 2 / (total[1] + spec.l2)
     gain = np.where(may, gain, -np.inf)
-    c, b = divmod(int(np.argmax(gain)), gain.shape[1])
-    return (float(gain[c, b]), c, b) if gain[c, b] > 1e-12 else None
+    best = gain.max()
+    if best <= 1e-12:
+        return None
+    c, b = divmod(int(np.argmax(gain >= best * (1 - 1e-9))), gain.shape[1])
+    return float(f"{best:.8e}"), c, b
 
 
 def grow(spec: Spec, columns: np.ndarray, ahead: bool) -> Generator[tuple[Tree, list[int]], dict[int, np.ndarray], Tree]:
@@ -115,7 +122,7 @@ def grow(spec: Spec, columns: np.ndarray, ahead: bool) -> Generator[tuple[Tree,
     difference. With ``ahead`` the children of every leaf that may still be
     split are asked for together, which saves jobs and changes no split; those
     never reached are cut off in the end."""
-    tree, open_, hists, depth = Tree(), {}, {}, {}
+    tree, open_, hists, path = Tree(), {}, {}, {}  # path: L and R from the root on
     waiting: dict[int, tuple[int, int]] = {}  # children made, histograms not known
 
     def value(hist: np.ndarray) -> float:
@@ -124,7 +131,7 @@ def grow(spec: Spec, columns: np.ndarray, ahead: bool) -> Generator[tuple[Tree,
 
     def known(node: int, hist: np.ndarray) -> None:
         tree.value[node], tree.rows[node] = value(hist), float(hist[0, :, 2].sum())
-        if (spec.max_depth is None or depth[node] < spec.max_depth) and (found := best_split(hist, spec)):
+        if (spec.max_depth is None or len(path[node]) < spec.max_depth) and (found := best_split(hist, spec)):
             open_[node], hists[node] = found, hist
 
     def divide(node: int) -> tuple[int, int]:
@@ -134,16 +141,16 @@ def grow(spec: Spec, columns: np.ndarray, ahead: bool) -> Generator[tuple[Tree,
         tree.feature[node], tree.bin[node] = int(columns[c]), b
         tree.left[node], tree.right[node] = children
         tree.gain[node] = gain
-        depth[children[0]] = depth[children[1]] = depth[node] + 1
+        path[children[0]], path[children[1]] = path[node] + "L", path[node] + "R"
         waiting[node] = (children[0], children[1]) if small else (children[1], children[0])
         return children
 
     root = tree.add(0.0, 0.0)
-    depth[root] = 0
+    path[root] = ""
     known(root, (yield tree, [root])[root])
     frontier, made, leaves = {root}, {}, 1
     while leaves < spec.leaves:
-        able = sorted((n for n in frontier if n in open_), key=lambda n: (-open_[n][0], n))
+        able = sorted((n for n in frontier if n in open_), key=lambda n: (-open_[n][0], path[n]))
         if not able:
             break
         top = able[0]
@@ -180,20 +187,41 @@ def _pruned(tree: Tree, leaves: set[int]) -> Tree:
 
 
 class Block:
-    """Rows of a block: bins (features x rows), labels, weights, folds and each model's score before ``done`` trees."""
+    """Rows of a block: bins (features x rows), labels, weights, folds and a hash of each row."""
 
     def __init__(self, bins: bytes, rest: bytes, rows: int):
         self.bins = np.frombuffer(bins, np.uint8).reshape(-1, rows)
-        self.y, self.w, self.fold = np.frombuffer(rest, np.float64).reshape(3, rows)
+        self.y, self.w, self.fold = np.frombuffer(rest[:24 * rows], np.float64).reshape(3, rows)
+        self.hash = np.frombuffer(rest[24 * rows:], np.uint64)
+
+    def seen(self, spec: Spec) -> np.ndarray:
+        """Rows outside the fold that is left out."""
+        return np.ones(len(self.y), bool) if spec.left_out is None else self.fold != spec.left_out
 
-    def inside(self, spec: Spec) -> np.ndarray:
-        return np.ones(len(self.y)) if spec.left_out is None else (self.fold != spec.left_out).astype(float)
+    def held_back(self, spec: Spec) -> np.ndarray:
+        """The tenth of the rows that early stopping looks at."""
+        if not spec.patience:
+            return np.zeros(len(self.y), bool)
+        with np.errstate(over="ignore"):
+            x = (self.hash ^ np.uint64(spec.seed * 0x9E3779B97F4A7C15 % 2 ** 64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return self.seen(spec) & ((x >> np.uint64(33)) % np.uint64(10) == 0)
 
     def sums(self, spec: Spec, score: np.ndarray) -> np.ndarray:
-        """Gradients and hessians of the weighted logistic loss, and counts, zero for rows left out."""
-        p, inside = 1 / (1 + np.exp(-score)), self.inside(spec)
+        """Gradients and hessians of the weighted logistic loss, and counts, zero for rows that are not fitted."""
+        p, inside = 1 / (1 + np.exp(-score)), (self.seen(spec) & ~self.held_back(spec)).astype(float)
         return np.stack([self.w * (p - self.y) * inside, self.w * p * (1 - p) * inside, inside])
 
+    def loss(self, spec: Spec, score: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of the rows held back, and their weight."""
+        back = self.held_back(spec)
+        y, w, s = self.y[back], self.w[back], score[back]
+        return np.array([(w * (np.logaddexp(0, s) - y * s)).sum(), w.sum()])
+
+
+def enough(spec: Spec, losses: list[float]) -> bool:
+    """No loss of the last ``patience`` trees is below the one before them."""
+    return bool(spec.patience) and len(losses) > spec.patience and min(losses[-spec.patience:]) >= losses[-spec.patience - 1] - 1e-7
+
 
 def _columns(spec: Spec, features: int) -> np.ndarray:
     return np.arange(features) if spec.columns is None else np.array(spec.columns)
@@ -202,7 +230,12 @@ def _columns(spec: Spec, features: int) -> np.ndarray:
 def _fit_block(block: Block, spec: Spec, start: float) -> tuple[list[Tree], np.ndarray]:
     """All trees of a model whose rows are one block, and the rows' scores."""
     score, trees, columns = np.full(len(block.y), start), [], _columns(spec, len(block.bins))
+    losses: list[float] = []
     for _ in range(spec.max_iter):
+        loss, weight = block.loss(spec, score)
+        losses.append(loss / max(weight, 1e-300))
+        if enough(spec, losses):
+            break
         sums = block.sums(spec, score)
         members: dict[int, np.ndarray] = {0: np.arange(len(score))}
         growth = grow(spec, columns, ahead=False)
@@ -237,7 +270,7 @@ def _fit_in_tasks(specs: list[Spec], starts: list[float]):
 
 def _held(block: Block, spec: Spec, score: np.ndarray) -> bytes:
     """Labels and scores of the rows a model did not see."""
-    out = block.inside(spec) == 0
+    out = ~block.seen(spec)
     return np.stack([block.y[out], score[out]]).tobytes()
 
 
@@ -250,7 +283,7 @@ def _scores(block: Block, scores: np.ndarray, fresh: list[list[Tree]]) -> np.nda
 
 
 def _partial(specs: list[Spec], fresh: list[list[Tree]], asked: dict[int, tuple[Tree, list[int]]]):
-    """Histograms of the asked nodes, summed over the blocks of a task."""
+    """Histograms of the asked nodes, and under node -1 the loss of the rows held back, summed over the blocks of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -261,8 +294,10 @@ def _partial(specs: list[Spec], fresh: list[list[Tree]], asked: dict[int, tuple[
                 for m, (tree, nodes) in asked.items():
                     sums, columns = block.sums(specs[m], scores[m]), _columns(specs[m], len(block.bins))
                     paths = _members(tree, block.bins, set(nodes))
-                    for node in nodes:
-                        got = histogram(block.bins, paths[node], sums, columns)
+                    parts = {n: histogram(block.bins, paths[n], sums, columns) for n in nodes}
+                    if specs[m].patience and nodes == [0]:
+                        parts[-1] = block.loss(specs[m], scores[m])
+                    for node, got in parts.items():
                         total[m, node] = total[m, node] + got if (m, node) in total else got
         keys = list(total)
         yield pa.RecordBatch.from_arrays(
@@ -316,17 +351,27 @@ def _fit_in_jobs(blocks: DataFrame, specs: list[Spec], starts: list[float], feat
     blocks = materialize(blocks.mapInArrow(first, kind), "boost-scores")
     trees: list[list[Tree]] = [[] for _ in specs]
     written = [0] * len(specs)
+    losses: list[list[float]] = [[] for _ in specs]
     for turn in range(max(s.max_iter for s in specs)):
-        growths = {m: grow(s, _columns(s, features), ahead=True) for m, s in enumerate(specs) if turn < s.max_iter}
+        growths = {m: grow(s, _columns(s, features), ahead=True) for m, s in enumerate(specs)
+                   if turn < s.max_iter and not enough(s, losses[m])}
+        if not growths:
+            break
         asked = {m: next(g) for m, g in growths.items()}
         fresh = [t[n:] for t, n in zip(trees, written, strict=True)]
         while asked:
             got: dict[int, dict[int, np.ndarray]] = {m: {} for m in asked}
             for r in blocks.mapInArrow(_partial(specs, fresh, asked), "model int, node int, hist binary").groupBy(
                     "model", "node").applyInPandas(_total, "model int, node int, hist binary").collect():
-                got[r["model"]][r["node"]] = np.frombuffer(r["hist"]).reshape(-1, BINS + 1, 3)
+                if r["node"] < 0:
+                    loss, weight = np.frombuffer(r["hist"])
+                    losses[r["model"]].append(loss / max(weight, 1e-300))
+                else:
+                    got[r["model"]][r["node"]] = np.frombuffer(r["hist"]).reshape(-1, BINS + 1, 3)
             after = {}
             for m in asked:
+                if enough(specs[m], losses[m]):
+                    continue
                 try:
                     after[m] = growths[m].send(got[m])
                 except StopIteration as end:
@@ -359,6 +404,7 @@ def binned(train: DataFrame, cols: Sequence[str], label: str, weight: str, fold:
     rows = train.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names, strict=True)],
                         F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"),
                         (F.col(fold) if fold else F.lit(-1)).cast("double").alias("fold"))
+    rows = rows.withColumn("hash", F.xxhash64(*rows.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -366,8 +412,8 @@ def binned(train: DataFrame, cols: Sequence[str], label: str, weight: str, fold:
         def emit(table: pa.Table) -> pa.RecordBatch:
             bins = np.stack([np.searchsorted(b, table[n].to_numpy(), side="left").astype(np.uint8)
                              for n, b in zip(names, bounds, strict=True)])
-            rest = np.stack([table[n].to_numpy() for n in ("y", "w", "fold")])
-            return pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary()),
+            rest = b"".join(table[n].to_numpy().tobytes() for n in ("y", "w", "fold", "hash"))
+            return pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([rest], pa.binary()),
                                                pa.array([table.num_rows], pa.int32())], ["bins", "rest", "rows"])
 
         for batch in batches:
@@ -417,8 +463,8 @@ def fit_many(train: DataFrame, cols: Sequence[str], label: str, specs: Sequence[
 
     Returns the ensembles and ``model int, label int, risk_score double``: the
     probabilities of the rows that each model did not see (its fold left out).
-    An empty table raises. Trees have no random part: equal rows give equal
-    models whatever the seed."""
+    An empty table raises. Only the rows held back for early stopping depend on
+    the seed."""
     spark, specs = train.sparkSession, list(specs)
     rows = fill_features(train, list(cols))
     rows = materialize(rows.select(*cols, F.col(label).alias("_y"), F.col(weight).alias("_w"),

@@ -30,6 +30,8 @@ from vitalgrid.session import materialize
 
 FEATURES = "features"
 WEIGHT = "weight"
+# Rows from which boosting stops early, and trees it waits for an improvement.
+STOP_ROWS, PATIENCE = 10_000, 10
 
 
 def threshold_rule(df: DataFrame, entity: str, signals: Sequence[str], threshold: float = 2.0,
@@ -92,13 +94,19 @@ def fit_boosting(train: DataFrame, cols: Sequence[str], label: str, max_iter: in
                  max_depth: int | None = None, seed: int = 42, balanced: bool = True, min_leaf: int = 20,
                  l2: float = 0.0, leaves: int = 31) -> GBTClassificationModel:
     """Histogram gradient boosting (``boosting.fit_many``): logistic loss, balanced
-    sample weights, trees grown best-first to 31 leaves. All iterations run (no
-    early stop); nothing is drawn at random, so ``seed`` changes nothing."""
-    spec = Spec(max_iter, step, max_depth, min_leaf, l2, leaves)
+    sample weights, trees grown best-first to 31 leaves. On more than ``STOP_ROWS``
+    rows a tenth, drawn by ``seed``, is held back and growth stops when its loss
+    has not improved for ``PATIENCE`` trees; below, nothing is drawn at random."""
+    spec = Spec(max_iter, step, max_depth, min_leaf, l2, leaves, patience=patience(train), seed=seed)
     (fitted,), _ = fit_many(boosting_rows(train, label, balanced), cols, label, [spec], WEIGHT)
     return fitted.spark_model(train.sparkSession)
 
 
+def patience(train: DataFrame, share: float = 1.0) -> int:
+    """Trees without improvement before growth stops: 0 (never) for a fit on few rows."""
+    return PATIENCE if train.count() * share > STOP_ROWS else 0
+
+
 def _p1():
     """Probability of class 1 (0 when the model saw only class 0)."""
     return F.coalesce(F.get(vector_to_array(F.col("probability")), 1), F.lit(0.0))
@@ -176,7 +184,8 @@ def ablation_boosting(train: DataFrame, test: DataFrame, signals: Sequence[str],
     are fitted side by side on one binned table."""
     cols, groups = list(cols), [None, *signals]
     kept = [[c for c in cols if s is None or c not in set(derived(s))] for s in groups]
-    specs = [Spec(max_iter, columns=tuple(cols.index(c) for c in k)) for k in kept]
+    wait = patience(train)
+    specs = [Spec(max_iter, columns=tuple(cols.index(c) for c in k), patience=wait) for k in kept]
     fitted, _ = fit_many(boosting_rows(train, label), cols, label, specs, WEIGHT)
     spark = train.sparkSession
     got = [auroc_value(score(f.spark_model(spark), test, k), label) for f, k in zip(fitted, kept, strict=True)]
@@ -249,9 +258,9 @@ def _rf_params(est: RandomForestClassifier, draw: dict) -> dict:
             est.featureSubsetStrategy: feat}
 
 
-def _gb_spec(draw: dict, left_out: int | None = None) -> Spec:
+def _gb_spec(draw: dict, left_out: int | None, wait: int, seed: int) -> Spec:
     return Spec(int(draw["max_iter"]), float(draw["learning_rate"]), draw["max_depth"], int(draw["min_samples_leaf"]),
-                float(draw["l2_regularization"]), left_out=left_out)
+                float(draw["l2_regularization"]), left_out=left_out, patience=wait, seed=seed)
 
 
 def fold_id(key: str, folds: int, seed: int) -> Column:
@@ -291,7 +300,8 @@ def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str =
     else:
         draws = sample_space(GB_SPACE, n_iter, seed)
         d = boosting_rows(train, label).withColumn("_fold", fold)
-        _, held = fit_many(d, cols, label, [_gb_spec(draws[i], f) for i, f in tasks], WEIGHT, fold="_fold")
+        wait = patience(train, (folds - 1) / folds)
+        _, held = fit_many(d, cols, label, [_gb_spec(draws[i], f, wait, seed) for i, f in tasks], WEIGHT, fold="_fold")
     got = {r["model"]: r["auroc"] for r in auroc(materialize(held, "search-scores"), "risk_score", "label", by="model").collect()}
     # a fold without both classes has no AUROC and does not count
     mean = [float(np.mean(x)) if (x := [a for f in range(folds) if (a := got.get(i * folds + f)) is not None]) else 0.0
@@ -301,5 +311,5 @@ def random_search(train: DataFrame, cols: Sequence[str], label: str, kind: str =
     table = train.sparkSession.createDataFrame(rows, "draw int, params string, cv_auroc double")
     if kind == "rf":
         return est.copy(_rf_params(est, draws[best])).fit(d), table
-    (fitted,), _ = fit_many(d, cols, label, [_gb_spec(draws[best])], WEIGHT)
+    (fitted,), _ = fit_many(d, cols, label, [_gb_spec(draws[best], None, patience(train), seed)], WEIGHT)
     return fitted.spark_model(train.sparkSession), table
