@@ -32,7 +32,7 @@ from vitalgrid.operators.trees import NODES, ensemble
 from vitalgrid.session import materialize
 
 #: Rows of a block, bins of a feature, and trees between two writes of the blocks' scores.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 19
 BINS = 255
 SCORE_EVERY = 10
 #: Least sum of hessians on either side of a split.
