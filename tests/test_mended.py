@@ -66,7 +66,7 @@ def test_large_sample_is_exact_without_one_task(spark, monkeypatch):
     df = spark.range(30_000)
     want = {r[0] for r in df.withColumn("h", SP.stable_hash_key("id", 5)).orderBy("h").limit(900).collect()}
     small = SP.sample_n(df, "id", 900, seed=5)
-    monkeypatch.setattr(SP, "SMALL_SAMPLE", 100)
+    monkeypatch.setattr(SP, "CUT_ROWS", 0)
     large = SP.sample_n(df, "id", 900, seed=5)
     assert {r[0] for r in small.collect()} == {r[0] for r in large.collect()} == want
     assert "TakeOrderedAndProject" not in large._jdf.queryExecution().executedPlan().toString()

@@ -67,3 +67,25 @@ def test_buckets_grow_with_the_session(spark):
         assert 16 ** hash_digits(spark.range(1)) >= 1_600_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_samples_are_filters_and_exact(spark, monkeypatch):
+    from vitalgrid.operators import splits as SP
+    df = spark.range(30_000).select((F.col("id") % 10_000).alias("k"), (F.col("id") / 10_000).cast("int").alias("j"), "id")
+    keyed = df.withColumn("_h", SP.stable_hash_key("k", "j", 5)).collect()
+    rows = [r["id"] for r in sorted(keyed, key=lambda r: (r["_h"], r["k"], r["j"]))]
+    for n, cut in ((1, 100_000), (777, 100_000), (29_999, 100_000), (5_000, 0), (30_000, 1), (40_000, 100_000), (0, 1)):
+        monkeypatch.setattr(SP, "CUT_ROWS", cut)
+        got = SP.sample_n(df, ["k", "j"], n, seed=5)
+        assert {r["id"] for r in got.collect()} == set(rows[:n]) and got.count() == min(n, 30_000)
+    assert "Exchange" not in SP.sample_n(df, ["k", "j"], 777, seed=5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_of_repeated_rows(spark, monkeypatch):
+    from vitalgrid.operators import splits as SP
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"))
+    for n in (1, 333, 334, 500, 999):
+        assert SP.sample_n(df, "k", n).count() == n
+    nulls = spark.range(50).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id")
+    assert SP.sample_n(nulls, "k", 20).count() == 20 and SP.sample_n(nulls, "k", 40).count() == 40
+    assert SP.sample_n(nulls.limit(0), "k", 5).count() == 0

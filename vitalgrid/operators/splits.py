@@ -7,7 +7,6 @@ the whole table come from ``ranking.global_row_number`` (no single-task sort).
 
 from __future__ import annotations
 
-import math
 
 from collections.abc import Sequence
 
@@ -74,28 +73,47 @@ def assign_clients(df: DataFrame, entity: str, k: int = 4, seed: int = 42, out:
     return r.select(entity, grp.cast("int").alias(out))
 
 
-SMALL_SAMPLE = 10_000
-BUCKET_ROWS = 50_000
+#: Rows of a hash range in which the cut of a sample is looked for row by row, and hex digits of a range at a time.
+CUT_ROWS = 100_000
+CUT_DIGITS = 4
 
 
 def _sample_table(d: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The ``n`` rows of the lowest hash ``_h`` (md5 hex, ties by ``keys``)."""
-    rows = d.count()
-    if n >= rows:
-        return d
-    share = (n + 6 * n ** 0.5 + 20) / rows
-    place = F.conv(F.substring("_h", 1, 12), 16, 10).cast("long")
-    near = d
-    while share < 1:
-        near = d.filter(place < int(share * 16 ** 12))
-        if near.count() >= n:
+    """The ``n`` rows of the lowest hash ``_h`` (md5 hex, ties by ``keys``).
+
+    Rows per hash range (at most 16^4 counts, of the key columns alone) tell in
+    which range the n-th row lies; a range of more than ``CUT_ROWS`` rows is cut
+    again. The first rows of that range give the cut-off, so what is left is a
+    filter: no exchange, no sort of rows."""
+    if n <= 0:
+        return d.limit(0)
+    prefix, left, inside = "", n, d.select("_h", *keys)
+    while True:
+        counts = {r["_b"]: r["n"] for r in inside.groupBy(F.substring("_h", len(prefix) + 1, CUT_DIGITS).alias("_b")).agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        if left >= sum(counts.values()):
+            return d if not prefix else d.filter(F.col("_h") <= prefix + "g")
+        for digits in sorted(counts):
+            if counts[digits] >= left:
+                break
+            left -= counts[digits]
+        prefix, rows = prefix + digits, counts[digits]
+        inside = d.select("_h", *keys).filter(F.startswith("_h", F.lit(prefix)))
+        if rows <= CUT_ROWS or len(prefix) + CUT_DIGITS > 32:
             break
-        near, share = d, 2 * share
-    if n <= SMALL_SAMPLE:
-        return near.orderBy("_h", *keys).limit(n)
-    digits = max(1, min(12, math.ceil(math.log(max(2, rows / BUCKET_ROWS), 16))))
-    ranked = global_row_number(near, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h"), digits), out="_r")
-    return ranked.filter(F.col("_r") <= n).drop("_r")
+    first = inside.orderBy("_h", *keys).limit(left + 1).collect()
+    last = first[left - 1]
+    if len(first) > left and first[left] == last:
+        # repeated rows at the cut: only some of them belong to the sample
+        part = d.filter(F.startswith("_h", F.lit(prefix))).orderBy("_h", *keys).limit(left)
+        return d.filter(F.col("_h") < prefix).unionByName(part)
+    upto = F.col("_h") < last["_h"]
+    same = F.col("_h") == last["_h"]
+    for k in keys:
+        value = F.lit(last[k]).cast(d.schema[k].dataType)
+        smaller = (F.lit(False) if last[k] is None else F.col(k).isNull() | (F.col(k) < value))
+        upto, same = upto | (same & smaller), same & F.col(k).eqNullSafe(value)
+    return d.filter(upto | same)
 
 
 def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
@@ -104,11 +122,9 @@ def sample_n(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42,
     hash of ``key`` (one column or several that are unique together; per
     ``by`` group when given).
 
-    Whole table: the hash is uniform, so only rows whose hash lies below about
-    ``n / rows`` are candidates (a few standard deviations more than ``n``;
-    doubled until there are enough); up to ``SMALL_SAMPLE`` of them are cut by
-    ``orderBy(hash).limit(n)``, more are ranked in hash buckets of about
-    ``BUCKET_ROWS`` rows, so no task gets more than a small sample. Per group: for ``n``
+    Whole table: counts per hash range and the first rows of one range give
+    the cut-off hash (``_sample_table``), so the sample itself is a filter
+    without an exchange. Per group: for ``n``
     up to Spark's ``windowGroupLimitThreshold`` a ``row_number() <= n`` filter,
     which Spark runs with a partial WindowGroupLimit before the shuffle (a hot
     group sends at most ``n`` rows per map task); for larger ``n`` the rank
