@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ EM_ROUNDS = 2
 #: Longest piece considered, entries of a worker's cache of word scores.
 MAX_PIECE = 16
 CACHE = 300_000
+#: Words that are scored side by side, and kinds of characters they may have (at most 256).
+WORDS = 5_000
+CHARS = 96
 #: Probability of a character that no piece covers, of every piece in the first round, and the weight of even counts
 #: in smoothing.
 UNSEEN = 1e-7
@@ -182,36 +186,125 @@ def word_score(word: str, table: dict[str, tuple[float, ...]], n_langs: int) ->
     return out
 
 
+class Pieces:
+    """The pieces of ``table`` as a tree of characters in arrays, to score many words side by side.
+
+    ``step[node * CHARS + kind]`` is the node after a further character (0: none), ``row[node]`` the row of ``probs`` of
+    the piece that ends there (0: none; row 1: a character that no piece covers). ``kind`` numbers the ``CHARS - 2``
+    most frequent characters of the pieces; 0 is a character of no piece, ``CHARS - 1`` any other one."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        self.table = {p: tuple(v.tolist()) for p, v in table.items()}
+        self.probs = np.array([np.zeros_like(p := next(iter(table.values()))), np.full_like(p, UNSEEN), *table.values()])
+        often = Counter(c for p in table for c in p)
+        kind = {c: CHARS - 1 for c in often} | {c: k for k, (c, _) in enumerate(often.most_common(CHARS - 2), 1)}
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.kind[[ord(c) for c in kind]] = list(kind.values())
+        nodes: dict[tuple[int, int], int] = {}
+        ends = {}
+        for row, piece in enumerate(table, 2):
+            at = 0
+            for c in piece:
+                at = nodes.setdefault((at, kind[c]), len(nodes) + 1) if kind[c] < CHARS - 1 else -1
+                if at < 0:
+                    break
+            if at > 0:
+                ends[at] = row
+        # node 0 is no node: its steps lead nowhere, and the first steps are kept apart
+        self.step = np.zeros((len(nodes) + 1) * CHARS, np.int32)
+        self.step[[at * CHARS + c for at, c in nodes]] = list(nodes.values())
+        self.first, self.step[:CHARS] = self.step[:CHARS].copy(), 0
+        self.row = np.zeros(len(nodes) + 1, np.int32)
+        self.row[list(ends)] = list(ends.values())
+        #: Longest word, its mark included, whose probability is a normal number.
+        self.safe = int(-199 / math.log10(min(1e-3, max(1e-300, self.probs[1:].min()))))
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """``word_score`` of every word, to the last digit. Words of a length go through the forward algorithm side by
+        side; long words that might underflow and words with rare characters go one by one."""
+        n_langs = self.probs.shape[1]
+        out = np.empty((len(found), n_langs))
+        lengths: dict[int, list[int]] = {}
+        for k, word in enumerate(found):
+            lengths.setdefault(len(word) + 1, []).append(k)
+        for size, members in lengths.items():
+            for lo in range(0, len(members), WORDS):
+                part = np.array(members[lo:lo + WORDS])
+                single = np.ones(len(part), bool)
+                if size <= self.safe:
+                    text = "".join("▁" + found[k] for k in part)
+                    kinds = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, size)
+                    single = (kinds == CHARS - 1).any(axis=1)
+                    logs = [[math.log(p) for p in chance] for chance in self._forward(kinds[~single].T).tolist()]
+                    out[part[~single]] = np.array(logs).reshape(-1, n_langs)
+                for k in part[single]:
+                    out[k] = word_score(found[k], self.table, n_langs)
+        return out
+
+    def _forward(self, kinds: np.ndarray) -> np.ndarray:
+        """Probabilities (words x languages) of words given by the kinds of their characters (characters x words)."""
+        size, n = kinds.shape
+        kinds = np.ascontiguousarray(kinds)
+        fwd = np.zeros((size + 1, n, self.probs.shape[1]))
+        fwd[0] = 1.0
+        for i in range(size):
+            node = self.first[kinds[i]]
+            row = self.row[node]
+            fwd[i + 1] += fwd[i] * self.probs[np.where(row > 0, row, 1)]
+            live = np.arange(n)
+            for j in range(i + 1, min(size, i + MAX_PIECE)):
+                node = self.step[node * CHARS + kinds[j][live]]
+                on = np.flatnonzero(node)
+                live, node = live[on], node[on]
+                if not len(live):
+                    break
+                row = self.row[node]
+                ends = np.flatnonzero(row)
+                fwd[j + 1][live[ends]] += fwd[i][live[ends]] * self.probs[row[ends]]
+        return fwd[size]
+
+
+def _parts(column: pa.Array) -> Iterator[list[tuple[int, list[str]]]]:
+    """(row, words) of a column of texts, long texts in several pieces, grouped to about ``CACHE // 4`` words."""
+    held, size = [], 0
+    for at, value in enumerate(column):
+        found = words(value.as_py() or "")
+        for lo in range(0, len(found), CACHE // 4):
+            part = found[lo:lo + CACHE // 4]
+            if size + len(part) > CACHE // 4:
+                yield held
+                held, size = [], 0
+            held.append((at, part))
+            size += len(part)
+    if held:
+        yield held
+
+
 def _predict(langs: list[str], shared, text: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {p: tuple(v.tolist()) for p, v in shared.value.items()}
+        pieces = Pieces(shared.value) if langs else None
         index: dict[str, int] = {}
         scores = np.zeros((CACHE, max(1, len(langs))))
         for batch in batches:
-            best, score = [], []
-            for value in batch.column(text):
-                found = words(value.as_py() or "")
-                if not found or not langs:
-                    best.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for lo in range(0, len(found), CACHE // 4):
-                    part = found[lo:lo + CACHE // 4]
-                    new = [x for x in set(part) if x not in index]
-                    if len(index) + len(new) > CACHE:
-                        index.clear()
-                        new = list(set(part))
-                    for x in new:
-                        scores[len(index)] = word_score(x, table, len(langs))
-                        index[x] = len(index)
-                    total += scores[[index[x] for x in part]].sum(axis=0)
-                total -= total.max()
+            best, score = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+            totals: dict[int, np.ndarray] = {}
+            for parts in _parts(batch.column(text)) if langs else ():
+                seen = set().union(*(part for _, part in parts))
+                new = [x for x in seen if x not in index]
+                if len(index) + len(new) > CACHE:
+                    index.clear()
+                    new = list(seen)
+                scores[len(index):len(index) + len(new)] = pieces.scores(new)
+                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+                for at, part in parts:
+                    total = scores[[index[x] for x in part]].sum(axis=0)
+                    totals[at] = totals[at] + total if at in totals else total
+            for at, total in totals.items():
+                total = total - total.max()
                 chance = np.exp(total)
                 chance /= chance.sum()
                 k = int(chance.argmax())
-                best.append(langs[k])
-                score.append(float(chance[k]))
+                best[at], score[at] = langs[k], float(chance[k])
             kept = [n for n in batch.schema.names if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(best, pa.string()),
                                               pa.array(score, pa.float64())], [*kept, "_lang", "_score"])
