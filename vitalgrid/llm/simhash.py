@@ -82,6 +82,9 @@ def near_pairs(prints: DataFrame, max_bits: int, segments: int = SEGMENTS) -> Da
     join, so that only links leave it. Fingerprints are distinct, so a
     fingerprint has a bounded number of links however many copies there are;
     a frequent segment value is a skewed join key, which adaptive execution splits.
+    Spark sizes both sides by ``prints`` alone, without the rows that the keys
+    make of each (67 a fingerprint with 3 segments and 4 bits), and would send
+    them to the driver, so neither side is broadcast.
     """
     ring = _segments(segments)
     budget = [(i + 1) * max_bits // segments for i in range(segments)]
@@ -106,7 +109,7 @@ def near_pairs(prints: DataFrame, max_bits: int, segments: int = SEGMENTS) -> Da
         chains = chains | chain
     on = ((F.col("l.s") == F.col("r.s")) & (F.col("l.v") == F.col("r.v")) & (F.col("fp_a") < F.col("fp_b"))
           & chains & (F.bit_count(diff) <= max_bits))
-    return left.alias("l").join(right.alias("r"), on).select("fp_a", "fp_b")
+    return left.alias("l").hint("merge").join(right.alias("r").hint("merge"), on).select("fp_a", "fp_b")
 
 
 def _flips(lo: int, n: int, most: int) -> list[int]:
@@ -143,7 +146,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = nodes.join(groups, "fp").groupBy("component").agg(F.min("rep").alias("least"))
     named = materialize(groups.join(least, "component").select("fp", "least"), "simhash-names")
     label = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(label, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    # a file of few fingerprints is far smaller than its rows are in memory
+    return prints.hint("merge").join(label, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def hex16(value: Column) -> Column:
