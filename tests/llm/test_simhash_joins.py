@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import corpus_pipeline
 from vitalgrid.llm import simhash
 from vitalgrid.session import materialize
 
@@ -26,3 +27,20 @@ def test_documents_are_not_broadcast(spark):
     groups = simhash.simhash_groups(docs)
     first = next(line for line in plan(groups).splitlines() if "Join" in line)
     assert "SortMergeJoin" in first and groups.count() == 9
+
+
+def test_pipeline_candidates_are_not_broadcast(spark, monkeypatch):
+    seen = []
+
+    def watched(links, a, b):
+        seen.append(plan(links))
+        return components(links, a, b)
+
+    components = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    words = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, words), (2, f"{words} more"), (3, "something else is told here")],
+                                 "doc_id long, text string")
+    left = corpus_pipeline.near(spark, docs, "").collect()
+    assert len(seen) == 1 and "Broadcast" not in seen[0]
+    assert sorted(r["doc_id"] for r in left) == [1, 3]
